@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provender.llm import byte_bpe, packing, token_tables
+from provender.llm import byte_bpe, near_dup, packing, token_tables
 from provender.llm.common import table
 
 
@@ -27,9 +27,13 @@ def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_tables, op8_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_tables, op5_near_dup, op8_best_fit_packing)}
+ORACLES: dict[str, str] = {"op5_near_dup": near_dup.ORACLE}
