@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provender.llm import byte_bpe, near_dup, packing, token_tables
+from provender.llm import byte_bpe, line_dedup, near_dup, packing, quality_rules, token_tables
 from provender.llm.common import table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -31,9 +35,13 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_token_tables, op5_near_dup, op8_best_fit_packing)}
-ORACLES: dict[str, str] = {"op5_near_dup": near_dup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_byte_bpe, op4_token_tables, op5_near_dup, op7_quality_rules, op8_best_fit_packing)}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_near_dup": near_dup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
