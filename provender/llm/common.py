@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,14 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_MADE: set[str] = set()
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/provender-{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder for a table that goes with this process, if nothing removes it before."""
+    if not _MADE:
+        atexit.register(_remove_all)
+    _MADE.add(path := f"{shared_dir(spark)}/provender-{what}-{uuid.uuid4().hex}")
+    return path
+
+
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_MADE) if spark else ():
+        with contextlib.suppress(Exception):  # the session may be ending
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder, by whatever file system holds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.discard(path)
 
 
 class Stored:

@@ -60,8 +60,8 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with their texts cleaned, and a column `line_dedup`: struct<n_lines, n_removed, removed array<pos>>."""
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", facts_as: str | None = "line_dedup") -> DataFrame:
+    """The rows with their texts cleaned, and a column of facts: struct<n_lines, n_removed, removed array<pos>>; none, if facts_as is None."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct("*").alias("row"))
     found = rows.select("k", F.explode(chunks(F.col("t"))).alias("c"))
     found = found.select("k", F.col("c.pos").alias("pos"), F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("size")).distinct()
@@ -93,7 +93,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     cleaned = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.array_join(kept, "\n"))
     facts = F.struct(F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size("gone").alias("n_removed"), F.transform("gone", lambda g: g["pos"]).alias("removed"))
     out = marked.select("row", cleaned.alias("cleaned"), facts.alias("facts"))
-    return out.select(*[F.col("cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns], F.col("facts").alias("line_dedup"))
+    return out.select(*[F.col("cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns], *([F.col("facts").alias(facts_as)] if facts_as else []))
 
 
 ORACLE = f"""

@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.llm.common import Stored, chunks, stored
@@ -254,9 +254,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay: one document of each class, rows without words included."""
-    gone = classes(df, key, text).filter(~F.col("kept")).select(key).distinct()
-    return df.join(gone, key, "left_anti")
+    """The rows that stay, with their columns: one document of each class, one row of each identifier; rows without words or identifier stay."""
+    gone = classes(df, key, text).filter(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
+    rows = df.select(F.col(key).alias("k"), F.struct("*").alias("row"))
+    named = rows.filter("k IS NOT NULL").join(gone, F.col("k") == F.col("gone"), "left_anti")
+    # The exchange of the join serves the window, too.
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.col("row")[text]))).filter("place = 1").select("row")
+    return first.union(rows.filter("k IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 ORACLE = """
