@@ -7,9 +7,11 @@ by its own path, so all its documents are sent on alike. Independent trees are r
 the threshold shares no node with a probability below 1e-5.
 
 Nodes are not paired blindly. First each document is compared with the smallest one of its node, and what
-is confirmed is connected; only nodes in which several components still meet go on: small ones are compared
-exhaustively, across components, large ones branch again, and what is still large at the last level is
-compared in blocks of sketches, which emit likely pairs only. Every link is confirmed on full shingle sets.
+is confirmed is connected; only nodes in which several components still meet go on. Those of a few documents
+are paired across components. Those of up to WIDE are compared in blocks, on full sets: documents outside the
+block's largest component against all, at the first tree in which two meet, and one link to each other
+component is emitted. Larger ones branch again; at the last level blocks take any size. Every link is
+confirmed on the shingles of the texts.
 
 Same word sequences collapse first (by a 128-bit digest), so copies are never paired. Links and labels stay
 distributed: connected components alternate large-star and small-star rounds over written tables.
@@ -33,11 +35,11 @@ from provender.llm.common import Stored, chunks, stored
 from provender.llm.pretokens import mix, span_hashes
 
 #: Functions of a sketch; trees (the first functions); functions that a node chooses; levels below the roots.
-SKETCH, TREES, BRANCHES, LEVELS = 64, 10, 4, 4
+SKETCH, TREES, BRANCHES, LEVELS = 64, 10, 4, 3
 #: Agreeing functions from which a pair is looked at: at the threshold 48 of 64 agree on average, with a deviation of 3.5.
 AGREE = 32
-#: Documents of a node that are paired at once, and of a block of sketches.
-SMALL, BLOCK = 24, 1024
+#: Documents of a node that are paired at once, of a block, and of a node that is compared in blocks; shingles of a block.
+SMALL, BLOCK, WIDE, MASS = 24, 2048, 16384, 1_500_000
 #: Identifiers that are sent to all executors to pick texts; beyond, both sides are exchanged.
 BROADCAST_IDS = 1_000_000
 
@@ -168,13 +170,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+    return rows.join(comps, "id", "left").select("node", "tree", "id", "n", F.coalesce("comp", "id").alias("comp"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of nodes in which several components meet, with the node's size."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return rows.join(nodes.filter("low <> high").select("node", "size"), "node")
+    """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass)."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return rows.join(nodes.filter("low <> high").select("node", "size", "mass"), "node")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -184,22 +186,69 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _blocks(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs across components in nodes of any size: blocks against blocks, by sketches."""
-    sized = rows.withColumn("parts", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, hashes (of its shingles) of the documents named."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            hashes = [h.view(np.int64) for h in shingle_hashes(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
+
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
+
+
+def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, tree: int, sets: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of each document of left outside the commonest component: a link to each other component of right, if there is one.
+
+    trees: the first sketch values; two that agree before `tree` were compared there. sets: all shingle numbers, and where each document's begin.
+    """
+    values, at = sets
+    size = np.diff(at)
+    names, times = np.unique(comp[np.concatenate([left, right])], return_counts=True)
+    giant = names[times.argmax()]
+    marked = np.zeros(int(values.max()) + 1 if len(values) else 1, np.int8)
+    out = []
+    for i in left[comp[left] != giant].tolist():
+        near = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= 75 * np.maximum(size[right], size[i]))]
+        if tree:
+            near = near[~(trees[near, :tree] == trees[i, :tree]).any(axis=1)]
+        if not len(near):
+            continue
+        own = values[at[i] : at[i + 1]]
+        marked[own] = 1
+        n = size[near]
+        first = np.cumsum(n) - n
+        both = np.add.reduceat(marked[values[np.repeat(at[near] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        marked[own] = 0
+        near = near[100 * both >= 75 * (n + size[i] - both)]
+        for j in near[np.unique(comp[near], return_index=True)[1]].tolist():
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links across components in nodes of any size: blocks against blocks, on full sets of shingle hashes."""
+    sized = rows.withColumn("parts", F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("mass") / F.lit(MASS))).cast("int"))
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.expr("transform(sequence(0, parts - 1), o -> struct(least(part, o) AS p, greatest(part, o) AS q))")
-    dealt = sized.withColumn("cell", F.explode(other)).select("node", "cell.p", "cell.q", "part", "id", "comp").join(reps.select("id", "sketch"), "id")
+    facts = reps.select("id", F.slice("sketch", 1, TREES).alias("least")).join(_set_table(docs, rows.select("id").distinct()), "id")
+    dealt = sized.join(facts, "id").withColumn("cell", F.explode(other)).select("node", "tree", "cell.p", "cell.q", "part", "id", "comp", "least", "hashes")
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
         ids, comp, part = (group.column(c).to_numpy() for c in ("id", "comp", "part"))
-        sketches = np.array(group.column("sketch").to_pylist(), np.int32)
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        trees = np.stack(group.column("least").to_numpy())
+        column = pa.concat_arrays(group.column("hashes").chunks)
+        at = column.offsets.to_numpy().astype(np.int64)
+        values = np.unique(column.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
+        at -= at[0]
+        p, q, tree = (group.column(c)[0].as_py() for c in ("p", "q", "tree"))
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        a, b = [], []
-        for i in left.tolist():
-            near = right[((sketches[right] == sketches[i]).sum(axis=1) >= AGREE) & (comp[right] != comp[i]) & (ids[right] != ids[i])]
-            a += [min(ids[i], x) for x in ids[near].tolist()]
-            b += [max(ids[i], x) for x in ids[near].tolist()]
+        found = linked_in_block(ids, comp, trees, tree, (values, at), left, right)
+        if p != q:
+            found += linked_in_block(ids, comp, trees, tree, (values, at), right, left)
+        a, b = zip(*set(found), strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("node", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct()
@@ -213,34 +262,38 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     firsts = sets.groupBy("digest").agg(F.min("id").alias("id"))
     reps = stored(sets.join(firsts, ["digest", "id"], "left_semi").select("id", "n", "sketch"), "representatives")
 
-    roots = reps.select("id", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "least"))
-    roots = roots.select(F.xxhash64("tree", "least").alias("node"), "id")
+    roots = reps.select("id", "n", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "least"))
+    roots = roots.select(F.xxhash64("tree", "least").alias("node"), "tree", "id", "n")
     # First each document of a node against the smallest one.
     pivots = roots.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("high")).filter("a <> high").select("node", "a")
-    shared = Stored(roots.join(pivots, "node").select("node", "id", "a"), "nodes")
+    shared = Stored(roots.join(pivots, "node").select("node", "tree", "id", "n", "a"), "nodes")
     star = stored(likely(shared.df.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), reps), "star")
     links = stored(confirmed(star, docs), "confirmed")
     comps = stored(components(links), "components")
 
     # Then what the stars left open.
-    rows = Stored(_open(_labelled(shared.df.select("node", "id"), comps)), "open")
-    more = _pairs(rows.df.filter(F.col("size") <= SMALL))
-    wide = rows.df.filter(F.col("size") > SMALL)
-    blocks = None
+    rows = stored(_open(_labelled(shared.df.select("node", "tree", "id", "n"), comps)), "open")
+    pairs, blocks = _pairs(rows.filter(F.col("size") <= SMALL)), []
     for level in range(LEVELS + 1):
-        if wide.isEmpty():
-            break
-        if level == LEVELS:
-            blocks = _blocks(wide, reps)
+        wide = rows.filter(F.col("size") > WIDE)
+        branch = level < LEVELS and not wide.isEmpty()
+        middle = rows.filter(F.col("size") > SMALL)
+        if branch:
+            # Pairs of a node that branches may be missed there, so no tree leaves a pair to an earlier one.
+            middle = middle.filter(F.col("size") <= WIDE).withColumn("tree", F.lit(0))
+        if not middle.isEmpty():
+            blocks.append(_blocks(middle, reps, docs))
+        if not branch:
             break
         chosen = F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") for j in range(BRANCHES)])
         sent = wide.join(reps.select("id", "sketch"), "id").withColumn("f", F.explode(chosen))
-        sent = sent.select(F.xxhash64("node", "f", F.col("sketch")[F.col("f")]).alias("node"), "id", "comp").distinct()
-        rows = Stored(_open(sent), "open")
-        more = more.union(_pairs(rows.df.filter(F.col("size") <= SMALL)))
-        wide = rows.df.filter(F.col("size") > SMALL)
-    found = likely(more.distinct(), reps)
-    rest = stored(found.union(blocks).distinct() if blocks is not None else found, "rest")
+        sent = sent.select(F.xxhash64("node", "f", F.col("sketch")[F.col("f")]).alias("node"), F.lit(0).alias("tree"), "id", "n", "comp").distinct()
+        rows = stored(_open(sent), "open")
+        pairs = pairs.union(_pairs(rows.filter(F.col("size") <= SMALL)))
+    found = likely(pairs.distinct(), reps)
+    for block in blocks:
+        found = found.union(block)
+    rest = stored(found.distinct(), "rest")
     if not rest.isEmpty():
         late = stored(confirmed(rest, docs), "confirmed")
         if not late.isEmpty():

@@ -84,6 +84,7 @@ def test_near_dup(copies, monkeypatch, small, block):
 def test_near_dup_late_links(spark, monkeypatch):
     """Nodes that branch, and blocks: stars that confirm nothing leave every link to the later levels."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "WIDE", 6)
     monkeypatch.setattr(near_dup, "LEVELS", 1)
     rng = random.Random(9)
     common = [f"c{i}" for i in range(60)]
