@@ -2,6 +2,456 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from provender.functions import nutrition, similarity, text
+from provender.operators import aggregate, linkage, state
+from provender.sources import domain, importers
+from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes
+from provender.streaming import events as stream
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "recipe_totals"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(x: str, digits: int = 2) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits})"
+
+
+# SQL of the text functions, for engines with lambdas written `lambda x: ..`.
+def ng(x: str) -> str:
+    return f"replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')"
+
+
+def nid(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({ng(x)}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def tk(x: str) -> str:
+    return rf"list_filter(string_split_regex(regexp_replace({ng(f"coalesce({x}, '')")}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+def words(items) -> str:
+    return ", ".join(f"'{w}'" for w in items)
+
+
+def itk(x: str) -> str:
+    kept = f"list_filter({tk(x)}, lambda y: length(y) >= 3 AND NOT regexp_matches(y, '^[0-9]') AND y NOT IN ({words(text.DESCRIPTORS)}))"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {tk(x)} END"
+
+
+def stem(x: str) -> str:
+    cut = f"CASE WHEN {x} LIKE '%en' AND length({x}) >= 6 THEN 2 WHEN {x} LIKE '%n' OR {x} LIKE '%e' THEN 1 ELSE 0 END"
+    return f"CASE WHEN length({x}) <= 5 THEN {x} ELSE substr({x}, 1, length({x}) - ({cut})) END"
+
+
+def first_state(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN list_has_any({t}, [{words(ws)}]) THEN '{v}'" for v, ws in text.STATES) + " ELSE 'unknown' END"
+
+
+def german_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").filter("lang = 'de'")
+    return docs.select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+
+
+GERMAN = f"de AS (SELECT DISTINCT unnest({tk('text')}) AS token FROM documents WHERE lang = 'de')"
+NAMES = f"names AS (SELECT min(food_id) AS fid, name, {itk('name')} AS toks FROM foods GROUP BY name)"
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foods(spark, sf_dir).groupBy("name").agg(F.min("food_id").alias("fid")).withColumn("toks", linkage.identity(F.col("name")))
+
+
+# Totals and grades.
+_TOTALS = ", ".join(f"{e} AS {n}" for n, e in aggregate.TOTALS.items())
+_GRADED = f"""{INGREDIENTS_SQL}, {RECIPES_SQL}, t AS (SELECT slug AS s, {_TOTALS} FROM ing GROUP BY slug),
+a AS (SELECT r.*, t.*, coalesce(n_matched, 0) AS nm, coalesce(n_unmatched, 0) AS nu FROM recipes r LEFT JOIN t ON t.s = r.slug),
+b AS (SELECT *, {nutrition.completeness('nu', 'nm', 'resolved_weight', 'known_weight')} AS completeness, {nutrition.evidence('nm', 'estimated_kcal', 'abs_kcal')} AS evidence FROM a),
+c AS (SELECT *, {', '.join(f"CASE WHEN completeness = 'withheld' OR servings IS NULL OR servings <= 0 THEN NULL ELSE {nutrition.half_up(f'{n}_total / servings')} END AS {n}_serving" for n in ('kcal', 'fat', 'protein'))} FROM b),
+graded AS (SELECT *, {nutrition.calorie_tag('kcal_serving')} AS calorie_tag, {nutrition.digest_tag('kcal_serving', 'fat_serving')} AS digest_tag FROM c)"""
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.graded(ingredients(spark, sf_dir), recipes(spark, sf_dir))
+
+
+def _of_graded(name: str, columns: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return graded(spark, sf_dir).selectExpr(*columns.split("; "))
+
+    run.__name__ = name
+    query(f"WITH {_GRADED} SELECT {columns.replace('; ', ', ').replace('n_matched', 'nm').replace('n_unmatched', 'nu')} FROM graded")(run)
+
+
+_of_graded("recipe_totals", f"slug; {r('kcal_total')} AS kcal_total; {r('known_weight')} AS known_weight; kcal_serving; fat_serving; calorie_tag; digest_tag")
+_of_graded("completeness_status", f"slug; CAST(n_matched AS BIGINT) AS matched_rows; completeness; {r('resolved_weight')} AS resolved_weight")
+_of_graded("evidence_shares", f"slug; evidence; {r('CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal END', 4)} AS estimated_share")
+_of_graded("calorie_tags", "slug; kcal_serving; calorie_tag")
+_of_graded("digest_tags", "slug; digest_tag")
+
+
+@query(f"""WITH {INGREDIENTS_SQL}, m AS (SELECT *, abs(kcal * grams / 100) AS part FROM ing WHERE matched AND kcal IS NOT NULL AND grams IS NOT NULL),
+s AS (SELECT slug, sum(part) AS all_kcal, sum(confidence * part) AS wc, avg(confidence) AS mean, count(*) AS n FROM m GROUP BY slug),
+d AS (SELECT m.slug, min((m.idx, m.food_id)) AS doubt FROM m JOIN s ON s.slug = m.slug WHERE confidence < 0.6 AND all_kcal > 0 AND part > 0.2 * all_kcal GROUP BY m.slug),
+q AS (SELECT s.*, doubt, CASE WHEN all_kcal > 0 THEN wc / all_kcal ELSE mean END AS w FROM s LEFT JOIN d ON d.slug = s.slug)
+SELECT slug, n, doubt[2] AS doubt_food, CASE WHEN doubt IS NOT NULL THEN CASE WHEN w < 0.55 THEN 'low' ELSE 'mixed' END WHEN w >= 0.75 THEN 'high' WHEN w < 0.55 THEN 'low' ELSE 'mixed' END AS match_quality FROM q""")
+def match_quality(spark, sf_dir):
+    return aggregate.match_quality(ingredients(spark, sf_dir))
+
+
+@query(f"WITH {INGREDIENTS_SQL} SELECT unit, count(*) AS n, count(grams) AS n_grams, {r('sum(grams)')} AS grams FROM ing GROUP BY unit")
+def unit_grams(spark, sf_dir):
+    return ingredients(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"), F.count("grams").alias("n_grams"), F.round(F.sum("grams").cast("double"), 2).alias("grams"))
+
+
+@query(f"WITH {RECIPES_SQL}, o AS (SELECT CASE WHEN strategy_tag = '5-LOW' THEN 'not-tagged' WHEN status = 'F' THEN 'unchanged' WHEN household % 10 = 0 THEN 'manual' ELSE 'estimated' END AS status FROM recipes) SELECT status, count(*) AS n FROM o GROUP BY status")
+def outcome_counts(spark, sf_dir):
+    outcome = F.when(F.col("strategy_tag") == "5-LOW", "not-tagged").when(F.col("status") == "F", "unchanged").when(F.col("household") % 10 == 0, "manual").otherwise("estimated")
+    return recipes(spark, sf_dir).select(outcome.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RECIPES_SQL}, t AS (SELECT slug, ['user', CASE WHEN household % 2 = 0 THEN 'Calories:Light' ELSE 'own' END] AS tags, ['Calories:Light', 'Digest:Easy'] AS auto FROM recipes) SELECT slug, array_to_string(list_concat(list_filter(tags, lambda x: NOT list_contains(auto, x)), ['Calories:Heavy']), ',') AS merged, len(list_filter(auto, lambda x: NOT list_contains(tags, x))) = 0 AS complete FROM t")
+def merge_tags(spark, sf_dir):
+    tags = F.array(F.lit("user"), F.when(F.col("household") % 2 == 0, "Calories:Light").otherwise("own"))
+    auto = F.array(F.lit("Calories:Light"), F.lit("Digest:Easy"))
+    merged = F.concat(F.filter(tags, lambda x: ~F.array_contains(auto, x)), F.array(F.lit("Calories:Heavy")))
+    return recipes(spark, sf_dir).select("slug", F.array_join(merged, ",").alias("merged"), (F.size(F.array_except(auto, tags)) == 0).alias("complete"))
+
+
+# Text.
+@query(f"SELECT doc_id, md5({ng('text')}) AS german, md5({nid('text')}) AS identity FROM documents")
+def normalize_identity(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_german(t)).alias("german"), F.md5(text.normalize_identity(t)).alias("identity"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents")
+def normalize_ascii(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_ascii(F.col("text"))).alias("folded"))
+
+
+@query(f"SELECT doc_id, len({tk('text')}) AS n_tokens, len({itk('text')}) AS n_identity, md5(array_to_string(list_sort({itk('text')}), ' ')) AS identity_key FROM documents")
+def tokens(spark, sf_dir):
+    t = text.tokens(F.col("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("i", text.identity_tokens(F.col("t")))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("i").cast("long").alias("n_identity"), F.md5(text.identity_key(F.col("i"))).alias("identity_key"))
+
+
+@query(f"WITH {GERMAN} SELECT token, {stem('token')} AS stem FROM de")
+def german_stem(spark, sf_dir):
+    return german_tokens(spark, sf_dir).select("token", text.german_stem(F.col("token")).alias("stem"))
+
+
+@query(f"WITH {GERMAN}, f AS (SELECT token, CASE WHEN {stem('token')} = token THEN token ELSE {stem('token')} END AS root FROM de) SELECT a.token AS token, b.token AS plural FROM f a JOIN f b ON a.root = b.root AND length(a.token) < length(b.token)")
+def plural_match(spark, sf_dir):
+    a = german_tokens(spark, sf_dir).withColumn("root", text.german_stem(F.col("token")))
+    b = a.select(F.col("token").alias("plural"), "root")
+    return a.join(b, "root").filter(F.length("token") < F.length("plural")).filter(text.german_match(F.col("token"), F.col("plural"))).select("token", "plural")
+
+
+@query(f"WITH {GERMAN} SELECT token, CASE WHEN length(token) >= 8 THEN len(list_filter(range(4, CAST(length(token) AS BIGINT) - 3), lambda i: true)) ELSE 0 END AS n, CASE WHEN length(token) >= 8 THEN substr(token, 1, 4) END AS head, CASE WHEN length(token) >= 8 THEN substr(token, 5) END AS tail FROM de")
+def compound_segments(spark, sf_dir):
+    seg = text.compound_segments(F.col("token"))
+    return german_tokens(spark, sf_dir).select("token", seg.alias("s")).select("token", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0))["head"].alias("head"), F.get("s", F.lit(0))["tail"].alias("tail"))
+
+
+@query(f"WITH {GERMAN}, c AS (SELECT token, CASE WHEN token LIKE '%ung' THEN substr(token, 1, length(token) - 3) END AS head, regexp_extract(token, '^(.+?)(freie?)$', 1) AS f FROM de) SELECT token, CASE WHEN length(head) >= 3 AND head NOT IN ({words(text.DESCRIPTORS)}) THEN head END AS specifier, CASE WHEN f <> '' AND f NOT IN ('zucker', 'fett', 'alkohol') THEN f END AS without FROM c")
+def compound_specifier(spark, sf_dir):
+    return german_tokens(spark, sf_dir).select("token", text.compound_specifier(F.col("token"), F.lit("ung")).alias("specifier"), text.absence_stem(F.col("token")).alias("without"))
+
+
+@query()
+def compound_match(spark, sf_dir):
+    evidence = F.array(*map(F.lit, ("schein", "keit", "heit", "ver", "einer")))
+    return german_tokens(spark, sf_dir).filter(F.length("token") >= 8).select("token", text.compound_matches(F.col("token"), evidence).alias("evidenced"))
+
+
+def _fam(t: str, table) -> str:
+    return "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN list_has_any({t}, [{words(w)}]) THEN '{n}' END" for n, w in table) + "], lambda x: x IS NOT NULL)), ',')"
+
+
+@query(f"WITH {FOODS_SQL}, n AS (SELECT DISTINCT name, {tk('name')} AS t FROM foods) SELECT name, {first_state('t')} AS state, CASE WHEN {first_state('t')} <> 'unknown' THEN {first_state('t')} ELSE 'unknown' END AS reconciled, {_fam('t', text.FAMILIES)} AS families, {_fam('t', text.DERIVED)} AS derived, coalesce({', '.join(f"CASE WHEN list_contains(t, '{p}') THEN '{p}' END" for p in text.PARTS)}, '-') AS part FROM n")
+def infer_attributes(spark, sf_dir):
+    t = F.col("t")
+    rows = foods(spark, sf_dir).select("name").distinct().withColumn("t", text.tokens(F.col("name")))
+    return rows.select("name", text.state_of(t).alias("state"), text.reconcile_state(F.lit("cooked"), t).alias("reconciled"), F.array_join(text.classes_named(t, text.FAMILIES), ",").alias("families"), F.array_join(text.classes_named(t, text.DERIVED), ",").alias("derived"), F.coalesce(text.first_part(t), F.lit("-")).alias("part"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '([0-9]+(?:[.,][0-9]+)?)\s*%', 1)) AS n_percentages, CASE WHEN regexp_matches(html, '[0-9]+\s*[-–]\s*[0-9]+') THEN CAST(floor((TRY_CAST(regexp_extract(html, '([0-9]+)\s*[-–]\s*([0-9]+)', 1) AS DOUBLE) + TRY_CAST(regexp_extract(html, '([0-9]+)\s*[-–]\s*([0-9]+)', 2) AS DOUBLE)) / 2 + 0.5) AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(html, '([0-9]+(?:[.,][0-9]+)?)', 1), ',', '.') AS DOUBLE) END AS yield FROM pages")
+def percentages(spark, sf_dir):
+    html = F.col("html")
+    return read(spark, sf_dir, "pages").select("page_id", F.size(text.percentages(html)).cast("long").alias("n_percentages"), text.parse_yield(html).alias("yield"))
+
+
+@query(f"WITH {RECIPES_SQL} SELECT slug, sha256(concat_ws('|', CAST(slug AS VARCHAR), coalesce(strategy_tag, '-'), coalesce(CAST(household AS VARCHAR), '-'))) AS fingerprint, concat_ws('|', coalesce(status, '-'), coalesce(strategy_tag, '-')) AS context_key FROM recipes")
+def fingerprints(spark, sf_dir):
+    key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("-")) for c in ("status", "strategy_tag")])
+    return recipes(spark, sf_dir).select("slug", text.canonical_hash(F.col("slug"), F.col("strategy_tag"), F.col("household")).alias("fingerprint"), key.alias("context_key"))
+
+
+@query(rf"WITH {FOODS_SQL} SELECT DISTINCT name, array_to_string(list_sort(list_distinct([name, name || 's', name || 'es', regexp_replace(name, 's$', ''), regexp_replace(name, 'es$', '')])), ',') AS spellings, CASE WHEN length(split_part(name, ' ', 1)) >= 5 AND length(split_part(name, ' ', 2)) >= 5 THEN substr(split_part(name, ' ', 1), 1, 5) = substr(split_part(name, ' ', 2), 1, 5) ELSE false END AS leading FROM foods")
+def scalar_misc(spark, sf_dir):
+    a, b = (F.split_part(F.col("name"), F.lit(" "), F.lit(i)) for i in (1, 2))
+    return foods(spark, sf_dir).select("name").distinct().select("name", F.array_join(text.english_spellings(F.col("name")), ",").alias("spellings"), text.shares_leading(a, b).alias("leading"))
+
+
+# Similarity, gates, plausibility.
+_JACCARD = "CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a.toks, b.toks)) AS DOUBLE) / len(list_distinct(list_concat(a.toks, b.toks))) END"
+_HELD = "CASE WHEN contains(array_to_string(a.toks, ' '), array_to_string(b.toks, ' ')) OR contains(array_to_string(b.toks, ' '), array_to_string(a.toks, ' ')) THEN 0.5 ELSE 0.0 END"
+_BLOCK = "blocked AS (SELECT DISTINCT x.fid AS qid, y.fid AS fid FROM (SELECT fid, unnest(toks) AS t FROM names) x JOIN (SELECT fid, unnest(toks) AS t FROM names) y ON x.t = y.t)"
+
+
+def blocked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    n = names(spark, sf_dir)
+    return n, linkage.blocking(n.withColumnRenamed("fid", "qid"), n)
+
+
+@query(f"WITH {FOODS_SQL}, {NAMES}, {_BLOCK} SELECT qid, fid FROM blocked")
+def blocking_candidates(spark, sf_dir):
+    return blocked(spark, sf_dir)[1]
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    n, b = blocked(spark, sf_dir)
+    return b.join(n.select(F.col("fid").alias("qid"), F.col("toks").alias("qtoks"), F.col("name").alias("qname")), "qid").join(n, "fid")
+
+
+@query(f"WITH {FOODS_SQL}, {NAMES}, {_BLOCK} SELECT qid, k.fid, round({_JACCARD}, 6) AS jaccard, round(greatest({_JACCARD}, {_HELD}), 6) AS similarity, list_slice(b.toks, 1, greatest(len(a.toks), 1)) = a.toks AS prefix FROM blocked k JOIN names a ON a.fid = qid JOIN names b ON b.fid = k.fid")
+def name_similarity(spark, sf_dir):
+    q, f = F.col("qtoks"), F.col("toks")
+    return pairs(spark, sf_dir).select("qid", "fid", F.round(similarity.jaccard(q, f), 6).alias("jaccard"), F.round(similarity.name_similarity(q, f), 6).alias("similarity"), similarity.ordered_prefix(q, f).alias("prefix"))
+
+
+_SANE = nutrition.implausible("kcal", "protein", "carbs", "fat", "saturated", "sugar", "sodium", "name LIKE '%salt%'", "name LIKE '%rum%'")
+
+
+@query(f"WITH {FOODS_SQL} SELECT food_id, coalesce({_SANE}, 'ok') AS reason FROM foods")
+def sanity_check(spark, sf_dir):
+    return foods(spark, sf_dir).select("food_id", F.coalesce(F.expr(_SANE), F.lit("ok")).alias("reason"))
+
+
+@query(f"WITH {FOODS_SQL} SELECT a.food_id AS qid, b.food_id AS fid, abs(a.fat - b.fat) > greatest(2.0, a.fat * 0.15) AS fat_conflict, coalesce(abs(a.kcal - b.kcal) >= 30 AND abs(a.kcal - b.kcal) > 0.25 * greatest(abs(a.kcal), abs(b.kcal)), false) AS differs, a.tier <> b.tier AND a.tier <> 'Other' AND b.tier <> 'Other' AS state_conflict FROM foods a JOIN foods b ON a.brand = b.brand AND a.category = b.category AND a.food_id < b.food_id")
+def attribute_gates(spark, sf_dir):
+    a = foods(spark, sf_dir)
+    b = a.select("brand", "category", F.col("food_id").alias("fid"), F.col("fat").alias("f2"), F.col("kcal").alias("k2"), F.col("tier").alias("t2"))
+    both = a.join(b, ["brand", "category"]).filter("food_id < fid")
+    state_conflict = (F.col("tier") != F.col("t2")) & (F.col("tier") != "Other") & (F.col("t2") != "Other")
+    fat, kcal = (F.col("fat").cast("double"), F.col("f2").cast("double")), (F.col("kcal").cast("double"), F.col("k2").cast("double"))
+    return both.select(F.col("food_id").alias("qid"), "fid", similarity.fat_conflict(*fat).alias("fat_conflict"), similarity.materially_different(*kcal).alias("differs"), state_conflict.alias("state_conflict"))
+
+
+_SCORED = f"{FOODS_SQL}, {NAMES}, {_BLOCK}, scored AS (SELECT qid, k.fid, 60 * greatest({_JACCARD}, {_HELD}) + CASE g.tier WHEN 'Foundation' THEN 20 WHEN 'SR Legacy' THEN 15 ELSE 0 END + CASE WHEN g.kcal IS NOT NULL THEN 15 ELSE -50 END AS score, g.kcal AS kcal FROM blocked k JOIN names a ON a.fid = qid JOIN names b ON b.fid = k.fid JOIN foods g ON g.food_id = k.fid)"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    rows = pairs(spark, sf_dir).join(foods(spark, sf_dir).select(F.col("food_id").alias("fid"), "tier", "kcal"), "fid")
+    return rows.select("qid", "fid", "kcal", linkage.generic_score(F.col("qtoks"), F.col("toks"), F.col("tier"), F.col("kcal")).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT qid, fid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, fid) AS n FROM scored) WHERE n = 1 AND score >= 30 AND kcal IS NOT NULL")
+def rank_top1(spark, sf_dir):
+    best = linkage.top_k(scored(spark, sf_dir), "qid", [F.desc(F.round("score", 6)), F.asc("fid")])
+    return best.filter("score >= 30 AND kcal IS NOT NULL").select("qid", "fid", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT qid, fid, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, fid) AS n FROM scored) WHERE n <= 8")
+def rank_topk(spark, sf_dir):
+    return linkage.top_k(scored(spark, sf_dir), "qid", [F.desc(F.round("score", 6)), F.asc("fid")], 8).select("qid", "fid", "rank")
+
+
+_GROUPS = f"{FOODS_SQL}, grp AS (SELECT brand AS gid, food_id AS fid, name, kcal, CAST((food_id * 7) % 100 AS DOUBLE) AS score, food_id % 5 AS fit, CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie' END AS provider, CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END AS kind FROM foods)"
+
+
+def groups(spark, sf_dir) -> DataFrame:
+    provider = F.expr("CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie' END")
+    kind = F.expr("CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END")
+    return foods(spark, sf_dir).select(F.col("brand").alias("gid"), F.col("food_id").alias("fid"), "name", "kcal", F.expr("CAST((food_id * 7) % 100 AS DOUBLE)").alias("score"), F.expr("food_id % 5").alias("fit"), provider.alias("provider"), kind.alias("kind"))
+
+
+@query(f"WITH {_GROUPS}, t AS (SELECT *, max(score) OVER (PARTITION BY gid) AS top FROM grp WHERE score >= 50) SELECT gid, fid, score FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY fit DESC, score DESC, fid) AS n FROM t WHERE score >= top - 20) WHERE n = 1")
+def band_pick(spark, sf_dir):
+    return linkage.band_pick(groups(spark, sf_dir)).select("gid", "fid", "score")
+
+
+@query(f"WITH {_GROUPS} SELECT gid, arg_min(fid, (fit, fid)) AS pick, min(fit) AS variant, max(score) AS best FROM grp GROUP BY gid")
+def variant_first_hit(spark, sf_dir):
+    hits = groups(spark, sf_dir).select(F.col("gid").alias("qid"), "fid", F.col("fit").alias("variant"), "score")
+    return linkage.first_variant(hits).select(F.col("qid").alias("gid"), "pick", "variant", "best")
+
+
+_ORDERED = f"{_GROUPS}, cand AS (SELECT *, row_number() OVER (PARTITION BY gid, lower(name), kcal ORDER BY score DESC, provider, fid) AS copy FROM grp), ordered AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, provider, fid) AS place FROM cand WHERE copy = 1)"
+
+
+@query(f"WITH {_ORDERED} SELECT gid, fid, CAST(place AS INTEGER) AS place FROM ordered")
+def order_candidates(spark, sf_dir):
+    return linkage.ordered_candidates(groups(spark, sf_dir)).select("gid", "fid", "place")
+
+
+@query(f"WITH {_ORDERED} SELECT gid, sha256(string_agg(CAST(fid AS VARCHAR) || ':' || lower(name) || ':' || provider, '|' ORDER BY place)) AS fingerprint FROM ordered GROUP BY gid")
+def pool_fingerprint(spark, sf_dir):
+    return linkage.fingerprint(linkage.ordered_candidates(groups(spark, sf_dir)))
+
+
+@query(f"WITH {_ORDERED}, k AS (SELECT *, row_number() OVER (PARTITION BY gid, kind ORDER BY place) AS nth FROM ordered), c AS (SELECT *, CASE WHEN kind = 'property' AND nth <= 6 OR kind = 'retail' AND nth <= 3 THEN 1 ELSE 0 END AS reserved FROM k) SELECT gid, fid FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY reserved DESC, place) AS n FROM c) WHERE n <= 12")
+def shortlist(spark, sf_dir):
+    return linkage.shortlist(linkage.ordered_candidates(groups(spark, sf_dir))).select("gid", "fid")
+
+
+@query(f"""WITH {FOODS_SQL}, c AS (SELECT brand || '/' || category AS gid, row_number() OVER (PARTITION BY brand, category ORDER BY food_id) AS pos, food_id AS fid, CASE WHEN food_id % 3 = 0 THEN ['lean'] ELSE [] END AS unmet, CASE WHEN food_id % 2 = 0 THEN ['lean'] ELSE [] END AS stated, food_id % 4 = 1 AS local, CASE WHEN ascii(category) % 2 = 0 THEN -1 END AS forced FROM foods),
+f AS (SELECT gid, max(forced) AS forced, min(pos) FILTER (WHERE local) AS at, arg_min(fid, pos) AS first, arg_min(unmet, pos) AS lacks FROM c GROUP BY gid),
+p AS (SELECT c.gid, min(CASE WHEN len(unmet) = 0 AND (f.at IS NULL OR pos < f.at) THEN pos END) AS ahead, min(CASE WHEN len(unmet) = 0 AND len(list_filter(lacks, lambda x: NOT list_contains(stated, x))) = 0 THEN pos END) AS later FROM c JOIN f ON f.gid = c.gid GROUP BY c.gid)
+SELECT f.gid, CAST(CASE WHEN f.forced IS NOT NULL THEN coalesce(a.fid, f.forced) WHEN len(lacks) = 0 THEN first ELSE coalesce(l.fid, first) END AS BIGINT) AS picked FROM f JOIN p ON p.gid = f.gid LEFT JOIN c a ON a.gid = f.gid AND a.pos = p.ahead LEFT JOIN c l ON l.gid = f.gid AND l.pos = p.later""")
+def chain_resolve(spark, sf_dir):
+    rows = foods(spark, sf_dir)
+    pos = F.row_number().over(Window.partitionBy("brand", "category").orderBy("food_id"))
+    none, lean = F.array().cast("array<string>"), F.array(F.lit("lean"))
+    fid = F.col("food_id")
+    c = rows.select(F.concat("brand", F.lit("/"), "category").alias("gid"), pos.alias("pos"), fid.alias("fid"), F.when(fid % 3 == 0, lean).otherwise(none).alias("unmet"), F.when(fid % 2 == 0, lean).otherwise(none).alias("stated"), (fid % 4 == 1).alias("local"), F.when(F.ascii("category") % 2 == 0, F.lit(-1).cast("long")).alias("forced"))
+    return linkage.chain(c)
+
+
+_VOCABULARY = f"{FOODS_SQL}, voc AS (SELECT food_id AS vid, {nid('name')} AS alias, CASE food_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END AS lang FROM foods WHERE food_id % 50 < 12)"
+
+
+def vocabulary(spark, sf_dir) -> DataFrame:
+    lang = F.expr("CASE food_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END")
+    return foods(spark, sf_dir).filter("food_id % 50 < 12").select(F.col("food_id").alias("vid"), text.normalize_identity(F.col("name")).alias("alias"), lang.alias("lang"))
+
+
+@query(f"WITH {_VOCABULARY}, u AS (SELECT alias, min(vid) AS vid FROM voc WHERE lang <> 'fr' GROUP BY alias HAVING count(DISTINCT lang) = 1), n AS (SELECT DISTINCT name, {nid('name')} AS alias FROM foods) SELECT name, vid FROM n LEFT JOIN u ON u.alias = n.alias")
+def vocabulary_lookup(spark, sf_dir):
+    valid = importers.validated(vocabulary(spark, sf_dir)).filter("reject_reason IS NULL").drop("reject_reason")
+    every = foods(spark, sf_dir).select("name").distinct().withColumn("alias", text.normalize_identity(F.col("name")))
+    return every.join(linkage.unambiguous(valid).select("alias", "vid"), "alias", "left").select("name", "vid")
+
+
+@query(f"WITH {_VOCABULARY} SELECT CASE WHEN lang = 'fr' THEN 'language' ELSE 'ok' END AS reason, count(*) AS n FROM voc GROUP BY 1")
+def vocabulary_conflicts(spark, sf_dir):
+    return importers.validated(vocabulary(spark, sf_dir)).groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FOODS_SQL}, {RECIPES_SQL}, o AS (SELECT 'v1|' || name || '|' || brand AS override_key, max(food_id) AS target FROM foods WHERE food_id % 7 = 0 GROUP BY 1) SELECT food_id, coalesce(target, food_id) AS resolved, target IS NOT NULL AS overridden FROM foods LEFT JOIN o ON o.override_key = 'v1|' || name || '|' || brand")
+def override_resolve(spark, sf_dir):
+    key = F.concat_ws("|", F.lit("v1"), "name", "brand")
+    rows = foods(spark, sf_dir).withColumn("key", key)
+    overrides = rows.filter("food_id % 7 = 0").groupBy("key").agg(F.max("food_id").alias("target"))
+    return rows.join(overrides, "key", "left").select("food_id", F.coalesce("target", "food_id").alias("resolved"), F.col("target").isNotNull().alias("overridden"))
+
+
+@query(f"WITH {RECIPES_SQL}, a AS (SELECT slug, (slug % 400) * 1.0 AS age, household % 3 <> 0 AS found FROM recipes) SELECT slug, CASE WHEN age < 24 THEN CASE WHEN found THEN 'fresh' ELSE 'absent' END WHEN age < 192 THEN CASE WHEN found THEN 'stale' ELSE 'refetch' END ELSE 'refetch' END AS status FROM a")
+def override_ttl(spark, sf_dir):
+    return recipes(spark, sf_dir).select("slug", state.two_horizons(F.col("slug") % 400, F.col("household") % 3 != 0).alias("status"))
+
+
+@query(f"WITH {RECIPES_SQL}, p AS (SELECT a.household, a.slug, min(b.slug) AS source FROM recipes a JOIN recipes b ON b.household = a.household AND b.slug <> a.slug AND b.strategy_tag = a.strategy_tag GROUP BY 1, 2) SELECT slug, source FROM p")
+def own_recipe_source(spark, sf_dir):
+    a = recipes(spark, sf_dir).select("household", "strategy_tag", "slug")
+    b = a.select("household", "strategy_tag", F.col("slug").alias("source"))
+    return a.join(b, ["household", "strategy_tag"]).filter("slug <> source").groupBy("slug").agg(F.min("source").alias("source"))
+
+
+@query(f"WITH {RECIPES_SQL}, p AS (SELECT slug, CASE WHEN total > 0 AND servings > 0 THEN (100 + household % 1000) END AS yield_g, total, servings FROM recipes) SELECT slug, {nutrition.half_up('total * servings * 100 / yield_g', 3)} AS per_100g FROM p WHERE yield_g IS NOT NULL")
+def source_per_100g(spark, sf_dir):
+    rows = recipes(spark, sf_dir).withColumn("yield_g", F.expr("CASE WHEN total > 0 AND servings > 0 THEN (100 + household % 1000) END")).filter("yield_g IS NOT NULL")
+    return rows.select("slug", F.expr(nutrition.half_up("total * servings * 100 / yield_g", 3)).alias("per_100g"))
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def cache_latest(spark, sf_dir):
+    return state.latest(read(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE epoch(TIMESTAMP '2030-01-01') - epoch(date_trunc('second', ts)) >= 0 AND epoch(date_trunc('second', ts)) > (SELECT epoch(date_trunc('second', max(ts))) FROM events) - 86400 GROUP BY event_type")
+def cache_ttl(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    now = rows.agg(F.max("ts")).first()[0]  # the batch's clock
+    return state.fresh(rows, F.lit(now), 24).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'view') v WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.event_id % 5 = 0 AND p.user_id = v.user_id) GROUP BY user_id")
+def cache_misses(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    asked = rows.filter("event_type = 'view'").select("user_id", "event_id").distinct()
+    return state.misses(asked, rows.filter("event_type = 'purchase' AND event_id % 5 = 0"), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id AS slug, event_type AS kind, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def webhook_parse(spark, sf_dir):
+    return stream.parsed(read(spark, sf_dir, "events")).select("event_id", "slug", "kind", "k")
+
+
+@query("SELECT user_id AS slug, event_type AS kind, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def webhook_dedupe(spark, sf_dir):
+    return stream.dedupe_batch(stream.parsed(read(spark, sf_dir, "events"))).select("slug", "kind", "event_id")
+
+
+_NEED = "array_to_string(list_filter([CASE WHEN NOT matched THEN 'no-database-record' END, CASE WHEN matched AND confidence < 0.5 THEN 'unmet-attribute' END, CASE WHEN provider = 'off' THEN 'retail-variant-proxy' END], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"WITH {INGREDIENTS_SQL} SELECT reasons, count(*) AS n FROM (SELECT {_NEED} AS reasons FROM ing) GROUP BY reasons")
+def judge_need(spark, sf_dir):
+    why = F.array_compact(F.array(F.when(~F.col("matched"), "no-database-record"), F.when(F.col("matched") & (F.col("confidence") < 0.5), "unmet-attribute"), F.when(F.col("provider") == "off", "retail-variant-proxy")))
+    return ingredients(spark, sf_dir).select(F.array_join(why, ",").alias("reasons")).groupBy("reasons").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN k IS NULL THEN 'malformed' WHEN k NOT BETWEEN 1 AND 60 THEN 'out-of-range' WHEN value < 20 THEN 'low-confidence' ELSE 'accepted' END AS verdict, count(*) AS n FROM (SELECT TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) GROUP BY 1")
+def reply_validation(spark, sf_dir):
+    verdict = F.when(F.col("k").isNull(), "malformed").when(~F.col("k").between(1, 60), "out-of-range").when(F.col("value") < 20, "low-confidence").otherwise("accepted")
+    return stream.parsed(read(spark, sf_dir, "events")).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS food_id, round(coalesce(max(CASE WHEN l_linenumber = 1 THEN l_quantity END), max(CASE WHEN l_linenumber = 2 THEN l_quantity END)) * 1.0, 4) AS energy, round(max(CASE WHEN l_linenumber = 3 THEN l_quantity END) * 0.001, 4) AS sodium FROM lineitem GROUP BY l_orderkey")
+def nutrient_pivot(spark, sf_dir):
+    long = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("food_id"), F.col("l_linenumber").alias("nutrient_id"), F.col("l_quantity").alias("amount"))
+    return importers.pivot_nutrients(long, {"energy": [1, 2], "sodium": [3]}, {"sodium": 0.001})
+
+
+@query(f"WITH {FOODS_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN kcal IS NULL THEN 'energy' WHEN length(name) < 8 THEN 'name' WHEN tier = 'Other' THEN 'category' WHEN fat > 30 THEN 'fat' ELSE 'kept' END AS reason FROM foods) GROUP BY reason")
+def off_filter_reasons(spark, sf_dir):
+    reason = F.when(F.col("kcal").isNull(), "energy").when(F.length("name") < 8, "name").when(F.col("tier") == "Other", "category").when(F.col("fat") > 30, "fat").otherwise("kept")
+    return foods(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FOODS_SQL}, s AS (SELECT brand, category, count(DISTINCT sodium) AS n_parts FROM foods GROUP BY 1, 2) SELECT food_id, n_parts > 1 AND sodium > 15 AS refused FROM foods f JOIN s ON s.brand = f.brand AND s.category = f.category")
+def set_level_part(spark, sf_dir):
+    parts = F.size(F.collect_set("sodium").over(Window.partitionBy("brand", "category")))
+    return foods(spark, sf_dir).select("food_id", ((parts > 1) & (F.col("sodium") > 15)).alias("refused"))
+
+
+@query(f"WITH {FOODS_SQL} SELECT food_id, fid FROM (SELECT a.food_id, b.food_id AS fid, row_number() OVER (PARTITION BY a.food_id ORDER BY CASE WHEN b.kcal IS NULL THEN 1 ELSE 0 END, b.food_id) AS n FROM foods a JOIN foods b ON a.name = b.name AND a.brand = b.brand) WHERE n = 1")
+def exact_lookup(spark, sf_dir):
+    """The first record of a name, one with energy before others: one pass over the names, not a self-join of copies."""
+    rows = foods(spark, sf_dir)
+    first = rows.groupBy("name", "brand").agg(F.min(F.struct(F.col("kcal").isNull().alias("none"), F.col("food_id").alias("fid"))).alias("f"))
+    return rows.join(first, ["name", "brand"]).select("food_id", "f.fid")
+
+
+@query(f"WITH {RECIPES_SQL} SELECT slug, CASE WHEN household % 10 = 0 AND status <> 'F' THEN 'manual' WHEN household % 10 = 1 THEN 'drifted' ELSE 'owned' END AS ownership, CAST(floor(total * 1000 + 0.5) AS BIGINT) AS milligrams FROM recipes")
+def manual_ownership(spark, sf_dir):
+    owner = F.when((F.col("household") % 10 == 0) & (F.col("status") != "F"), "manual").when(F.col("household") % 10 == 1, "drifted").otherwise("owned")
+    return recipes(spark, sf_dir).select("slug", owner.alias("ownership"), F.expr("CAST(floor(total * 1000 + 0.5) AS BIGINT)").alias("milligrams"))
+
+
+@query(f"WITH {INGREDIENTS_SQL}, e AS (SELECT CASE WHEN confidence >= 0.5 THEN 'E' ELSE '-' END AS en, CASE WHEN confidence >= 0.7 THEN 'C' ELSE '-' END AS core, CASE WHEN brand = 'Brand#1' OR idx % 3 = 0 THEN 'B' ELSE '-' END AS br FROM ing) SELECT en || core || br AS evidence_key, en = '-' OR core = '-' AS degraded, br = 'B' OR (en = 'E' AND core = 'C') AS may_query_off, count(*) AS n FROM e GROUP BY 1, 2, 3")
+def evidence_routing(spark, sf_dir):
+    mark = lambda c, v: F.when(c, v).otherwise("-")
+    e = ingredients(spark, sf_dir).select(mark(F.col("confidence") >= 0.5, "E").alias("en"), mark(F.col("confidence") >= 0.7, "C").alias("core"), mark((F.col("brand") == "Brand#1") | (F.col("idx") % 3 == 0), "B").alias("br"))
+    keyed = e.select(F.concat("en", "core", "br").alias("evidence_key"), ((F.col("en") == "-") | (F.col("core") == "-")).alias("degraded"), ((F.col("br") == "B") | ((F.col("en") == "E") & (F.col("core") == "C"))).alias("may_query_off"))
+    return keyed.groupBy("evidence_key", "degraded", "may_query_off").agg(F.count("*").alias("n"))
+
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "domain"]
