@@ -21,7 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm.common import stored
+
 MODULUS, LONG_WORDS, MIN_WORDS = 4, 50, 10
+#: Repeated chunks whose places are sent to all executors; beyond, both sides are exchanged.
+BROADCAST_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,36 +66,39 @@ def chunks(text: Column) -> Column:
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", facts_as: str | None = "line_dedup") -> DataFrame:
     """The rows with their texts cleaned, and a column of facts: struct<n_lines, n_removed, removed array<pos>>; none, if facts_as is None."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct("*").alias("row"))
-    found = rows.select("k", F.explode(chunks(F.col("t"))).alias("c"))
-    found = found.select("k", F.col("c.pos").alias("pos"), F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("size")).distinct()
-    repeated = found.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter("n > 1").select("h", "size", "first")
-
-    # The bytes of first occurrences, from the rows by identifier.
-    firsts = repeated.groupBy(F.col("first.k").alias("fk")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h", "size")).alias("wanted"))
-    by_key = rows.join(firsts, rows.k.eqNullSafe(firsts.fk))
-    lines = F.split(F.col("t"), "\n")
-    bodies = by_key.select(F.explode(let(chunks(F.col("t")), lambda cs: F.filter(cs, lambda c: F.exists("wanted", lambda w: w["pos"] == c["pos"])))).alias("c"))
+    rows = df.select(F.col(key).alias("k"), F.struct("*").alias("row"))
+    body = F.col("row")[text]
+    found = rows.select("k", F.explode(chunks(body)).alias("c"))
+    found = stored(found.select("k", F.col("c.pos").alias("pos"), F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("size")), "chunks")
+    repeated = found.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter("n > 1")
+    repeated = stored(repeated.select("h", "size", "first"), "repeated")
+
+    # The bytes of first occurrences: their documents are picked where they lie, if those are few enough to be named.
+    firsts = repeated.groupBy(F.col("first.k").alias("fk")).agg(F.collect_list("first.pos").alias("wanted"))
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    by_key = rows.join(F.broadcast(firsts) if few else firsts, rows.k.eqNullSafe(firsts.fk))
+    bodies = by_key.select(F.explode(let(chunks(body), lambda cs: F.filter(cs, lambda c: F.array_contains("wanted", c["pos"])))).alias("c"))
     bodies = bodies.select(F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("size"), F.col("c.body").alias("body")).dropDuplicates(["h", "size"])
 
     later = found.join(repeated, ["h", "size"]).filter(~F.struct("k", "pos").eqNullSafe(F.col("first"))).select("h", "size", "k", "pos")
-    doubted = later.join(bodies, ["h", "size"]).groupBy(F.col("k").alias("lk")).agg(F.collect_list(F.struct("pos", "body")).alias("doubted"))
+    doubted = later.join(bodies, ["h", "size"]).groupBy(F.col("k").alias("lk")).agg(F.collect_set(F.struct("pos", "body")).alias("doubted"))
 
     joined = rows.join(doubted, rows.k.eqNullSafe(doubted.lk), "left")
+    lines = F.split(body, "\n")
     same = let(lines, lambda ls: F.filter(F.col("doubted"), lambda d: F.array_join(F.slice(ls, d["pos"] + 1, F.size(F.split(d["body"], "\n"))), "\n") == d["body"]))
     gone = F.when(F.col("doubted").isNull(), F.array().cast("array<struct<pos:int,lines:int>>")).otherwise(F.array_sort(F.transform(same, lambda d: F.struct(d["pos"].alias("pos"), F.size(F.split(d["body"], "\n")).alias("lines")))))
     marked = joined.withColumn("gone", gone)
     def stay(ls: Column, sp: Column, s: Column, i: Column) -> Column:
         before = F.get(sp, i - 1)
         start = F.coalesce(before["pos"] + before["lines"], F.lit(0))
-        return F.slice(ls, start + 1, s["pos"] - start)
+        return F.slice(ls, start + 1, F.greatest(s["pos"] - start, F.lit(0)))
 
     # Removed spans don't overlap and are sorted: what stands between them stays.
     spans = F.concat(F.col("gone"), F.array(F.struct(F.size(lines).alias("pos"), F.lit(0).alias("lines"))))
     kept = let(lines, lambda ls: let(spans, lambda sp: F.flatten(F.transform(sp, lambda s, i: stay(ls, sp, s, i)))))
 
-    cleaned = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.array_join(kept, "\n"))
-    facts = F.struct(F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size("gone").alias("n_removed"), F.transform("gone", lambda g: g["pos"]).alias("removed"))
+    cleaned = F.when(F.size("gone") == 0, body).otherwise(F.array_join(kept, "\n"))
+    facts = F.struct(F.when(body.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size("gone").alias("n_removed"), F.transform("gone", lambda g: g["pos"]).alias("removed"))
     out = marked.select("row", cleaned.alias("cleaned"), facts.alias("facts"))
     return out.select(*[F.col("cleaned").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns], *([F.col("facts").alias(facts_as)] if facts_as else []))
 
