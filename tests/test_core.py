@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from provender.config import Config
 from provender.functions import nutrition, similarity, text
 from provender.operators import linkage, state
-from provender.plans import catalogue
+from provender.plans import catalogue, resolution  # noqa: F401 (registers its queries)
 from provender.sources import importers
 from provender.streaming import events
 
