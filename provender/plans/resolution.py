@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provender.functions import nutrition, text
-from provender.operators import linkage, overrides, replies, scoring
+from provender.operators import linkage, overrides, replies, rules, scoring
 from provender.plans import catalogue
 from provender.plans.catalogue import _BLOCK, _GRADED, _GROUPS, _JACCARD, _SANE, NAMES, graded, groups, names, pairs, query, words
 from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes
@@ -168,4 +168,26 @@ def cache_revalidate(spark, sf_dir):
     return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+_OIL = "CASE WHEN FALSE THEN 'generic-oil'"
+_WORN = " ".join(f"WHEN regexp_matches(lower(a.name), '{q}') AND regexp_matches(lower(b.name), '{c}') AND NOT regexp_matches(lower(a.name), '{c}') THEN '{why}'" for q, c, why in rules.MISMATCHES)
+
+
+@query(f"""WITH {FOODS_SQL}, n AS (SELECT min(food_id) AS fid, name, min(category) AS category, min(brand) AS brand FROM foods GROUP BY name), {NAMES}, {_BLOCK}
+SELECT qid, k.fid, coalesce({_OIL} {_WORN} END, 'none') AS mismatch, lower(a.category) IN ({words(rules.STRICT)}) AND contains(b.name, 'gizmo') AND NOT contains(a.name, 'gizmo') AS category_conflict,
+qid % 3 <> 0 AND NOT contains(lower(b.name || ' ' || b.brand), lower(a.brand)) AS brand_conflict FROM blocked k JOIN n a ON a.fid = qid JOIN n b ON b.fid = k.fid""")
+def gates_by_rule(spark, sf_dir):
+    n = foods(spark, sf_dir).groupBy("name").agg(F.min("food_id").alias("fid"), F.min("category").alias("category"), F.min("brand").alias("brand"))
+    asked = n.select(F.col("fid").alias("qid"), F.col("name").alias("qname"), F.col("category").alias("qcategory"), F.col("brand").alias("qbrand"))
+    both = catalogue.blocked(spark, sf_dir)[1].join(asked, "qid").join(n, "fid")
+    brand = rules.brand_conflict(F.col("qid") % 3 == 0, F.col("qbrand"), F.col("brand"), F.concat_ws(" ", "name", "brand"))
+    return both.select("qid", "fid", F.coalesce(rules.mismatch(F.col("qname"), F.col("name")), F.lit("none")).alias("mismatch"), rules.category_conflict(F.col("qcategory"), F.col("qname"), F.col("name")).alias("category_conflict"), brand.alias("brand_conflict"))
+
+
+@query("WITH w AS (SELECT user_id AS slug, min(event_id) AS seq FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 400 = 0) GROUP BY 1) SELECT slug, seq FROM w ORDER BY seq LIMIT (SELECT greatest(0, 20 - count(*)) FROM events WHERE event_type = 'error' AND event_id % 400 = 0)")
+def queue_runnable(spark, sf_dir):
+    """The limit is the feature: as many jobs as may run at once."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("slug"), F.col("event_id").alias("seq"), "event_type")
+    return stream.runnable(rows.filter("event_type = 'view'"), rows.filter("event_type = 'error' AND seq % 400 = 0"), 20)
+
+
 QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES

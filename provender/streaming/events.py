@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,20 @@ def upsert(path: str, key: list[str], newest: str) -> Callable[[DataFrame, int],
         last.select(*key, "last.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def runnable(pending: DataFrame, running: DataFrame, limit: int = 2) -> DataFrame:
+    """The jobs to start, first come first served: one a slug, none whose slug runs, as many as running ones leave of the limit.
+
+    A job that fails leaves `running`, and so its place. The free places are counted in the plan; at most `limit` rows result.
+    """
+    waiting = pending.join(running.select("slug").distinct(), "slug", "left_anti")
+    heads = waiting.groupBy("slug").agg(F.min("seq").alias("seq")).orderBy("seq").limit(limit)
+    taken = running.agg(F.count("*").alias("taken"))
+    nth = heads.withColumn("nth", F.row_number().over(Window.orderBy("seq")))  # of `limit` rows
+    return nth.join(F.broadcast(taken), F.col("nth") <= F.lit(limit) - F.col("taken")).select("slug", "seq")
+
+
+def once_within(stream: DataFrame, key: list[str], ttl: str, time: str = "ts") -> DataFrame:
+    """The first row of each key; the key is forgotten when `ttl` has passed, so state is bounded. Later ones are dropped."""
+    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(key)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from provender.functions.text import DESCRIPTORS
-from provender.operators import overrides, replies, scoring
+from provender.operators import overrides, replies, rules, scoring
+from provender.sources import importers
+from provender.streaming import events
 
 WORDS = ["zwiebel", "zwiebeln", "suppe", "zwiebelsuppe", "rote", "rot", "kartoffel", "kartoffeln", "salz", "zuckerfrei", "fresh", "3"]
 
@@ -151,3 +153,72 @@ def test_empty_tables(spark):
     assert overrides.current(log).count() == 0
     names = spark.createDataFrame([], "fid int, name string")
     assert scoring.contains_recall(names.selectExpr("fid AS qid", "name AS needle"), names).count() == 0
+
+
+@pytest.mark.parametrize(
+    "q,n,reason",
+    [
+        ("Ginger", "ginger ale", "drink"),
+        ("ginger ale", "Ginger Ale", None),
+        ("oil", "olive oil", "generic-oil"),
+        ("Öl", "Öl", None),
+        ("oil", "vegetable oil", None),
+        ("olive oil", "oil, almond", None),
+        ("apple", "apple", None),
+        ("gingerbread", "ginger ale", None),
+    ],
+)
+def test_mismatch(spark, q, n, reason):
+    assert one(spark, rules.mismatch(F.col("q"), F.col("n")), q=q, n=n) == reason
+
+
+def test_parts_are_ambiguous_in_a_set(spark):
+    rows = spark.createDataFrame(
+        [(1, ["dill"], ["dill", "seed"]), (1, ["dill"], ["dill", "leaf"]), (2, ["cumin"], ["cumin", "seed"]), (2, ["cumin"], ["bean", "leaf"]), (3, ["dill", "seed"], ["dill", "seed"]), (3, ["dill", "seed"], ["dill", "seed", "leaf"])],
+        "g int, q array<string>, t array<string>",
+    )
+    got = rules.part_conflict(rows, "g", F.col("q"), F.col("t"))
+    assert {(r.g, r.part_conflict) for r in got.collect()} == {(1, True), (2, False), (3, False)}
+
+
+@pytest.mark.parametrize("name,brand,want", [("Acme Rye Bread", "acme", True), ("Acmes Rye Bread", "acme", False), ("Rye Bread", "", False), ("Rye Bread", None, False)])
+def test_exact_branded_name(spark, name, brand, want):
+    assert one(spark, rules.exact_branded_name(F.lit(True), F.col("n"), F.col("n"), F.col("b")), n=name, b=brand) is want
+
+
+def test_wide_table(spark):
+    sheet = spark.createDataFrame([("B1", "Brot", "1,5", "200", "-"), ("X2", "Eintopf", "tr", "", None)], ["code", "name", "FAT fett [g]", "NA natrium [mg]", "ENER energie"])
+    prefixes = {"fat": "fat", "sodium": "NA ", "kcal": "ENER"}
+    got = importers.wide_table(sheet, "code", "name", prefixes, {"sodium": 0.001}).collect()
+    assert [tuple(r) for r in got] == [("B1", "Brot", "simple", 1.5, 0.2, None), ("X2", "Eintopf", "composite", 0.0, None, None)]
+    with pytest.raises(ValueError):
+        importers.resolved_columns(["FAT a", "FAT b"], {"fat": "FAT"})
+    wrong = spark.createDataFrame([("B1", "Brot", "much")], ["code", "name", "FAT"])
+    with pytest.raises(Exception, match="not a number"):
+        importers.wide_table(wrong, "code", "name", {"fat": "FAT"}, {}).collect()
+
+
+def test_reference_table(spark):
+    foods = spark.createDataFrame([("dried dill seed", 10.0, 3.0, None), ("raw egg", 1.0, 2.0, 0.5), ("", None, None, None)], "name string, fat double, saturated double, trans double")
+    got = importers.reference_table(foods, 1).collect()
+    assert [(r.state, r.part, r.unsaturated) for r in got] == [("dried", "seed", 7.0), ("raw", None, 0.0), ("unknown", None, None)]
+    with pytest.raises(ValueError):
+        importers.reference_table(foods, 2)
+
+
+def test_queue_leaves_no_slug_twice(spark):
+    pending = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5)], "slug string, seq int")
+    none = spark.createDataFrame([], "slug string")
+    assert sorted(tuple(r) for r in events.runnable(pending, none).collect()) == [("a", 1), ("b", 3)]
+    assert [tuple(r) for r in events.runnable(pending, spark.createDataFrame([("a",)], "slug string")).collect()] == [("b", 3)]
+    assert events.runnable(pending, spark.createDataFrame([("x",), ("y",)], "slug string")).count() == 0
+
+
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    schema = "slug string, ts timestamp"
+    for i, rows in enumerate([[("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:30:00")], [("b", "2024-01-01 09:00:00")], [("a", "2024-01-01 09:30:00")]]):
+        df = spark.createDataFrame(rows, "slug string, ts string").select("slug", F.col("ts").cast("timestamp").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = events.once_within(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["slug"], "1 hour")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.slug for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "a", "b"]
