@@ -12,6 +12,7 @@ TOTALS = {
     "kcal_total": "sum(CASE WHEN matched THEN kcal * grams / 100 END)",
     "fat_total": "sum(CASE WHEN matched THEN fat * grams / 100 END)",
     "protein_total": "sum(CASE WHEN matched THEN protein * grams / 100 END)",
+    "sodium_total": "sum(CASE WHEN matched THEN sodium * grams / 100 END)",
     "known_weight": "sum(grams)",
     "resolved_weight": "sum(CASE WHEN matched THEN grams END)",
     "n_matched": "sum(CASE WHEN matched THEN 1 ELSE 0 END)",

@@ -131,17 +131,18 @@ def override_suggestions(spark, sf_dir):
     return doubted.groupBy("food_id").agg(F.count("*").alias("n"), why.alias("why"))
 
 
+#: Whole milligrams; rounded before halves go up, as sums differ in their last digits.
+_SODIUM = "CASE WHEN completeness <> 'withheld' THEN CAST(floor(round(sodium_total, 6) + 0.5) AS BIGINT) END"
 _SHARE = nutrition.half_up("CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal ELSE 0 END", 4)
 
 
-@query(f"WITH {_GRADED} SELECT slug, kcal_serving AS kcal, CASE WHEN completeness <> 'withheld' THEN CAST(floor(sodium * 1000 + 0.5) AS BIGINT) END AS sodium_mg, concat_ws(',', 'completeness=' || completeness, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded LEFT JOIN (SELECT slug AS fs, sum(CASE WHEN matched THEN grams * 0.004 END) AS sodium FROM ing GROUP BY 1) ON fs = slug")
+@query(f"WITH {_GRADED} SELECT slug, kcal_serving AS kcal, {_SODIUM} AS sodium_mg, concat_ws(',', 'completeness=' || completeness, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded")
 def patch_output(spark, sf_dir):
     """What is written back: fields of a withheld result are null; extras hold only what there is (share in 1/10000)."""
-    sodium = ingredients(spark, sf_dir).groupBy("slug").agg(F.expr("sum(CASE WHEN matched THEN grams * 0.004 END)").alias("sodium"))
-    rows = graded(spark, sf_dir).join(sodium, "slug", "left").withColumn("share", F.expr(_SHARE))
+    rows = graded(spark, sf_dir).withColumn("share", F.expr(_SHARE))
     share = F.when(F.col("share") > 0, F.concat(F.lit("share="), F.floor(F.col("share") * 10000 + 0.5).cast("string")))
     extras = F.concat_ws(",", F.concat(F.lit("completeness="), "completeness"), F.concat(F.lit("evidence="), "evidence"), share)
-    return rows.select("slug", F.col("kcal_serving").alias("kcal"), F.expr("CASE WHEN completeness <> 'withheld' THEN CAST(floor(sodium * 1000 + 0.5) AS BIGINT) END").alias("sodium_mg"), extras.alias("extras"))
+    return rows.select("slug", F.col("kcal_serving").alias("kcal"), F.expr(_SODIUM).alias("sodium_mg"), extras.alias("extras"))
 
 
 @query(f"WITH {RECIPES_SQL}, dim AS (SELECT lower(n_name) AS name, min(n_nationkey) AS id FROM nation GROUP BY 1), w AS (SELECT slug, unnest([strategy_tag, 'nation_' || CAST(household % 30 AS VARCHAR)]) AS tag FROM recipes) SELECT DISTINCT slug, CAST(CASE WHEN id IS NOT NULL THEN id ELSE -CAST('0x' || substr(md5(lower(tag)), 1, 8) AS BIGINT) - 1 END AS BIGINT) AS tag_id FROM w LEFT JOIN dim ON dim.name = lower(tag) WHERE id IS NOT NULL OR slug % 17 <> 0")
