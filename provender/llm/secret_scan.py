@@ -1,6 +1,6 @@
 """Secret scans: patterns propose candidates, a random forest drops the false ones; DataFrame operations only.
 
-Candidates are strings of known shapes, assigned values and long strings with digits. Their features are SQL
+Candidates are strings of known shapes, assigned values and long strings, each whole. Their features are SQL
 expressions: length, class shares, transitions between character classes, variety, coverage by dictionary
 words, whether it looks like or stands in a path, and what the words around it say. The forest is trained on
 the driver from LABELLED findings (a bounded list that this module makes from rules) and is then itself a SQL
@@ -27,9 +27,11 @@ SHAPES = (
     r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b",
     r"\b(xox[abpr]-[A-Za-z0-9-]{10,})\b",
     r"\b(sk[-_][A-Za-z0-9_-]{16,})\b",
-    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
-    r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})",
-    r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_=-]{24,200})(?![A-Za-z0-9+/_=-])",
+    # To the END line; where there is none, with the body as far as it is one.
+    r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s++[A-Za-z0-9+/=]{32,}+)++(?:[ \t]*+\r?\n[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n]|$)))?)?)",
+    r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,}+)",
+    # What stands behind a name and "=" is taken without them.
+    r"((?<![A-Za-z0-9+/_=-])(?![A-Za-z+/_-]*+=)[A-Za-z0-9+/_=-]{24,}+|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+)",
 )
 #: Words that speak for an invented or harmless value, and words beside secrets and beside digests.
 DICTIONARY = ("password", "example", "changeme", "placeholder", "sample", "dummy", "secret", "token", "your", "here", "test", "fake", "none", "null", "true", "false", "demo", "value", "string", "user", "name", "admin", "default", "insert", "todo", "xxxx", "file", "path", "data", "image", "version", "release", "index")
@@ -47,11 +49,14 @@ FEATURES = {
     "variety": "size(array_distinct(split({v}, ''))) / least(length({v}), 40)",
     "covered": "1 - length(regexp_replace(lower({v}), '" + "|".join(DICTIONARY) + "', '')) / length({v})",
     "hex": "double(rlike({v}, '^[0-9a-fA-F-]+$'))",
-    "path": "double(rlike({v}, '(?:/[^/]+){{2,}}|[.][a-z]{{1,4}}$') OR rlike({b}, '[/\\\\\\\\]$|://[^ ]*$') OR rlike({a}, '^(?:/|[.][a-z]{{2,4}}([^a-z]|$))'))",
+    "path": "double(rlike({v}, '(?:/[^/]+){{2}}|[.][a-z]{{1,4}}$') OR rlike({b}, '[/\\\\\\\\]$|://[^ ]*$') OR rlike({a}, '^(?:/|[.][a-z]{{2,4}}([^a-z]|$))'))",
     "keyword": "double(rlike(lower({b}), '(" + "|".join(KEYWORDS) + ")[^ ]{{0,12}} {{0,2}}[:=]? ?.?$'))",
     "harmless": "double(rlike(lower(concat({b}, ' ', {a})), '" + "|".join(HARMLESS) + "'))",
     "vendor": "double(rlike({v}, '^(AKIA[0-9A-Z]{{16}}$|gh[pousr]_|xox[abpr]-|sk[-_]|-----BEGIN)'))",
-    "wordlike": "double(rlike({v}, '^[A-Z]?[a-z]+([-_/+][A-Za-z]?[a-z]+)*[-_]?[0-9]{{0,4}}$'))",
+    "wordlike": "double(rlike({v}, '^[A-Z]?[a-z]+(?:[-_/+][A-Za-z]?[a-z]+)*+[-_]?[0-9]{{0,4}}$'))",
+    "digit": "double(rlike({v}, '[0-9]'))",
+    "classes": "double(rlike({v}, '[0-9]')) + double(rlike({v}, '[a-z]')) + double(rlike({v}, '[A-Z]'))",
+    "embedded": "double(rlike({b}, ';base64,$') OR rlike({v}, '^data:'))",
     "template": "double(rlike({v}, '^[<$%{{\\\\[(*]|[)>}}\\\\]*]$'))",
 }
 
@@ -65,7 +70,7 @@ def labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, int]]:
     every = string.ascii_letters + string.digits
     out = []
     for _ in range(n):
-        kind = rng.randrange(14)
+        kind = rng.randrange(24)
         name = rng.choice(["password=", "token = \"", "secret: ", "api_key=", "API_KEY = '", "access_key=\"", "pwd=", "auth: "])
         lead, tail = text() + " ", " " + text()
         harmless = rng.choice(["example ", "sha256 ", "md5: ", "commit ", "checksum ", "dummy ", "uuid ", "integrity "])
@@ -84,6 +89,16 @@ def labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, int]]:
             11: lambda: (rng.choice(["xxxx", "****", "1234"]) * rng.randint(2, 8), lead + name, tail, 0),
             12: lambda: (take("0123456789", rng.randint(24, 40)), lead, tail, 0),
             13: lambda: ("".join(rng.choice(["tion", "er", "th", "and", "ing", "ou", "es"]) for _ in range(8)) + rng.choice(["2", "19", "-1"]), lead + rng.choice(["", name]), tail, 0),
+            14: lambda: (take(rng.choice([every, every + "_-", every + "+/", "0123456789abcdef" * 4 + every]), rng.randint(65, 1500)), lead + rng.choice(["", name]), tail, 1),
+            15: lambda: (".".join(["eyJ" + take(every, 33), "eyJ" + take(every + "_-", rng.randint(60, 900)), take(every + "_-", rng.choice([43, 86, 342]))]), lead + name, tail, 1),
+            16: lambda: (take(string.ascii_letters, rng.randint(26, 300)), lead, tail, 1),
+            17: lambda: (rng.choice(["-", "=", "_", "+", "/", "-=", "=+"]) * rng.randint(24, 200), lead, tail, 0),
+            18: lambda: ("".join(rng.choice(["tion", "er", "th", "and", "ing", "ou", "es"]) for _ in range(rng.randint(10, 40))).capitalize(), lead, tail, 0),
+            19: lambda: (rng.choice(["-", "_", "/", "+", ""]).join(rng.choice(words + list(DICTIONARY)).capitalize() for _ in range(rng.randint(8, 60))), lead, tail, 0),
+            20: lambda: (take(every + "+/", rng.randint(30, 1500)), (lead + "data:image/png;base64,"), tail, 0),
+            21: lambda: (take(rng.choice(["0123456789", "ACGT", "acgt", "01", "ab"]), rng.randint(41, 900)), lead, tail, 0),
+            22: lambda: (rng.choice(["ab", "Xy1", "abcdefgh", "0123456789", "deadbeef"]) * rng.randint(12, 90), lead, tail, 0),
+            23: lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(take(every + "+/", 64) for _ in range(rng.randint(1, 24))) + "\n-----END RSA PRIVATE KEY-----", lead, tail, 1),
         }[kind]()
         out.append((row[0], row[1][-AROUND:], row[2][:AROUND], row[3]))
     return out
