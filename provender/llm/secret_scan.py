@@ -6,8 +6,8 @@ words, whether it looks like or stands in a path, and what the words around it s
 the driver from LABELLED findings (a bounded list that this module makes from rules) and is then itself a SQL
 expression, so a scan is one projection of whole texts, without exchange.
 
-Each distinct candidate of a text is judged once, at its first place; redaction replaces it wherever it
-stands. A null text has no findings and stays null. Repeated rows are each scanned. Extra columns are kept,
+Every match is judged at its own place, by the words around it there. Redaction replaces a value that is a
+secret at one place of a text wherever it stands in that text, as any copy would give it away. A null text has no findings and stays null. Repeated rows are each scanned. Extra columns are kept,
 whatever their names. An empty table gives an empty result.
 """
 
@@ -171,33 +171,52 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
 
 
 def scan(df: DataFrame, text: str = "text", least: float = 0.5, findings: list | None = None) -> DataFrame:
-    """The rows with a column `secrets`: array<struct<start, value, score, is_secret>> of all candidates in order of their places, and `redacted`."""
+    """The rows with a column `secrets`: array<struct<start, value, score, is_secret, starts>>, an element for each value and verdict with all its places (start and score are the first one's), in order, and `redacted`."""
     rows = _scanned(df, text, least, findings)
     return rows.select(*[F.col("row")[c].alias(c) for c in df.columns], F.col("secrets"), F.col("redacted"))
 
 
+def places_sql(shape: str) -> str:
+    """array<struct<v, p>> of a shape's matches in `t`, as SQL: the values and where they begin, from 1."""
+    r = "'" + shape.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # What stands between matches, and the matches themselves, add up to places; a value ends where its match does.
+    ends = "transform(z.v, (v, k) -> named_struct('v', v, 'step', length(z.s[k]) + length(z.m[k])))"
+    run = f"aggregate({ends}, named_struct('at', 1, 'out', CAST(array() AS array<struct<v:string,p:int>>)), (acc, x) -> named_struct('at', acc.at + x.step, 'out', concat(acc.out, array(named_struct('v', x.v, 'p', acc.at + x.step - length(x.v))))), acc -> acc.out)"
+    found = f"transform(array(named_struct('v', vs, 'm', regexp_extract_all(t, {r}, 0), 's', split(t, {r}, -1))), z -> {run})[0]"
+    return f"transform(array(regexp_extract_all(t, {r}, 1)), vs -> CASE WHEN size(vs) > 0 THEN {found} END)[0]"
+
+
 def _scanned(df: DataFrame, text: str, least: float, findings: list | None) -> DataFrame:
     """row (all columns), secrets, redacted."""
     rows = df.select(F.struct("*").alias("row"), F.col(text).alias("t"))
-    every = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(1)) for p in SHAPES])
-    # Of a text with many candidates, each is found by one search from the start.
-    rows = rows.withColumn("c", F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda v: F.length(v) > 5)))
-    placed = "transform(c, v -> named_struct('v', v, 'p', instr(t, v)))"
-    around = f"transform({placed}, x -> named_struct('v', x.v, 'p', x.p, 'b', substring(t, greatest(1, x.p - {AROUND}), least({AROUND}, x.p - 1)), 'a', substring(t, x.p + length(x.v), {AROUND})))"
+    none = "CAST(array() AS array<struct<v:string,p:int>>)"
+    every = ", ".join(f"coalesce({places_sql(p)}, {none})" for p in SHAPES)
+    rows = rows.withColumn("c", F.expr(f"array_distinct(filter(concat({every}), x -> length(x.v) > 5))"))
+    around = f"transform(c, x -> named_struct('v', x.v, 'p', x.p, 'b', substring(t, greatest(1, x.p - {AROUND}), least({AROUND}, x.p - 1)), 'a', substring(t, x.p + length(x.v), {AROUND})))"
     rows = rows.withColumn("x", F.expr(around))
     rows = rows.withColumn("x", F.expr(f"transform(x, s -> named_struct('v', s.v, 'p', s.p, 'f', {features_sql('s.v', 's.b', 's.a')}))"))
     vote = forest_sql(df.sparkSession, findings).replace("f.", "s.f.")
     rows = rows.withColumn("x", F.expr(f"transform(x, s -> named_struct('value', s.v, 'start', s.p - 1, 'score', {vote}))"))
-    found = F.expr(f"array_sort(transform(x, s -> named_struct('start', s.start, 'value', s.value, 'score', s.score, 'is_secret', s.score >= {least}D)))")
+    rows = rows.withColumn("judged", F.expr(f"array_sort(transform(x, s -> named_struct('start', s.start, 'value', s.value, 'score', s.score, 'is_secret', s.score >= {least}D)))"))
+    kinds = "array_distinct(transform(judged, s -> named_struct('value', s.value, 'is_secret', s.is_secret)))"
+    alike = "filter(judged, s -> s.value = k.value AND s.is_secret = k.is_secret)"
+    entry = "named_struct('start', g[0].start, 'value', g[0].value, 'score', g[0].score, 'is_secret', g[0].is_secret, 'starts', transform(g, s -> s.start))"
+    rows = rows.withColumn("secrets", F.expr(f"array_sort(transform({kinds}, k -> transform(array({alike}), g -> {entry})[0]))"))
     # Longer ones first, as one may hold another.
-    order = "array_sort(filter(secrets, s -> s.is_secret), (l, r) -> CASE WHEN length(l.value) > length(r.value) THEN -1 WHEN length(l.value) < length(r.value) THEN 1 ELSE 0 END)"
-    rows = rows.withColumn("secrets", found)
-    redacted = F.expr(f"CASE WHEN exists(secrets, s -> s.is_secret) THEN aggregate({order}, t, (m, s) -> replace(m, s.value, '{MASK}')) ELSE t END")
+    rows = rows.withColumn("known", F.expr("array_sort(transform(filter(secrets, s -> s.is_secret), s -> s.value), (l, r) -> CASE WHEN length(l) > length(r) THEN -1 WHEN length(l) < length(r) THEN 1 ELSE 0 END)"))
+    # Overlapping matches go as one; between them, copies that no shape matches.
+    spans = "transform(filter(judged, s -> array_contains(known, s.value)), s -> named_struct('a', s.start, 'b', s.start + length(s.value)))"
+    last = "get(m, size(m) - 1)"
+    union = f"aggregate({spans}, CAST(array() AS array<struct<a:int,b:int>>), (m, s) -> CASE WHEN s.a < {last}.b THEN concat(slice(m, 1, size(m) - 1), array(named_struct('a', {last}.a, 'b', greatest({last}.b, s.b)))) ELSE concat(m, array(s)) END)"
+    piece = "substring(t, coalesce(get(u, i - 1).b, 0) + 1, s.a - coalesce(get(u, i - 1).b, 0))"
+    pieces = f"transform(concat(u, array(named_struct('a', length(t), 'b', length(t)))), (s, i) -> aggregate(known, {piece}, (m, v) -> replace(m, v, '{MASK}')))"
+    redacted = F.expr(f"CASE WHEN size(known) > 0 THEN transform(array({union}), u -> array_join({pieces}, '{MASK}'))[0] ELSE t END")
     return rows.select("row", "secrets", redacted.alias("redacted"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_candidates, n_secrets, the secrets' places, and digests of the redacted text."""
+    """doc_id, the numbers of places of candidates and of secrets, the latter's places, and digests of the redacted text."""
     out = scan(docs.select("doc_id", "text"))
-    places = F.expr("transform(filter(secrets, s -> s.is_secret), s -> s.start)")
-    return out.select("doc_id", F.size("secrets").alias("n_candidates"), F.size(places).alias("n_secrets"), places.alias("starts"), F.length("redacted").alias("n_chars_redacted"), F.md5("redacted").alias("redacted_md5"))
+    every = F.expr("array_distinct(flatten(transform(secrets, s -> s.starts)))")
+    places = F.expr("array_sort(array_distinct(flatten(transform(filter(secrets, s -> s.is_secret), s -> s.starts))))")
+    return out.select("doc_id", F.size(every).alias("n_candidates"), F.size(places).alias("n_secrets"), places.alias("starts"), F.length("redacted").alias("n_chars_redacted"), F.md5("redacted").alias("redacted_md5"))

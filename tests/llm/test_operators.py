@@ -225,6 +225,29 @@ def test_secrets_are_taken_whole(spark):
         assert got[100 + i].redacted == rows[len(values) + 1 + i][1], h[:30]
 
 
+def test_secrets_are_judged_where_they_stand(spark):
+    v, far = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3", " und so weiter" * 6
+    harmless, real = f"commit {v} sha1 checksum", f"token = {v}"
+    masked = secret_scan.MASK
+    texts = [
+        harmless + far + " " + real, real + far + " " + harmless, harmless,
+        f"é😀 {real}{far} {real} {far} {real}", f"checksum sha1 q.{v}0{far} {real}",
+        f"api_key=abcdefgh0Q7x9LmN2vB4cK8s!tail.p{far} x1=9Q7x9LmN2vB4cK8sTTr0!more",
+    ]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = lambda i, secret: [p for s in got[i].secrets if s.value == v and s.is_secret == secret for p in s.starts]
+    first, second = texts[0].index(v), texts[0].rindex(v)
+    assert (at(0, False), at(0, True)) == ([first], [second])
+    assert (at(1, True), at(1, False)) == ([texts[1].index(v)], [texts[1].rindex(v)])
+    assert got[0].redacted == texts[0].replace(v, masked) and got[1].redacted == texts[1].replace(v, masked)
+    assert got[2].redacted == harmless and at(2, False) == [7]
+    assert at(3, True) == [m.start() for m in re.finditer(v, texts[3])] and v not in got[3].redacted
+    assert at(4, True) == [texts[4].rindex(v)]
+    assert "tail" not in got[5].redacted and got[5].redacted.startswith(f"api_key={masked} und")
+    rows = {r.doc_id: r for r in secret_scan.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[3].n_secrets == 3 and rows[3].starts == at(3, True) and rows[0].starts == [second] and rows[0].n_candidates == 2
+
+
 def walk(tree, x):
     while not isinstance(tree, float):
         f, t, left, right = tree
