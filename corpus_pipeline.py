@@ -25,9 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that came before go from the texts; a document that loses all its text goes."""
-    cleaned = line_dedup.dedup(docs, facts_as=None)
-    return _measured(cleaned.filter("text IS NULL OR text <> ''"))
+    """Passages that came before go from the texts; a document that loses all its text goes; null and empty ones stay."""
+    cleaned = line_dedup.dedup(docs, facts_as="_facts")
+    return _measured(cleaned.filter("text IS NULL OR text <> '' OR _facts.n_removed = 0").drop("_facts"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

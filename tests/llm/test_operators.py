@@ -368,6 +368,16 @@ def test_topk(spark, monkeypatch):
     assert len(topk.search(few, F.col("vec_id") == 0).collect()) == 2
 
 
+def test_pipeline_keeps_what_came_empty(spark):
+    import corpus_pipeline as p
+
+    long_line = text_of(random.Random(2), 70)
+    df = spark.createDataFrame([(1, "", 0), (2, long_line, 5), (3, long_line, 5), (4, None, None), (5, long_line + "\nrest", 6)], "doc_id long, text string, n_chars int")
+    got = p.dedup_lines(spark, df, SF)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "", 2: long_line, 4: None, 5: "rest"}
+
+
 def test_pipeline(spark):
     """run() against the stages done one by one with plain loops, on the rows that reach them."""
     import corpus_pipeline as p
