@@ -5,8 +5,8 @@ the functions that arise by composing them form a finite monoid, whose elements
 with the monoid's multiplication table, over blocks side by side, gives the state before each character
 with two table look-ups a character and no regular expression. A token starts where the automaton says so.
 
-Tokens are then numbered by a 64-bit hash of their codepoints (prefix sums of a polynomial, mixed with the
-length), so that Python sees each distinct token of a chunk once.
+Tokens are then numbered by content: a 64-bit hash of their codepoints groups them, and each is compared with
+the first of its hash, so that Python sees each distinct token of a chunk once and no two are taken for one.
 """
 
 from __future__ import annotations
@@ -139,25 +139,6 @@ def states(kinds: np.ndarray, grammar: str) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2^64; kept up to 2 million."""
-    if len(_POWERS.get("up", ())) < n:
-        made = []
-        for base in (_MULTIPLIER, _INVERSE):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 2_000_000:
-            return made[0], made[1]
-        _POWERS["up"], _POWERS["down"] = made
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -166,13 +147,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, the same wherever the span stands."""
-    up, down = powers(len(values) + 1)
+    """A 64-bit hash of values[start:end] for each span, the same wherever it stands. Spans are sorted and don't overlap.
+
+    The hash is a sum of mixed (value, place in the span) pairs: no polynomial, whose values modulo 2^64
+    coincide for regular sequences. Equal hashes are still no proof: see equal_spans().
+    """
+    length = ends - starts
+    place = np.arange(len(values), dtype=np.int64)
+    base = np.zeros(len(values), np.int64)
+    if len(starts):
+        base[starts[0] :] = np.repeat(starts, np.diff(np.append(starts, len(values))))
+    place -= base
+    mixed = mix((values.astype(np.uint64) << np.uint64(36)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
     sums = np.zeros(len(values) + 1, np.uint64)
-    v = (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    np.cumsum((v ^ (v >> np.uint64(32))) * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    np.cumsum(mixed, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def equal_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each i, whether values[a[i]:a[i] + length[i]] and values[b[i]:b[i] + length[i]] are the same."""
+    out = np.ones(len(a), bool)
+    some = np.flatnonzero(length > 0)
+    if not len(some):
+        return out
+    n = length[some]
+    first = np.cumsum(n) - n
+    step = np.arange(n.sum()) - np.repeat(first, n)
+    differ = values[np.repeat(a[some], n) + step] != values[np.repeat(b[some], n) + step]
+    out[some] = ~np.logical_or.reduceat(differ, first)
+    return out
 
 
 class Pretokens:
@@ -205,13 +208,27 @@ class Pretokens:
             keep &= ~np.isin(kinds[start], (SPACE, WHITE, INNER))
         self.start, self.end = start[keep], end[keep]
         self.first = np.append(0, np.searchsorted(self.start, ends))
+        self.code = code
         self.hashes = span_hashes(code, self.start, self.end)
 
     def distinct(self) -> tuple[list[str], np.ndarray]:
         """The distinct tokens, and each token's number among them."""
         _, at, number = np.unique(self.hashes, return_index=True, return_inverse=True)
         joined = self.joined
-        return [joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], number
+        tokens = [joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        length = self.end - self.start
+        # Each against the first of its hash; the few that differ from it, if any, are numbered by themselves.
+        rest = np.flatnonzero(at[number] != np.arange(len(number)))
+        same = length[rest] == length[at][number[rest]]
+        same[same] = equal_spans(self.code, self.start[rest][same], self.start[at][number[rest][same]], length[rest][same])
+        more: dict[str, int] = {}
+        for i in rest[~same].tolist():
+            token = joined[self.start[i] : self.end[i]]
+            if token not in more:
+                more[token] = len(tokens)
+                tokens.append(token)
+            number[i] = more[token]
+        return tokens, number
 
 
 def ragged(pool: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

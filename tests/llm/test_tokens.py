@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from provender.llm import byte_bpe, packing, token_tables
+from provender.llm import byte_bpe, packing, pretokens, token_tables
 from provender.llm.catalogue import tokenizer_path
 from provender.llm.common import new_path
 from provender.llm.pretokens import LibraryEncoder, RankEncoder, monoid, states
@@ -51,6 +51,31 @@ def test_ranks_equal_library():
         assert own.decode(ids)[0] == text.encode()
 
 
+def regular(n):
+    """A regular word and its complement: polynomial hashes modulo 2^64 take them for one."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_tokens_are_told_apart_by_content(monkeypatch):
+    pair = [*regular(1024), *regular(2048)]
+    every = [" ".join(pair), pair[1], "one two one", ""]
+    library = reference()
+
+    def check():
+        for text, ids in zip(every, RankEncoder(RANKS).encode(every), strict=True):
+            assert ids.tolist() == library.encode_ordinary(text)
+        for path in (BYTES, WORDS):
+            own = LibraryEncoder(path)
+            for ids, want in zip(own.encode(every), own.tokenizer.encode_batch(every, add_special_tokens=False), strict=True):
+                assert ids.tolist() == want.ids
+
+    check()
+    # A hash that takes all tokens for one changes nothing.
+    monkeypatch.setattr(pretokens, "span_hashes", lambda v, a, b: np.full(len(a), 7, np.uint64))
+    check()
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_cached_equals_library(path):
     own = LibraryEncoder(path)
