@@ -8,17 +8,19 @@ the threshold shares no node with a probability below 1e-5.
 
 Nodes are not paired blindly. First each document is compared with the smallest one of its node, and what
 is confirmed is connected; only nodes in which several components still meet go on. Those of a few documents
-are paired across components. Those of up to WIDE are compared in blocks, on full sets: documents outside the
-block's largest component against all, at the first tree in which two meet, and one link to each other
-component is emitted. Larger ones branch again; at the last level blocks take any size. Every link is
-confirmed on the shingles of the texts.
+are paired across components. A larger one branches if that pays: if the pairs within the children that its
+chosen functions make are at most a PAYS-th of its own. Otherwise, and at the last level, it is compared
+in blocks, on full sets: documents outside the block's largest component against all, at the first tree that
+compares the two, and one link to each other component is emitted. Every link is confirmed on the shingles of the texts.
 
 Same word sequences collapse first (by a 128-bit digest), so copies are never paired. Links and labels stay
 distributed: connected components alternate large-star and small-star rounds over written tables.
 
 Null and empty texts, and texts without words, are linked with nothing. Rows that repeat an identifier are one
-vertex. A null identifier is linked with nothing: its component is null and it is kept. Extra columns are
-ignored. An empty table gives an empty result.
+document with several texts: it is linked with whatever one of them is linked with. first_of_class(), which
+removes rows, takes unlike texts of an identifier as documents of their own, so no text is lost. A null
+identifier is linked with nothing: its component is null and it is kept. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +34,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.llm.common import Stored, chunks, stored
-from provender.llm.pretokens import mix, span_hashes
+from provender.llm.pretokens import equal_spans, mix, span_hashes
 
 #: Functions of a sketch; trees (the first functions); functions that a node chooses; levels below the roots.
 SKETCH, TREES, BRANCHES, LEVELS = 64, 10, 4, 3
 #: Agreeing functions from which a pair is looked at: at the threshold 48 of 64 agree on average, with a deviation of 3.5.
 AGREE = 32
-#: Documents of a node that are paired at once, of a block, and of a node that is compared in blocks; shingles of a block.
-SMALL, BLOCK, WIDE, MASS = 24, 2048, 16384, 1_500_000
+#: Documents of a node that are paired at once, of a block, and of a node that may branch; shingles of a block.
+SMALL, BLOCK, WIDE, MASS = 24, 2048, 192, 1_500_000
+#: A node branches if its children have at most one in PAYS of its pairs.
+PAYS = 4
+#: Documents of a node from which it is hot: its rows meet what is known of it where they lie.
+HOT = 1024
 #: Identifiers that are sent to all executors to pick texts; beyond, both sides are exchanged.
 BROADCAST_IDS = 1_000_000
 
@@ -60,8 +66,8 @@ def shingles(words: list[bytes], k: int = 5) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def shingle_hashes(texts: list[str]) -> list[np.ndarray]:
-    """The distinct 64-bit shingle hashes of each text."""
+def shingle_hashes(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    """The distinct 64-bit shingle hashes of each text, and how many distinct shingles it has: equal hashes are compared by their words."""
     parts = [t.encode().lower() for t in texts]
     data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     white = _WHITE[data]
@@ -73,13 +79,27 @@ def shingle_hashes(texts: list[str]) -> list[np.ndarray]:
     for k in range(5):
         rolled += word[k : k + len(rolled)] * _Q[k]
     rolled = mix(rolled)
-    out = []
+    out, twins = [], []
     for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
         if b - a >= 5:
-            out.append(np.unique(rolled[a : b - 4]))
+            order = np.argsort(rolled[a : b - 4], kind="stable") + a
+            ordered = rolled[order]
+            fresh = np.append(True, ordered[1:] != ordered[:-1])
+            twins.append(np.stack([order[:-1][~fresh[1:]], order[1:][~fresh[1:]]]))
+            out.append(ordered[fresh])
         else:
             out.append(mix(np.array([(word[a:b] * _Q[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)) if b > a else np.zeros(0, np.uint64))
-    return out
+    counts = list(map(len, out))
+    x, y = np.concatenate(twins, axis=1) if twins else np.zeros((2, 0), np.int64)
+    length = end - start
+    bad = np.zeros(len(x), bool)
+    for k in range(5 if len(x) else 0):
+        same = length[x + k] == length[y + k]
+        same[same] = equal_spans(data, start[x + k][same], start[y + k][same], length[x + k][same])
+        bad |= ~same
+    for i in np.unique(np.searchsorted(first, x[bad], side="right") - 1).tolist():
+        counts[i] = len(shingles(words_of(texts[i])))
+    return out, counts
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -94,10 +114,10 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            sets = shingle_hashes(texts)
+            sets, counts = shingle_hashes(texts)
             digest = [hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() for t in texts]
             sketches = pa.array([sketch(s) if len(s) else np.zeros(0, np.int32) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), sketches], ["id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digest, pa.binary()), sketches], ["id", "n", "digest", "sketch"])
 
     return df.selectExpr(f"CAST(`{key}` AS BIGINT) AS id", f"`{text}` AS text").mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<int>")
 
@@ -173,10 +193,21 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").select("node", "tree", "id", "n", F.coalesce("comp", "id").alias("comp"))
 
 
+def _meet(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows with the facts of their nodes (node, size, ..). Rows of hot nodes aren't gathered, as far as those can be named; nodes is a written table."""
+    hot = nodes.filter(F.col("size") >= HOT)
+    if not (n := hot.limit(BROADCAST_IDS + 1).count()):
+        return rows.join(nodes, "node")
+    if n > BROADCAST_IDS:
+        return rows.join(nodes, "node")
+    others = rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(nodes.filter(F.col("size") < HOT), "node")
+    return rows.join(F.broadcast(hot), "node").select(*others.columns).union(others)
+
+
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass)."""
+    """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass); rows is a written table."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return rows.join(nodes.filter("low <> high").select("node", "size", "mass"), "node")
+    return _meet(rows, stored(nodes.filter("low <> high").select("node", "size", "mass"), "nodes"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -192,16 +223,16 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            hashes = [h.view(np.int64) for h in shingle_hashes(texts)]
+            hashes = [h.view(np.int64) for h in shingle_hashes(texts)[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
 
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, tree: int, sets: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, whole: np.ndarray, sets: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Of each document of left outside the commonest component: a link to each other component of right, if there is one.
 
-    trees: the first sketch values; two that agree before `tree` were compared there. sets: all shingle numbers, and where each document's begin.
+    trees: the first sketch values; two that agree in a tree before this one were compared there, if that root didn't branch (whole). sets: all shingle numbers, and where each document's begin.
     """
     values, at = sets
     size = np.diff(at)
@@ -211,8 +242,8 @@ def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, tree:
     out = []
     for i in left[comp[left] != giant].tolist():
         near = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= 75 * np.maximum(size[right], size[i]))]
-        if tree:
-            near = near[~(trees[near, :tree] == trees[i, :tree]).any(axis=1)]
+        if trees.shape[1]:
+            near = near[~((trees[near] == trees[i]) & whole[i]).any(axis=1)]
         if not len(near):
             continue
         own = values[at[i] : at[i + 1]]
@@ -227,33 +258,46 @@ def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, tree:
     return out
 
 
-def _blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links across components in nodes of any size: blocks against blocks, on full sets of shingle hashes."""
+def _blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame, branched: DataFrame | None) -> DataFrame:
+    """Links across components in nodes of any size: blocks against blocks, on full sets of shingle hashes. branched: id, trees (bits) whose roots branched."""
     sized = rows.withColumn("parts", F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("mass") / F.lit(MASS))).cast("int"))
     sized = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.expr("transform(sequence(0, parts - 1), o -> struct(least(part, o) AS p, greatest(part, o) AS q))")
     facts = reps.select("id", F.slice("sketch", 1, TREES).alias("least")).join(_set_table(docs, rows.select("id").distinct()), "id")
-    dealt = sized.join(facts, "id").withColumn("cell", F.explode(other)).select("node", "tree", "cell.p", "cell.q", "part", "id", "comp", "least", "hashes")
+    facts = facts.withColumn("bits", F.lit(0)) if branched is None else facts.join(branched, "id", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    dealt = sized.join(facts, "id").withColumn("cell", F.explode(other)).select("node", "tree", "cell.p", "cell.q", "part", "id", "comp", "least", "bits", "hashes")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, comp, part = (group.column(c).to_numpy() for c in ("id", "comp", "part"))
-        trees = np.stack(group.column("least").to_numpy())
+        ids, comp, part, bits = (group.column(c).to_numpy() for c in ("id", "comp", "part", "bits"))
+        p, q, tree = (group.column(c)[0].as_py() for c in ("p", "q", "tree"))
+        trees = np.stack(group.column("least").to_numpy())[:, :tree]
+        whole = (bits[:, None] >> np.arange(tree)) & 1 == 0
         column = pa.concat_arrays(group.column("hashes").chunks)
         at = column.offsets.to_numpy().astype(np.int64)
         values = np.unique(column.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
         at -= at[0]
-        p, q, tree = (group.column(c)[0].as_py() for c in ("p", "q", "tree"))
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        found = linked_in_block(ids, comp, trees, tree, (values, at), left, right)
+        found = linked_in_block(ids, comp, trees, whole, (values, at), left, right)
         if p != q:
-            found += linked_in_block(ids, comp, trees, tree, (values, at), right, left)
+            found += linked_in_block(ids, comp, trees, whole, (values, at), right, left)
         a, b = zip(*set(found), strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("node", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _children(wide: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of nodes sent on by the functions that each node chooses (with the node they come from), and the nodes for which that pays."""
+    chosen = F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") for j in range(BRANCHES)])
+    sent = wide.join(reps.select("id", "sketch"), "id").withColumn("f", F.explode(F.array_distinct(chosen)))
+    sent = sent.select(F.col("node").alias("parent"), "size", "tree", F.xxhash64("node", "f", F.col("sketch")[F.col("f")]).alias("node"), "id", "n", "comp")
+    sent = stored(sent, "children")
+    pairs = sent.groupBy("parent", "size", "node").agg(F.count("*").alias("m"))
+    pays = pairs.groupBy("parent", "size").agg(F.sum(F.col("m") * F.col("m")).alias("after")).filter(F.col("after") * PAYS <= F.col("size") * F.col("size"))
+    return sent, stored(pays.select(F.col("parent").alias("node"), "size"), "branching")
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept of each row."""
     docs = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS id", f"`{text}` AS text")
@@ -272,48 +316,80 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     comps = stored(components(links), "components")
 
     # Then what the stars left open.
-    rows = stored(_open(_labelled(shared.df.select("node", "tree", "id", "n"), comps)), "open")
-    pairs, blocks = _pairs(rows.filter(F.col("size") <= SMALL)), []
+    rows = stored(_open(stored(_labelled(shared.df.select("node", "tree", "id", "n"), comps), "labelled")), "open")
+    shared.drop()
+    pairs, blocks, branched = _pairs(rows.filter(F.col("size") <= SMALL)), [], None
     for level in range(LEVELS + 1):
-        wide = rows.filter(F.col("size") > WIDE)
-        branch = level < LEVELS and not wide.isEmpty()
         middle = rows.filter(F.col("size") > SMALL)
-        if branch:
-            # Pairs of a node that branches may be missed there, so no tree leaves a pair to an earlier one.
-            middle = middle.filter(F.col("size") <= WIDE).withColumn("tree", F.lit(0))
+        wide = rows.filter(F.col("size") > WIDE)
+        if level == LEVELS or wide.isEmpty():
+            pays = None
+        else:
+            sent, pays = _children(wide, reps)
+            if pays.isEmpty():
+                pays = None
+            else:
+                named = pays.select("node")
+                named = F.broadcast(named) if pays.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else named
+                middle = middle.join(named, "node", "left_anti")
+                going = sent.join(named.withColumnRenamed("node", "parent"), "parent", "left_semi")
+                if level == 0:
+                    # Pairs of a root that branches may be missed there, so no later tree leaves them to it.
+                    bits = wide.join(named, "node", "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("bits"))
+                    branched = stored(bits, "branched")
         if not middle.isEmpty():
-            blocks.append(_blocks(middle, reps, docs))
-        if not branch:
+            blocks.append(_blocks(middle, reps, docs, branched))
+        if pays is None:
             break
-        chosen = F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int") for j in range(BRANCHES)])
-        sent = wide.join(reps.select("id", "sketch"), "id").withColumn("f", F.explode(chosen))
-        sent = sent.select(F.xxhash64("node", "f", F.col("sketch")[F.col("f")]).alias("node"), F.lit(0).alias("tree"), "id", "n", "comp").distinct()
-        rows = stored(_open(sent), "open")
+        # Below the roots, nodes of different trees and functions are told apart by their hashes alone.
+        rows = stored(_open(stored(going.select("node", F.lit(0).alias("tree"), "id", "n", "comp").distinct(), "sent")), "open")
         pairs = pairs.union(_pairs(rows.filter(F.col("size") <= SMALL)))
     found = likely(pairs.distinct(), reps)
     for block in blocks:
         found = found.union(block)
     rest = stored(found.distinct(), "rest")
-    if not rest.isEmpty():
-        late = stored(confirmed(rest, docs), "confirmed")
-        if not late.isEmpty():
-            comps = stored(components(links.union(late)), "components")
+    late = None if rest.isEmpty() else stored(confirmed(rest, docs), "confirmed")
+    # The texts of a repeated identifier belong together.
+    several = signed.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
+    several = stored(several, "repeated")
+    if not several.isEmpty():
+        own = sets.join(several, "id", "left_semi").select("id", "digest").distinct().join(firsts.withColumnRenamed("id", "rep"), "digest")
+        own = own.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        late = own if late is None else late.union(own)
+    if late is not None and not late.isEmpty():
+        comps = stored(components(links.union(late)), "components")
 
     label = firsts.select("digest", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class"))
-    # An identifier that is repeated with other texts belongs to the smallest of its classes.
     found = signed.select("id", "n", "digest").join(label, "digest", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.least("class", "id")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def _told_apart(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds v, a number for each identifier, or for each text of one that is repeated with unlike texts; no two share one."""
+    rows = rows.withColumn("h", F.xxhash64(text))
+    several = stored(rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("k"), "repeated")
+    if several.isEmpty():
+        return rows.withColumn("v", F.col("k"))
+    marked = rows.join(several.withColumn("several", F.lit(True)), "k", "left")
+    for seed in range(100):
+        numbered = marked.withColumn("v", F.when(F.col("several"), F.xxhash64(F.lit(seed), "k", text)).otherwise(F.col("k"))).drop("several")
+        made = marked.filter("several").select("k", text.alias("t")).distinct().select(F.xxhash64(F.lit(seed), "k", "t").alias("v"))
+        twice = made.groupBy("v").count().filter("count > 1").select("v").union(made.join(rows.select(F.col("k").alias("v")), "v", "left_semi"))
+        if twice.isEmpty():
+            return numbered
+    raise ValueError("no seed tells the texts apart")
+
+
 def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with their columns: one document of each class, one row of each identifier; rows without words or identifier stay."""
-    gone = classes(df, key, text).filter(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
-    rows = df.select(F.col(key).alias("k"), F.struct("*").alias("row"))
-    named = rows.filter("k IS NOT NULL").join(gone, F.col("k") == F.col("gone"), "left_anti")
+    """The rows that stay, with their columns: one document of each class, one row of equal ones; rows without words or identifier stay."""
+    body = F.col("row")[text]
+    rows = _told_apart(df.select(F.col(key).cast("bigint").alias("k"), F.struct("*").alias("row")), body)
+    gone = classes(rows.select(F.col("v"), body.alias("t")), "v", "t").filter(~F.col("kept")).select(F.col("v").alias("gone")).distinct()
+    named = rows.filter("v IS NOT NULL").join(gone, F.col("v") == F.col("gone"), "left_anti")
     # The exchange of the join serves the window, too.
-    first = named.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.col("row")[text]))).filter("place = 1").select("row")
-    return first.union(rows.filter("k IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in df.columns])
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(body))).filter("place = 1").select("row")
+    return first.union(rows.filter("v IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 ORACLE = """

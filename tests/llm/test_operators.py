@@ -41,7 +41,10 @@ def copies(spark):
 
 
 def brute_classes(rows):
-    sets = {r.doc_id: near_dup.shingles(near_dup.words_of(r.text)) for r in rows if r.doc_id is not None}
+    sets = {}
+    for r in rows:
+        if r.doc_id is not None:
+            sets.setdefault(r.doc_id, []).append(near_dup.shingles(near_dup.words_of(r.text)))
     label = {i: i for i in sets}
 
     def find(i):
@@ -50,11 +53,11 @@ def brute_classes(rows):
         return i
 
     for a, b in itertools.combinations(sets, 2):
-        both = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((find(a), find(b)))
-            label[y] = x
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+        for s, t in itertools.product(sets[a], sets[b]):
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {i: (len(sets[i][0]), find(i), find(i) == i) for i in sets}
 
 
 def test_words_of_ascii_only():
@@ -85,7 +88,8 @@ def test_near_dup_late_links(spark, monkeypatch):
     """Nodes that branch, and blocks: stars that confirm nothing leave every link to the later levels."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
     monkeypatch.setattr(near_dup, "WIDE", 6)
-    monkeypatch.setattr(near_dup, "LEVELS", 1)
+    monkeypatch.setattr(near_dup, "LEVELS", 2)
+    monkeypatch.setattr(near_dup, "HOT", 8)
     rng = random.Random(9)
     common = [f"c{i}" for i in range(60)]
     texts = []
@@ -97,6 +101,49 @@ def test_near_dup_late_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.classes(df).collect()} == {i: w[1] for i, w in want.items()}
 
 
+def test_near_dup_repeated_identifiers(spark):
+    """An identifier with several texts is one document in the classes; no text of it is lost among the rows that stay."""
+    rng = random.Random(3)
+    a, b, c = (text_of(rng, 40) for _ in range(3))
+    near = a + " more"
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (7, c), (7, near), (7, c), (8, None), (8, c)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dup.classes(df).filter("n_shingles > 0").collect()} == {(1, 1, True), (5, 1, False), (9, 1, False), (7, 1, False), (8, 1, False)}
+    stay = [r.text for r in near_dup.first_of_class(df).collect()]
+    assert sorted(t for t in stay if t and t not in (a, near)) == sorted([b, c]) and len([t for t in stay if t in (a, near)]) == 1 and stay.count(None) == 1 and len(stay) == 4
+
+
+def test_shingle_counts_are_exact(monkeypatch):
+    """Regular words that polynomial hashes take for one, and a hash that takes all words for one."""
+    rng = random.Random(2)
+    texts = [text_of(rng, 50), "a b c d e " * 9, "", "x y", "a b c d e f a b c d e g"]
+    for n in (1024, 2048):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        texts.append(f"{word} x y z u {word.translate(str.maketrans('ab', 'ba'))} x y z u")
+    want = [len(near_dup.shingles(near_dup.words_of(t))) for t in texts]
+    assert want[-1] == 6 and near_dup.shingle_hashes(texts)[1] == want
+    monkeypatch.setattr(near_dup, "span_hashes", lambda v, a, b: np.full(len(a), 7, np.uint64))
+    assert near_dup.shingle_hashes(texts)[1] == want
+
+
+def test_near_dup_recall_of_branching(spark, monkeypatch):
+    """Thousands of unlike documents that share a common passage meet in wide nodes, which branch; every link is found."""
+    monkeypatch.setattr(near_dup, "WIDE", 40)
+    monkeypatch.setattr(near_dup, "LEVELS", 3)
+    branched = []
+    children = near_dup._children
+    monkeypatch.setattr(near_dup, "_children", lambda *a: branched.append(children(*a)) or branched[-1])
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for _ in range(700):
+        own = common + [f"o{rng.randrange(10**6)}" for _ in range(50)]
+        texts += [" ".join(own), " ".join([*own[:-3], "z", *own[-2:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.classes(df).collect()}
+    assert sum(not pays.isEmpty() for _, pays in branched) >= 1
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_dup_empty(no_docs, odd_docs):
     assert near_dup.classes(no_docs).count() == 0 and near_dup.first_of_class(no_docs).count() == 0
     assert near_dup.classes(odd_docs).count() == odd_docs.count()
