@@ -10,9 +10,14 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once (one longer text is a chunk of its own).
 CHUNK_CHARS = 1_000_000
+#: Rows of keys and facts that are sent to all executors; beyond, both sides are exchanged.
+BROADCAST_ROWS = 1_000_000
+#: Rows of a key from which it is hot.
+HOT = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +73,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return Stored(df, what).df
 
 
+def made() -> set[str]:
+    """The tables that this process has in the shared folder."""
+    return set(_MADE)
+
+
+def remove_made_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables made since then, but for those that the given DataFrames read."""
+    needed = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+    for path in made() - before:
+        if path.split(":", 1)[-1].lstrip("/") not in needed:
+            remove(spark, path)
+
+
+def few(rows: DataFrame, most: int | None = None) -> bool:
+    """Whether there are at most BROADCAST_ROWS rows: so many may be sent to all executors."""
+    most = BROADCAST_ROWS if most is None else most
+    return rows.limit(most + 1).count() <= most
+
+
+def meet(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with facts (a written table with a column `size`, the rows of each key): those of hot keys, if these can be named, stay where they are."""
+    hot = facts.filter(F.col("size") >= HOT)
+    if hot.isEmpty() or not few(hot):
+        return rows.join(facts, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col("size") < HOT), on)
+    return rest.union(rows.join(F.broadcast(hot), on).select(*rest.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

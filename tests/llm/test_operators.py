@@ -156,28 +156,33 @@ def test_components(spark):
 
 
 def brute_lines(rows):
-    """Chunks and removal by a plain loop over rows in order."""
+    """Chunks, runs and removal by plain loops over rows in order."""
     import hashlib
 
-    seen, out = {}, {}
-    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
-        if r.text is None:
-            out[r.doc_id] = None
-            continue
-        lines = r.text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        w = [len(re.findall(line_dedup.WORD, x)) for x in lines]
-        starts = [i for i in range(len(lines)) if i == 0 or w[i] > 50 or w[i - 1] > 50 or (h[i - 1] * 3 + (h[i - 2] if i > 1 else 0)) % 4 == 0]
-        kept = []
-        for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
-            body, n = "\n".join(lines[a:b]), sum(w[a:b])
-            fits = n > 50 or (b - a > 1 and n >= 10)
-            if fits and body in seen and seen[body] != (r.doc_id, a):
-                continue
-            if fits:
-                seen.setdefault(body, (r.doc_id, a))
-            kept += lines[a:b]
-        out[r.doc_id] = "\n".join(kept)
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    spans = []
+    for n, r in enumerate(rows):
+        lines = [(i, x, len(re.findall(line_dedup.WORD, x))) for i, x in enumerate((r.text or "").split("\n"))]
+        lines = [x for x in lines if x[2]]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for _, x, _ in lines]
+        w = [x[2] for x in lines]
+        starts = [i for i in range(len(w)) if i == 0 or w[i] > 50 or w[i - 1] > 50 or (h[i - 1] * 3 + (h[i - 2] if i > 1 else 0)) % 4 == 0]
+        own = {(a, b) for a, b in zip(starts, [*starts[1:], len(w)], strict=False) if b - a > 1 and sum(w[a:b]) >= 10}
+        for a in range(len(w)):
+            b, total = a, 0
+            while b < len(w) and total - w[a] <= 50:
+                b, total = b + 1, total + w[b]
+                own |= {(a, b)} if total > 50 >= total - max(w[a], w[b - 1]) else set()
+        for a, b in sorted(own):
+            spans.append((n, a, "\n".join(x for _, x, _ in lines[a:b]), lines[a][0], lines[b - 1][0]))
+    first, gone = {}, {}
+    for n, a, body, i, j in spans:
+        place = (rows[n].doc_id, a)
+        if first.setdefault(body, place) != place:
+            gone.setdefault(n, set()).update(range(i, j + 1))
+    out = {}
+    for n, r in enumerate(rows):
+        out[r.doc_id] = None if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone.get(n, ()))
     return out
 
 
@@ -203,6 +208,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_every_long_passage(spark, monkeypatch):
+    """A passage of over 50 words, whatever its lines, goes from all but one text, also beside blank lines; what is unique stays."""
+    monkeypatch.setattr(line_dedup, "GROUP", 3)
+    rng = random.Random(7)
+    rows, planted = [], []
+    for k in range(60):
+        n = rng.choice([2, 3, 5, 8, 10, 20, 51])
+        words = max(1, -(-51 // n))
+        passage = [text_of(rng, words + (rng.randrange(3) if n < 51 else 0)) for _ in range(n)]
+        for _ in range(rng.choice([2, 2, 3, 12])):
+            own = lambda: [text_of(rng, rng.randint(1, 30)) for _ in range(rng.randrange(4))]
+            blank = [x for line in passage for x in ([line, ""] if rng.random() < 0.2 else [line])]
+            planted.append(k)
+            rows.append(("\n".join([*own(), *blank, *own()]), passage))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, rows[at][0]) for i, at in enumerate(order)] + [(9999, "x y\n" * 3000 + text_of(rng, 20_000, 2))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert got == brute_lines(df.collect())
+    seen = set()
+    for i, at in enumerate(order):
+        k, passage = planted[at], rows[at][1]
+        held = [line for line in got[i].split("\n") if line in passage]
+        assert held == ([] if k in seen else passage)
+        assert [x for x in got[i].split("\n") if x and x not in passage] == [x for x in rows[at][0].split("\n") if x and x not in passage]
+        seen.add(k)
+
+
 def test_line_dedup_native(spark, odd_docs):
     plan = line_dedup.dedup(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
