@@ -64,6 +64,7 @@ class Stored:
         self.path = new_path(self.spark, what)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df._stored_at = self.path
 
     def drop(self) -> None:
         remove(self.spark, self.path)
@@ -79,11 +80,9 @@ def made() -> set[str]:
 
 
 def remove_made_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
-    """Deletes the tables made since then, but for those that the given DataFrames read."""
-    needed = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
-    for path in made() - before:
-        if path.split(":", 1)[-1].lstrip("/") not in needed:
-            remove(spark, path)
+    """Deletes the tables made since then, but for those that stored() returned as one of `keep`: they are read later."""
+    for path in made() - before - {df._stored_at for df in keep}:
+        remove(spark, path)
 
 
 def few(rows: DataFrame, most: int | None = None) -> bool:

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.llm.common import BROADCAST_ROWS, few, meet, stored
+from provender.llm.common import few, made, meet, remove_made_since, stored
 
 MODULUS, LONG_WORDS, MIN_WORDS = 4, 50, 10
 #: Occurrences that one group compares with the bytes of a passage; of more, each group gets the bytes.
@@ -111,7 +111,7 @@ def passages(found: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", facts_as: str | None = "line_dedup") -> DataFrame:
     """The rows with their texts cleaned, and a column of facts: struct<n_lines, n_removed, removed array<line>>; none, if facts_as is None."""
     rows = df.select(F.col(key).alias("k"), F.struct("*").alias("row"))
-    body = F.col("row")[text]
+    body, before = F.col("row")[text], made()
     found = stored(rows.select("k", F.explode(chunks(body)).alias("c")).select("k", "c.pos", "c.lines", "c.h"), "chunks")
     again = stored(passages(found), "passages")
 
@@ -123,6 +123,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", facts_as: str
     bodies = first.select("fk", F.explode(let(numbered(body), lambda lines: F.transform("wanted", lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), c["groups"].alias("groups"), bytes_of(lines, c["first"], c["lines"]).alias("body"))))).alias("c"))
     bodies = bodies.select("fk", "c.*").dropDuplicates(["fk", "first", "lines", "groups"]).select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     bodies = stored(bodies, "bodies")
+    remove_made_since(df.sparkSession, before, again, bodies)
 
     salted = again.withColumn("salt", F.pmod(F.xxhash64("k"), F.col("groups")).cast("int"))
     same = [salted[c].eqNullSafe(bodies[c]) for c in ("fk", "first", "lines", "groups", "salt")]

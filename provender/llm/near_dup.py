@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.llm.common import Stored, chunks, stored
+from provender.llm.common import Stored, chunks, few, made, meet, remove_made_since, stored
 from provender.llm.pretokens import equal_spans, mix, span_hashes
 
 #: Functions of a sketch; trees (the first functions); functions that a node chooses; levels below the roots.
@@ -44,10 +44,6 @@ AGREE = 32
 SMALL, BLOCK, WIDE, MASS = 24, 2048, 192, 1_500_000
 #: A node branches if its children have at most one in PAYS of its pairs.
 PAYS = 4
-#: Documents of a node from which it is hot: its rows meet what is known of it where they lie.
-HOT = 1024
-#: Identifiers that are sent to all executors to pick texts; beyond, both sides are exchanged.
-BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, SKETCH, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -138,8 +134,7 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that share enough shingles, on their texts; pairs is a written table."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = stored(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+    texts = stored(docs.join(F.broadcast(ids) if few(ids) else ids, "id", "left_semi"), "texts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[str, set]] = {}
@@ -193,21 +188,10 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").select("node", "tree", "id", "n", F.coalesce("comp", "id").alias("comp"))
 
 
-def _meet(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows with the facts of their nodes (node, size, ..). Rows of hot nodes aren't gathered, as far as those can be named; nodes is a written table."""
-    hot = nodes.filter(F.col("size") >= HOT)
-    if not (n := hot.limit(BROADCAST_IDS + 1).count()):
-        return rows.join(nodes, "node")
-    if n > BROADCAST_IDS:
-        return rows.join(nodes, "node")
-    others = rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(nodes.filter(F.col("size") < HOT), "node")
-    return rows.join(F.broadcast(hot), "node").select(*others.columns).union(others)
-
-
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass); rows is a written table."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return _meet(rows, stored(nodes.filter("low <> high").select("node", "size", "mass"), "nodes"))
+    return meet(rows, stored(nodes.filter("low <> high").select("node", "size", "mass"), "nodes"), ["node"])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -219,14 +203,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, hashes (of its shingles) of the documents named."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             hashes = [h.view(np.int64) for h in shingle_hashes(texts)[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
+    return docs.join(F.broadcast(ids) if few(ids) else ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
 def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, whole: np.ndarray, sets: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -300,6 +283,7 @@ def _children(wide: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept of each row."""
+    before = made()
     docs = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS id", f"`{text}` AS text")
     signed = stored(signatures(df, key, text), "signatures")
     sets = signed.filter("n > 0 AND id IS NOT NULL")
@@ -330,7 +314,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 pays = None
             else:
                 named = pays.select("node")
-                named = F.broadcast(named) if pays.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else named
+                named = F.broadcast(named) if few(pays) else named
                 middle = middle.join(named, "node", "left_anti")
                 going = sent.join(named.withColumnRenamed("node", "parent"), "parent", "left_semi")
                 if level == 0:
@@ -358,6 +342,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         late = own if late is None else late.union(own)
     if late is not None and not late.isEmpty():
         comps = stored(components(links.union(late)), "components")
+    remove_made_since(df.sparkSession, before, signed, comps)
 
     label = firsts.select("digest", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class"))
     found = signed.select("id", "n", "digest").join(label, "digest", "left")
