@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(statistics(texts)), pa.list_(pa.float64()))], ["k", "y", "x"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y")
-    found = rows.mapInArrow(run, "k bigint, y int, x array<double>").collect()  # TRAIN_ROWS at most, but for repeated identifiers
+    kind = rows.schema["k"].dataType.simpleString()
+    # Repeated identifiers make more rows of one label; these, too, are TRAIN_ROWS at most.
+    found = rows.mapInArrow(run, f"k {kind}, y int, x array<double>").orderBy(F.xxhash64("k"), "k", "y", "x").limit(TRAIN_ROWS).collect()
     found.sort(key=lambda r: (r.k, r.y, r.x))
     return train(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.y for r in found], float))
 

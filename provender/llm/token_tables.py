@@ -227,8 +227,11 @@ def digests(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", tex
     write(df, path, tokenizer, end_id, key, text)
     crc = lambda ids: pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
     rows = stored(_scan(spark, path, "ids_crc32 bigint", crc), "shard-rows")
-    # One row a shard: the shards' own sums, in order.
-    sums = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    # Sums of shards within their part; across parts, a row for each part.
+    sums = stored(rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("n")), "shard-sums")
+    before = lambda w, *order: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before(Window, "part")), F.lit(0)).alias("ahead"))
+    own = F.coalesce(F.sum("n").over(before(Window.partitionBy("part"), "number")), F.lit(0))
+    bases = sums.select("part", "number", own.alias("own")).join(parts, "part").select("part", "number", (F.col("ahead") + F.col("own")).alias("base"))
     return rows.join(bases, ["part", "number"]).select(F.col("key").alias(key), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -440,6 +440,47 @@ def test_binomial_tail(spark):
         assert r.p == pytest.approx(want, rel=1e-6)
 
 
+def test_verdicts_by_cutoffs_equal_brute_force(spark):
+    """Strata with enough good documents for cutoffs, and with too few: counts, cutoffs and verdicts by loops."""
+    rng = random.Random(10)
+    rows, labels = [], []
+    for i in range(2600):
+        lang = "a" if i < 1300 else "b" if i < 2500 else "c" if i < 2580 else None
+        marks = {"a": 0, "b": 3 if i % 200 == 0 else 0}.get(lang, 0)
+        if i % 9 == 0:
+            marks = rng.randint(1, 60)
+        line = text_of(rng, 12)
+        text = " ".join([line, text_of(rng, 12)]) + " " + "#" * marks + ("\n" + line) * (0 if i % 11 else rng.randint(0, 2))
+        rows.append((i, text, lang, i))
+        labels.append((i, 0 if i % 9 == 0 or i % 11 == 0 else 1))
+    rows += [(2600, text_of(rng, 30_000) + " $" * 5000, "a", 0), (5, rows[5][1] + " # # # # # # # # # # # # # # # #", "a", 1), (2601, None, "a", 2), (2602, "", "c", 3)]
+    labels += [(7, 0), (9999, 1), (None, 1)]
+    df, marked = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words long"), spark.createDataFrame(labels, "doc_id long, quality int")
+    good = {}
+    for k, q in labels:
+        good[k] = min(q, good.get(k, 1))
+    facts = []
+    for k, text, lang, _ in rows:
+        n, chars, symbols, lines_twice, twice, lines, failed = brute_counts(text) if k != 2600 else (35_000, len(re.sub(r"\s", "", text)), 5000, 0, 5000, 1, False)
+        facts.append((k, lang, failed, (1000 * symbols // max(chars, 1), 1000 * lines_twice // max(lines, 1), 1000 * twice // max(n, 1))))
+    held = {s: [f[3] for f in facts if f[1] == s and not f[2] and good.get(f[0]) == 1] for s in ("a", "b", "c", None)}
+    held = {s: v for s, v in held.items() if v}
+    cutoff = {}
+    for s, values in held.items():
+        for r in range(3):
+            for c in quality_rules.GRID:
+                k, n = sum(v[r] > c for v in values), len(values)
+                tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.01) + (n - j) * math.log(0.99)) for j in range(k + 1)) if k < 0.01 * n else 1.0
+                if tail <= 0.05 / (len(held) * 3 * len(quality_rules.GRID)):
+                    cutoff[s, r] = c
+                    break
+    want = sorted(((f[0], not f[2] and not any(f[3][r] > cutoff.get((f[1], r), 10**9) for r in range(3))) for f in facts), key=str)
+    got = quality_rules.verdicts(df, marked)
+    assert sorted(((r.doc_id, r.kept) for r in got.collect()), key=str) == want
+    assert {s for s, _ in cutoff} == {"a", "b"} and cutoff["a", 0] != cutoff["b", 0]
+    assert sum(not f[2] and any(f[3][r] > cutoff.get((f[1], r), 10**9) for r in range(3)) for f in facts) > 50
+
+
 def test_cutoffs_hold_the_risk(spark):
     """A stratum whose good documents carry symbols gets a laxer cutoff than a clean one."""
     rows = [(i, "a" if i < 3000 else "b", 100, 1000, (300 if i >= 3000 and i % 10 == 0 else 1), 0, 0, 10, False) for i in range(6000)]
@@ -462,6 +503,21 @@ def test_quality_model(spark):
     assert quality_model.scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_model_odd_rows(spark, odd_docs, monkeypatch):
+    """Text keys, repeated identifiers beyond the training bound, long texts, clashing columns."""
+    monkeypatch.setattr(quality_model, "TRAIN_ROWS", 60)
+    rng = random.Random(3)
+    rows = [(f"k{i % 50}", text_of(rng, 30) if i % 2 else "!! ## $$ " * 9, i, "x") for i in range(200)] + [("long", text_of(rng, 30_000), 1, "y"), (None, None, 2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, y int, k string")
+    labels = spark.createDataFrame([(f"k{i}", i % 2) for i in range(50)], "doc_id string, quality int")
+    model = quality_model.fit(docs, labels)
+    got = quality_model.scored(docs, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == "k1"}) <= 4
+    assert np.mean([r.predicted == int(r.doc_id[1:]) % 2 for r in got if r.doc_id and r.doc_id[0] == "k"]) > 0.9
+    kept = quality_model.accepted(odd_docs, model)
+    assert kept.columns == odd_docs.columns and quality_model.scored(odd_docs, model).count() == odd_docs.count()
+
+
 def test_flat_trees_equal_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 5))
