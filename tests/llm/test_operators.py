@@ -5,11 +5,14 @@ import json
 import math
 import random
 import re
+import string
+import time
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from provender.llm import common, license_scan, line_dedup, near_dup, quality_model, quality_rules, secret_scan, topk
@@ -387,6 +390,79 @@ def test_secrets_are_judged_where_they_stand(spark):
     assert rows[3].n_secrets == 3 and rows[3].starts == at(3, True) and rows[0].starts == [second] and rows[0].n_candidates == 2
 
 
+def places_by_loops(text):
+    """(start, value, before, after) of every match of every shape, by a regular expression library."""
+    found = {}
+    for shape in secret_scan.SHAPES:
+        ms = list(regex.finditer(shape, text, regex.ASCII))
+        between = [text[a.end() if a else 0 : b.start() if b else len(text)] for a, b in zip([None, *ms], [*ms, None], strict=True)]
+        part = lambda items, k, side: side(items[k]) if 0 <= k < len(items) else ""
+        tail, head = (lambda x: x[-40:]), (lambda x: x[:40])
+        whole = [m[0] for m in ms]
+        for k, m in enumerate(ms):
+            if len(m[1]) > 5:
+                before = (part(between, k - 1, tail) + part(whole, k - 1, tail) + part(between, k, tail) + tail(m[0][: len(m[0]) - len(m[1])]))[-40:]
+                after = (part(between, k + 1, head) + part(whole, k + 1, head) + part(between, k + 2, head))[:40]
+                place = (m.start(1), m[1])
+                found[place] = min(found.get(place, (0, "", "")), (-len(before) - len(after), before, after))
+    return sorted((p, v, b, a) for (p, v), (_, b, a) in found.items())
+
+
+def redacted_by_loops(text, judged):
+    """judged: (start, value, whether it is a secret)."""
+    known = {v for _, v, yes in judged if yes}
+    gone = set()
+    for p, v, _ in judged:
+        if v in known:
+            gone.update(range(p, p + len(v)))
+    merged = []
+    for a, b in sorted((p, p + len(v)) for p, v, _ in judged if v in known):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, at = [], 0
+    for a, b in [*merged, [len(text), len(text)]]:
+        piece = text[at:a]
+        for v in sorted(known, key=len, reverse=True):
+            piece = piece.replace(v, secret_scan.MASK)
+        out.append(piece)
+        at = b
+    return secret_scan.MASK.join(out)
+
+
+def test_secrets_equal_brute_force(spark):
+    """Places, contexts and redaction by loops; scores of the same contexts by the forest alone. Long, crowded and repeated rows, and driver texts."""
+    rng = random.Random(21)
+    take = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    shared = [take(30) for _ in range(20)]
+    lines = lambda n: "\n".join(rng.choice([f"password={take(rng.randint(6, 60))}", f"token: '{rng.choice(shared)}' é", rng.choice(shared), text_of(rng, 9), f"sha1 {rng.choice(shared)}", f"api_key={rng.choice(shared)};secret={take(9)},auth={take(7)}", "AKIA" + take(16).upper(), "x" + rng.choice(shared) + "!"]) for _ in range(n))
+    texts = [lines(rng.randint(1, 12)) for _ in range(60)] + [lines(1500), take(9000), "", None]
+    texts += [texts[0], text_of(rng, 200_000) + " password=" + shared[0] + " " + shared[0] + " " + lines(30)]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    found = {i: places_by_loops(t or "") for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(i, *x) for i, xs in found.items() for x in xs], "i long, p int, v string, b string, a string")
+    scored = rows.select("i", "p", "v", F.expr(secret_scan.features_sql("v", "b", "a")).alias("f")).withColumn("score", F.expr(secret_scan.forest_sql(spark))).collect()
+    judged = {}
+    for r in scored:
+        judged.setdefault(r.i, []).append((r.p, r.v, r.score >= 0.5))
+    for i, t in enumerate(texts):
+        assert sorted((p, s.value, s.is_secret) for s in got[i].secrets or () for p in s.starts) == sorted(judged.get(i, [])), i
+        assert got[i].redacted == (None if t is None else redacted_by_loops(t, judged.get(i, []))), i
+
+
+def test_secret_scan_of_crowded_texts_is_not_quadratic(spark):
+    """0.6 MB with 8,000 secrets, one row."""
+    rng = random.Random(22)
+    take = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    text = "\n".join(f"und password={take(24)} der {text_of(rng, 4)}" for _ in range(8_000))
+    began = time.time()
+    out = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].text
+    assert out.count(secret_scan.MASK) > 7_500 and time.time() - began < 120
+
+
 def walk(tree, x):
     while not isinstance(tree, float):
         f, t, left, right = tree
