@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In every stage a null or empty text is defined: the classifier judges it as one without characters; line dedup,
+near-dup and the secret scan keep its row as it is; packing gives it a piece of the end id alone. A null identifier
+is kept and linked with nothing. Rows that repeat an identifier and a text become one in near-dup; with unlike texts
+they are documents of their own there, and each is packed. Texts of any length are worked on whole. Extra columns,
+whatever their names, go through all stages but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import functions as F
 
 from provender.llm import line_dedup, near_dup, packing, quality_model, secret_scan
 from provender.llm.catalogue import tokenizer_path
-from provender.llm.common import Stored, table
+from provender.llm.common import made, remove_made_since, stored, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -53,10 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
-        kept = Stored(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            before.drop()
-        docs, before = kept.df, kept
+        docs = stored(stage(spark, docs, sf_dir), name)
+        # What the stage was made of, with its predecessor's result, goes.
+        remove_made_since(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

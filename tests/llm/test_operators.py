@@ -13,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from provender.llm import common, license_scan, line_dedup, near_dup, quality_model, quality_rules, secret_scan, topk
@@ -666,6 +667,31 @@ def test_pipeline_keeps_what_came_empty(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "", 2: long_line, 4: None, 5: "rest"}
 
 
+def test_pipeline_of_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, extra columns with clashing names, an empty table."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for n, docs in enumerate((odd_docs, no_docs)):
+        docs.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        before = common.made()
+        rows = p.run(spark, f"{tmp_path}/{n}").collect()
+        assert len(common.made() - before) <= 3  # the last stage's input and pieces
+        if n:
+            assert rows == []
+            continue
+        found = {}
+        for r in rows:
+            found.setdefault(r.doc_id, []).append(r.length)
+        cleaned = [Row(doc_id=i, text=t) for i, t in brute_lines(odd_docs.collect()).items()]
+        stay = {i for i, w in brute_classes(cleaned).items() if w[2]}
+        assert found.keys() == stay | {None} and found[2] == found[3] == [1] and {1, 6} <= stay
+        assert max(sum(r.piece == 0 and r.doc_id == i for r in rows) for i in stay) == 1
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, odd_docs, f"{tmp_path}/0").columns == odd_docs.columns
+
+
 def test_pipeline(spark):
     """run() against the stages done one by one with plain loops, on the rows that reach them."""
     import corpus_pipeline as p
