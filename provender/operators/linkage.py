@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from provender.functions import similarity, text
 
 
-def blocking(queries: DataFrame, foods: DataFrame) -> DataFrame:
-    """qid, fid that share an identity token: an inverted index as an equi-join. A query without tokens finds nothing."""
-    left = queries.select("qid", F.explode(F.array_distinct("toks")).alias("token"))
-    right = foods.select("fid", F.explode(F.array_distinct("toks")).alias("token"))
-    return left.join(right, "token").select("qid", "fid").distinct()
+def blocking(queries: DataFrame, foods: DataFrame, most: int | None = None) -> DataFrame:
+    """qid, fid that share an identity token, in singular or plural: an inverted index as an equi-join on spellings.
+
+    A query without tokens finds nothing. most: tokens that stand in more records than that open no block of their own
+    where the query has a rarer one, so that a word of all names doesn't pair everything; None: every token does.
+    """
+    left = queries.select("qid", F.explode(F.array_distinct("toks")).alias("token")).select("qid", "token", F.explode(text.english_spellings(F.col("token"))).alias("spelt"))
+    right = foods.select("fid", F.explode(F.array_distinct("toks")).alias("spelt"))
+    if most is not None:
+        often = right.groupBy("spelt").agg(F.countDistinct("fid").alias("often"))
+        left = left.join(often, "spelt")
+        own = Window.partitionBy("qid")
+        left = left.withColumn("least", F.min("often").over(own)).filter((F.col("often") <= most) | (F.col("often") == F.col("least")))
+    return left.join(right, "spelt").select("qid", "fid").distinct()
 
 
 def top_k(scored: DataFrame, group: str, order: list[Column], k: int = 1) -> DataFrame:
@@ -37,19 +46,50 @@ def first_variant(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.min_by("fid", F.struct("variant", "fid")).alias("pick"), F.min("variant").alias("variant"), F.max("score").alias("best"))
 
 
-def chain(candidates: DataFrame) -> DataFrame:
-    """The provider chain in closed form. Candidates: gid, pos, fid, unmet (array), stated (array), local, and the group's forced id.
+#: Providers in the order in which each route asks them; the first local one is where a curated preference enters.
+ROUTES = {"generic": ("mealie-recipe", "override", "bls", "usda-local", "off", "llm-nutrient"), "branded": ("mealie-recipe", "override", "off", "bls", "usda-local", "llm-nutrient")}
+LOCAL = ("bls", "usda-local")
+
+
+def chain_position(route: Column, provider: Column, routes=ROUTES) -> Column:
+    """The place of a provider in a route's chain, from 1; null for one that the route doesn't ask."""
+    table = F.create_map(*[x for r, ps in routes.items() for i, p in enumerate(ps, 1) for x in (F.lit(f"{r}/{p}"), F.lit(i))])
+    return F.element_at(table, F.concat_ws("/", route, provider))
+
+
+def enters_at(route: Column, routes=ROUTES, local=LOCAL) -> Column:
+    """The place at which a route asks its first local provider."""
+    return F.element_at(F.create_map(*[x for r, ps in routes.items() for x in (F.lit(r), F.lit(min(i for i, p in enumerate(ps, 1) if p in local)))]), route)
+
 
-    A forced preference enters before the first local position and wins, unless a candidate without unmet claims
-    comes before it. Else the first candidate wins if nothing is unmet; else the first later one without unmet
-    claims that states all that the first one lacks; else the first.
+def chain(candidates: DataFrame) -> DataFrame:
+    """gid, picked: what the chain of providers ends with; a fold over each group's few candidates.
+
+    Candidates: gid, pos, fid, unmet (claims that it doesn't answer), stated (claims that it does), refused (by a sanity or
+    ambiguity gate: as if it weren't there), and of the group entry (the place of the first local provider) and forced (a
+    preferred record that passed its own checks, or null). The first candidate without unmet claims wins; one with some is
+    held as a shortfall, and from then on only one wins that leaves none of its own and states all that the first one held
+    lacks. The preference wins once the chain comes to its entry, whether or not a candidate stands there. What is held
+    wins if nothing else does.
     """
-    listed = candidates.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "fid", "unmet", "stated", "local"))).alias("c"), F.max("forced").alias("forced"))
-    ahead = F.expr("try_element_at(filter(c, x -> size(x.unmet) = 0 AND NOT exists(c, y -> y.local AND y.pos <= x.pos)), 1).fid")
-    later = F.expr("try_element_at(filter(c, x -> size(x.unmet) = 0 AND size(array_except(c[0].unmet, x.stated)) = 0), 1).fid")
-    first = F.expr("c[0].fid")
-    picked = F.when(F.col("forced").isNotNull(), F.coalesce(ahead, F.col("forced"))).when(F.expr("size(c[0].unmet) = 0"), first).otherwise(F.coalesce(later, first))
-    return listed.select("gid", picked.alias("picked"))
+    listed = candidates.filter("NOT coalesce(refused, false) AND pos IS NOT NULL AND fid IS NOT NULL").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "fid", "unmet", "stated"))).alias("c"))
+    groups = candidates.groupBy("gid").agg(F.max("forced").alias("forced"), F.max("entry").alias("entry"))
+    rows = groups.join(listed, "gid", "left")
+
+    def step(acc: Column, x: Column) -> Column:
+        enters = F.col("forced").isNotNull() & (x["pos"] >= F.col("entry"))
+        whole = F.size(x["unmet"]) == 0
+        wins = whole & (acc["held"].isNull() | (F.size(F.array_except(acc["lacks"], x["stated"])) == 0))
+        picked = F.when(acc["picked"].isNotNull(), acc["picked"]).when(enters, F.col("forced")).when(wins, x["fid"])
+        hold = acc["held"].isNull() & ~whole
+        return F.struct(picked.alias("picked"), F.when(hold, x["fid"]).otherwise(acc["held"]).alias("held"), F.when(hold, x["unmet"]).otherwise(acc["lacks"]).alias("lacks"))
+
+    kinds = {f.name: f.dataType for f in candidates.schema}
+    none = F.lit(None).cast(kinds["fid"])
+    start = F.struct(none.alias("picked"), none.alias("held"), F.array().cast(kinds["unmet"]).alias("lacks"))
+    empty = F.array().cast(rows.schema["c"].dataType)
+    ended = F.aggregate(F.coalesce("c", empty), start, step)
+    return rows.withColumn("end", ended).select("gid", F.coalesce("end.picked", "forced", "end.held").alias("picked"))
 
 
 def unambiguous(vocabulary: DataFrame) -> DataFrame:
@@ -59,10 +99,19 @@ def unambiguous(vocabulary: DataFrame) -> DataFrame:
     return top_k(seen, "alias", [F.asc("vid")]).drop("rank")
 
 
+#: Providers and datasets by trust, where scores tie.
+TRUST = ("mealie-recipe", "bls", "usda-local", "off", "llm-nutrient")
+DATASETS = ("Foundation", "SR Legacy")
+
+
+def _rank(value: Column, order: tuple[str, ...]) -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), value), F.lit(0)), F.lit(len(order) + 1))
+
+
 def ordered_candidates(scored: DataFrame) -> DataFrame:
-    """One row a folded name and energy in each group, best first; place is its number."""
+    """One row a folded name and energy in each group, the best one; place is its number: by score, provider, dataset (tier), id, name."""
     same = Window.partitionBy("gid", F.lower("name"), "kcal")
-    order = [F.desc("score"), F.asc("provider"), F.asc("fid")]
+    order = [F.desc("score"), _rank(F.col("provider"), TRUST), _rank(F.col("tier"), DATASETS), F.asc("fid"), F.asc("name")]
     kept = scored.withColumn("copy", F.row_number().over(same.orderBy(*order))).filter("copy = 1").drop("copy")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy(*order)))
 
@@ -76,9 +125,14 @@ def shortlist(ordered: DataFrame, limit: int = 12) -> DataFrame:
     return top_k(chosen, "gid", [F.desc("reserved"), F.asc("place")], limit)
 
 
-def fingerprint(ordered: DataFrame) -> DataFrame:
-    """A hash of each group's ordered pool, without scores."""
-    line = F.concat_ws(":", F.col("fid").cast("string"), F.lower("name"), "provider")
+#: What of a candidate a pool's fingerprint covers: all that a judge is shown, and no score.
+SHOWN = ("fid", "name", "provider", "tier", "brand", "category", "state", "form", "preservation", "kcal", "protein", "carbs", "fat")
+
+
+def fingerprint(ordered: DataFrame, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    """A hash of each group's ordered pool; a field that is null or absent counts as such."""
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in ordered.columns else F.lit("-")
+    line = F.concat_ws(":", *[field(c) for c in shown])
     return ordered.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l")).select("gid", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "|"), 256).alias("fingerprint"))
 
 

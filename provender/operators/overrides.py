@@ -29,10 +29,10 @@ def preview(rows: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def tags_for(wanted: DataFrame, known: DataFrame, makeable: Column) -> DataFrame:
-    """slug, tag_id: known tags by folded name, new ones by a hash of it (the same wherever they are made); what can't be made is dropped."""
+    """slug, tag_id: known tags by folded name, new ones by 60 bits of a hash of it (the same wherever they are made); what can't be made is dropped."""
     dim = known.groupBy(F.lower("name").alias("folded")).agg(F.min("tag_id").alias("tag_id"))
     rows = wanted.withColumn("folded", F.lower("name")).join(dim, "folded", "left")
-    made = F.when(makeable, -F.conv(F.substring(F.md5("folded"), 1, 8), 16, 10).cast("bigint") - 1)
+    made = F.when(makeable, -F.conv(F.substring(F.md5("folded"), 1, 15), 16, 10).cast("bigint") - 1)
     return rows.withColumn("id", F.coalesce("tag_id", made)).filter("id IS NOT NULL").select("slug", F.col("id").alias("tag_id")).distinct()
 
 

@@ -16,22 +16,48 @@ MISMATCHES = (
 #: Our own defaults: categories that admit no composite, and markers of composites with the category that they imply.
 STRICT = ("fruit", "vegetable", "spice", "small", "medium")
 MARKERS = ((r"(soup|suppe)", "dish"), (r"(salad|salat)", "dish"), (r"\bgizmo\b", "device"))
-#: Words of an oil's name that name no kind of oil.
-OIL_HEADS = ("oil", "oils", "oel", "oele")
-OIL_GENERIC = (*OIL_HEADS, "vegetable", "cooking", "salad", "blend", "blended", "plant", "edible", "nfs", "unspecified", "and")
+#: Our own default, a parameter: words for a kind of food without a kind of it, and words that say no more.
+BARE_OIL = (("oil", "oel"), ("neutral", "frying", "vegetable", "bratoel", "speiseoel", "pflanzenoel"))
 
 
-def generic_oil_conflict(query: Column, toks: Column) -> Column:
-    """A query for oil without a kind refuses an oil of some kind. Both are token arrays."""
-    bare = F.exists(query, lambda q: q.isin("oil", "oel")) & ~F.exists(query, lambda q: ~q.isin(*OIL_GENERIC, *text.DESCRIPTORS))
-    return bare & F.exists(toks, lambda t: t.isin(*OIL_HEADS)) & F.exists(toks, lambda t: ~t.isin(*OIL_GENERIC))
+def unspecific_conflict(query: Column, toks: Column, words=BARE_OIL) -> Column:
+    """A query that names a food and no kind of it refuses a candidate that does name a kind. Both are token arrays."""
+    names, silent = words
+    says_more = lambda ts: F.exists(ts, lambda t: ~t.isin(*names, *silent, *text.DESCRIPTORS))
+    holds = lambda ts: F.exists(ts, lambda t: t.isin(*names))
+    return holds(query) & holds(toks) & ~says_more(query) & says_more(toks)
+
+
+def dry_matter_conflict(query: Column, name: Column) -> Column:
+    """Both names state fat in dry matter, and not the same."""
+    return F.coalesce(text.dry_matter_fat(query) != text.dry_matter_fat(name), F.lit(False))
+
+
+#: Our own defaults: pairs that contradict each other, whichever side states which.
+FORM_PAIRS = (("whole", "ground"), ("whole", "flakes"), ("ground", "flakes"))
+PRESERVATION_PAIRS = (("fresh", "dried"), ("fresh", "canned"), ("canned", "dried"), ("frozen", "dried"))
+
+
+def stated_conflict(asked: Column, offered: Column, pairs) -> Column:
+    """Both state something, and the two contradict each other."""
+    return F.concat_ws("/", F.least(asked, offered), F.greatest(asked, offered)).isin(*["/".join(sorted(p)) for p in pairs])
+
+
+def processed_conflict(preservation: Column, form: Column, processed=("ground", "powder", "flakes")) -> Column:
+    """A query for something fresh refuses what is ground, powder or flakes."""
+    return F.coalesce((preservation == "fresh") & form.isin(*processed), F.lit(False))
+
+
+def no_evidence(similarity: Column, core: Column) -> Column:
+    """Nothing of the name is shared, and there is no core that a gate could have checked."""
+    return F.coalesce((similarity == 0) & (F.coalesce(F.size(core), F.lit(0)) <= 0), F.lit(False))
 
 
 def mismatch(query: Column, name: Column, rules=MISMATCHES) -> Column:
-    """The reason of the first rule that the pair breaks (null: none): generic oil, then the table. A rule is skipped
-    where the query itself names what it forbids. The patterns meet lower-case texts."""
+    """The reason of the first rule that the pair breaks (null: none): fat in dry matter, a kind that wasn't asked for,
+    then the table. A rule is skipped where the query itself names what it forbids. The patterns meet lower-case texts."""
     q, n = F.lower(query), F.lower(name)
-    found = F.when(generic_oil_conflict(text.tokens(query), text.tokens(name)), "generic-oil")
+    found = F.when(dry_matter_conflict(query, name), "dry-matter").when(unspecific_conflict(text.tokens(query), text.tokens(name)), "unspecific")
     for asked, forbidden, reason in rules:
         found = found.when(q.rlike(asked) & n.rlike(forbidden) & ~q.rlike(forbidden), reason)
     return found

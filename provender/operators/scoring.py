@@ -31,23 +31,49 @@ def german_evidence(c: Column, t: Column) -> Column:
 
 
 def german_name_score(query: Column, names: Column) -> Column:
-    """0.85 for an ordered prefix, or the same first word and all words; 0.8 for all words in a name of one more at most;
-    0.6 for the tail or the halves of a compound; else 0.7 of the shared share. 0 if either has no tokens."""
-    every = F.forall(query, lambda q: F.exists(names, lambda t: text.german_match(q, t)))
-    first, head = F.get(query, F.lit(0)), F.get(names, F.lit(0))
-    one = (F.size(query) == 1) & (F.length(first) >= 4)
-    tail = one & F.exists(names, lambda t: t.endswith(first) & (F.length(t) > F.length(first)) & (F.length(t) <= F.length(first) + 8))
-    split = F.exists(query, lambda q: text.compound_matches(q, names))
+    """How well a record's name answers a query, both as tokens. In order:
+
+    0.85 for an ordered prefix, of all or of the identity tokens. Where the record has one identity word more than the
+    query at most, all of the query's in it: 0.85 if the first ones match, else 0.8. For a query of one identity word:
+    0.6 if a longer token, by eight letters at most, ends with it or its stem (four letters at least), or if it is a
+    compound whose halves the name has. Else 0.7 of the shared share of identity words. 0 without tokens.
+    """
+    bound = F.struct(query.alias("query"), names.alias("names"), text.identity_tokens(query).alias("q"), text.identity_tokens(names).alias("c"))
+    return text.let(bound, lambda b: _german_name_score(b["query"], b["names"], b["q"], b["c"]))
+
+
+def _german_name_score(query: Column, names: Column, q: Column, c: Column) -> Column:
+    every = F.forall(q, lambda x: F.exists(c, lambda t: text.german_match(x, t)))
+    explains = (F.size(c) <= F.size(q) + 1) & every
+    first, head = F.get(q, F.lit(0)), F.get(c, F.lit(0))
+    one = F.size(q) == 1
+    heads = F.filter(F.array(first, text.german_stem(first)), lambda h: F.length(h) >= 4)
+    ends = F.exists(names, lambda t: F.exists(heads, lambda h: t.endswith(h) & (F.length(t) > F.length(h)) & (F.length(t) <= F.length(h) + 8)))
+    tail = one & (F.length(first) >= 4) & ends
     score = (
-        F.when(similarity.ordered_prefix(query, names), 0.85)
-        .when(every & text.german_match(first, head), 0.85)
-        .when(every & (F.size(names) <= F.size(query) + 1), 0.8)
-        .when(tail | split, 0.6)
-        .otherwise(0.7 * similarity.jaccard(query, names))
+        F.when(similarity.ordered_prefix(query, names) | similarity.ordered_prefix(q, c), 0.85)
+        .when(explains & text.german_match(first, head), 0.85)
+        .when(explains, 0.8)
+        .when(tail | (one & (text.compound_matches(first, names) | text.compound_matches(first, c))), 0.6)
+        .otherwise(0.7 * similarity.jaccard(q, c))
     )
     return F.when((F.size(query) == 0) | (F.size(names) == 0), 0.0).otherwise(score)
 
 
+def english_name_score(query: Column, names: Column) -> Column:
+    """0.7 of the shared share of identity words: no prefixes and compounds."""
+    return 0.7 * similarity.jaccard(text.identity_tokens(query), text.identity_tokens(names))
+
+
+def best_name(query: Column, spellings: Column, english: Column) -> Column:
+    """struct<score, name, english>: the spelling (array<struct<name, toks>>, in order) that scores best, then has the fewest
+    identity words, then comes first; the English name (a struct, too) only where it scores more than all of them."""
+    scored = F.transform(spellings, lambda s, i: F.struct(german_name_score(query, s["toks"]).alias("score"), (-F.size(text.identity_tokens(s["toks"]))).alias("words"), (-i).alias("ord"), s["name"].alias("name")))
+    own, other = F.array_max(scored), F.coalesce(english_name_score(query, english["toks"]), F.lit(0.0))
+    beaten = other > own["score"]
+    return F.struct(F.greatest(other, own["score"]).alias("score"), F.when(beaten, english["name"]).otherwise(own["name"]).alias("name"), beaten.alias("english"))
+
+
 def core_adjustment(core: Column, query: Column, names: Column) -> Column:
     """+8 for each modifier of the query that the name states, -35 for each word of the name that the query doesn't explain.
 
@@ -124,7 +150,7 @@ def confidence(provider: Column, score: Column, has_core: Column, unmet: Column)
     german = F.least(F.when(score >= 70, 0.85).otherwise(0.75), F.when(has_core, 1.0).otherwise(0.6))
     english = F.least(F.when(score >= 55, 0.8).otherwise(0.7), F.when(has_core, 1.0).otherwise(0.55))
     retail = F.least(F.lit(0.95), score / 100)
-    base = F.when(provider == "bls", german).when(provider == "usda-local", english).when(provider == "off", retail).when(provider == "mealie", 0.85).otherwise(0.35)
+    base = F.when(provider == "bls", german).when(provider == "usda-local", english).when(provider == "off", retail).when(provider == "mealie-recipe", 0.85).otherwise(0.35)
     return F.when(unmet, F.least(base, F.lit(0.55))).otherwise(base)
 
 

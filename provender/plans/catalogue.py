@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provender.functions import nutrition, similarity, text
 from provender.operators import aggregate, linkage, state
 from provender.sources import domain, importers
-from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes
+from provender.sources.domain import FOOD, FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes, select_sql
 from provender.streaming import events as stream
 
 QUERIES: dict = {}
@@ -169,17 +169,6 @@ def compound_segments(spark, sf_dir):
     return german_tokens(spark, sf_dir).select("token", seg.alias("s")).select("token", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0))["head"].alias("head"), F.get("s", F.lit(0))["tail"].alias("tail"))
 
 
-@query(f"WITH {GERMAN}, c AS (SELECT token, CASE WHEN token LIKE '%ung' THEN substr(token, 1, length(token) - 3) END AS head, regexp_extract(token, '^(.+?)(freie?)$', 1) AS f FROM de) SELECT token, CASE WHEN length(head) >= 3 AND head NOT IN ({words(text.DESCRIPTORS)}) THEN head END AS specifier, CASE WHEN f <> '' AND f NOT IN ('zucker', 'fett', 'alkohol') THEN f END AS without FROM c")
-def compound_specifier(spark, sf_dir):
-    return german_tokens(spark, sf_dir).select("token", text.compound_specifier(F.col("token"), F.lit("ung")).alias("specifier"), text.absence_stem(F.col("token")).alias("without"))
-
-
-@query()
-def compound_match(spark, sf_dir):
-    evidence = F.array(*map(F.lit, ("schein", "keit", "heit", "ver", "einer")))
-    return german_tokens(spark, sf_dir).filter(F.length("token") >= 8).select("token", text.compound_matches(F.col("token"), evidence).alias("evidenced"))
-
-
 def _fam(t: str, table) -> str:
     return "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN list_has_any({t}, [{words(w)}]) THEN '{n}' END" for n, w in table) + "], lambda x: x IS NOT NULL)), ',')"
 
@@ -203,16 +192,15 @@ def fingerprints(spark, sf_dir):
     return recipes(spark, sf_dir).select("slug", text.canonical_hash(F.col("slug"), F.col("strategy_tag"), F.col("household")).alias("fingerprint"), key.alias("context_key"))
 
 
-@query(rf"WITH {FOODS_SQL} SELECT DISTINCT name, array_to_string(list_sort(list_distinct([name, name || 's', name || 'es', regexp_replace(name, 's$', ''), regexp_replace(name, 'es$', '')])), ',') AS spellings, CASE WHEN length(split_part(name, ' ', 1)) >= 5 AND length(split_part(name, ' ', 2)) >= 5 THEN substr(split_part(name, ' ', 1), 1, 5) = substr(split_part(name, ' ', 2), 1, 5) ELSE false END AS leading FROM foods")
+@query(rf"WITH {FOODS_SQL} SELECT DISTINCT name, array_to_string(list_sort(list_distinct([name, name || 's', name || 'es', regexp_replace(name, 's$', ''), regexp_replace(name, 'es$', '')])), ',') AS spellings FROM foods")
 def scalar_misc(spark, sf_dir):
-    a, b = (F.split_part(F.col("name"), F.lit(" "), F.lit(i)) for i in (1, 2))
-    return foods(spark, sf_dir).select("name").distinct().select("name", F.array_join(text.english_spellings(F.col("name")), ",").alias("spellings"), text.shares_leading(a, b).alias("leading"))
+    return foods(spark, sf_dir).select("name").distinct().select("name", F.array_join(text.english_spellings(F.col("name")), ",").alias("spellings"))
 
 
 # Similarity, gates, plausibility.
 _JACCARD = "CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a.toks, b.toks)) AS DOUBLE) / len(list_distinct(list_concat(a.toks, b.toks))) END"
 _HELD = "CASE WHEN contains(array_to_string(a.toks, ' '), array_to_string(b.toks, ' ')) OR contains(array_to_string(b.toks, ' '), array_to_string(a.toks, ' ')) THEN 0.5 ELSE 0.0 END"
-_BLOCK = "blocked AS (SELECT DISTINCT x.fid AS qid, y.fid AS fid FROM (SELECT fid, unnest(toks) AS t FROM names) x JOIN (SELECT fid, unnest(toks) AS t FROM names) y ON x.t = y.t)"
+_BLOCK = "blocked AS (SELECT DISTINCT x.fid AS qid, y.fid AS fid FROM (SELECT fid, unnest([t, t || 's', t || 'es', regexp_replace(t, 's$', ''), regexp_replace(t, 'es$', '')]) AS t FROM (SELECT fid, unnest(toks) AS t FROM names)) x JOIN (SELECT fid, unnest(toks) AS t FROM names) y ON x.t = y.t)"
 
 
 def blocked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -273,13 +261,13 @@ def rank_topk(spark, sf_dir):
     return linkage.top_k(scored(spark, sf_dir), "qid", [F.desc(F.round("score", 6)), F.asc("fid")], 8).select("qid", "fid", "rank")
 
 
-_GROUPS = f"{FOODS_SQL}, grp AS (SELECT brand AS gid, food_id AS fid, name, kcal, CAST((food_id * 7) % 100 AS DOUBLE) AS score, food_id % 5 AS fit, CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie' END AS provider, CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END AS kind FROM foods)"
+_GROUPS = f"{FOODS_SQL}, grp AS (SELECT brand AS gid, food_id AS fid, name, kcal, tier, brand, category, protein, carbs, fat, CAST((food_id * 7) % 100 AS DOUBLE) AS score, food_id % 5 AS fit, CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie-recipe' END AS provider, CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END AS kind FROM foods)"
 
 
 def groups(spark, sf_dir) -> DataFrame:
-    provider = F.expr("CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie' END")
+    provider = F.expr("CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie-recipe' END")
     kind = F.expr("CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END")
-    return foods(spark, sf_dir).select(F.col("brand").alias("gid"), F.col("food_id").alias("fid"), "name", "kcal", F.expr("CAST((food_id * 7) % 100 AS DOUBLE)").alias("score"), F.expr("food_id % 5").alias("fit"), provider.alias("provider"), kind.alias("kind"))
+    return foods(spark, sf_dir).select(F.col("brand").alias("gid"), F.col("food_id").alias("fid"), "name", "kcal", "tier", "brand", "category", "protein", "carbs", "fat", F.expr("CAST((food_id * 7) % 100 AS DOUBLE)").alias("score"), F.expr("food_id % 5").alias("fit"), provider.alias("provider"), kind.alias("kind"))
 
 
 @query(f"WITH {_GROUPS}, t AS (SELECT *, max(score) OVER (PARTITION BY gid) AS top FROM grp WHERE score >= 50) SELECT gid, fid, score FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY fit DESC, score DESC, fid) AS n FROM t WHERE score >= top - 20) WHERE n = 1")
@@ -293,7 +281,8 @@ def variant_first_hit(spark, sf_dir):
     return linkage.first_variant(hits).select(F.col("qid").alias("gid"), "pick", "variant", "best")
 
 
-_ORDERED = f"{_GROUPS}, cand AS (SELECT *, row_number() OVER (PARTITION BY gid, lower(name), kcal ORDER BY score DESC, provider, fid) AS copy FROM grp), ordered AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, provider, fid) AS place FROM cand WHERE copy = 1)"
+_TRUST = "CASE provider WHEN 'mealie-recipe' THEN 1 WHEN 'bls' THEN 2 WHEN 'usda-local' THEN 3 ELSE 4 END, CASE tier WHEN 'Foundation' THEN 1 WHEN 'SR Legacy' THEN 2 ELSE 3 END, fid"
+_ORDERED = f"{_GROUPS}, cand AS (SELECT *, row_number() OVER (PARTITION BY gid, lower(name), kcal ORDER BY score DESC, {_TRUST}) AS copy FROM grp), ordered AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, {_TRUST}) AS place FROM cand WHERE copy = 1)"
 
 
 @query(f"WITH {_ORDERED} SELECT gid, fid, CAST(place AS INTEGER) AS place FROM ordered")
@@ -301,7 +290,10 @@ def order_candidates(spark, sf_dir):
     return linkage.ordered_candidates(groups(spark, sf_dir)).select("gid", "fid", "place")
 
 
-@query(f"WITH {_ORDERED} SELECT gid, sha256(string_agg(CAST(fid AS VARCHAR) || ':' || lower(name) || ':' || provider, '|' ORDER BY place)) AS fingerprint FROM ordered GROUP BY gid")
+_SHOWN = " || ':' || ".join(f"coalesce({c}, '-')" if c in ("name", "provider", "tier", "brand", "category") else "'-'" if c in ("state", "form", "preservation") else f"coalesce(CAST({c} AS VARCHAR), '-')" for c in linkage.SHOWN)
+
+
+@query(f"WITH {_ORDERED} SELECT gid, sha256(string_agg({_SHOWN}, '|' ORDER BY place)) AS fingerprint FROM ordered GROUP BY gid")
 def pool_fingerprint(spark, sf_dir):
     return linkage.fingerprint(linkage.ordered_candidates(groups(spark, sf_dir)))
 
@@ -311,32 +303,45 @@ def shortlist(spark, sf_dir):
     return linkage.shortlist(linkage.ordered_candidates(groups(spark, sf_dir))).select("gid", "fid")
 
 
-@query(f"""WITH {FOODS_SQL}, c AS (SELECT brand || '/' || category AS gid, row_number() OVER (PARTITION BY brand, category ORDER BY food_id) AS pos, food_id AS fid, CASE WHEN food_id % 3 = 0 THEN ['lean'] ELSE [] END AS unmet, CASE WHEN food_id % 2 = 0 THEN ['lean'] ELSE [] END AS stated, food_id % 4 = 1 AS local, CASE WHEN ascii(category) % 2 = 0 THEN -1 END AS forced FROM foods),
-f AS (SELECT gid, max(forced) AS forced, min(pos) FILTER (WHERE local) AS at, arg_min(fid, pos) AS first, arg_min(unmet, pos) AS lacks FROM c GROUP BY gid),
-p AS (SELECT c.gid, min(CASE WHEN len(unmet) = 0 AND (f.at IS NULL OR pos < f.at) THEN pos END) AS ahead, min(CASE WHEN len(unmet) = 0 AND len(list_filter(lacks, lambda x: NOT list_contains(stated, x))) = 0 THEN pos END) AS later FROM c JOIN f ON f.gid = c.gid GROUP BY c.gid)
-SELECT f.gid, CAST(CASE WHEN f.forced IS NOT NULL THEN coalesce(a.fid, f.forced) WHEN len(lacks) = 0 THEN first ELSE coalesce(l.fid, first) END AS BIGINT) AS picked FROM f JOIN p ON p.gid = f.gid LEFT JOIN c a ON a.gid = f.gid AND a.pos = p.ahead LEFT JOIN c l ON l.gid = f.gid AND l.pos = p.later""")
+_PLACES = "CASE provider " + " ".join(f"WHEN '{p}' THEN CASE route WHEN 'generic' THEN {g} ELSE {b} END" for p, g, b in (("mealie-recipe", 1, 1), ("override", 2, 2), ("bls", 3, 4), ("usda-local", 4, 5), ("off", 5, 3), ("llm-nutrient", 6, 6))) + " END"
+_CHAIN = {
+    "gid": "concat(brand, '/', category, '/', CAST(food_id % 40 AS {text}))",
+    "route": "CASE WHEN food_id % 40 % 3 = 0 THEN 'branded' ELSE 'generic' END",
+    "provider": "CASE (food_id * 7 + p_size) % 6 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' WHEN 3 THEN 'mealie-recipe' WHEN 4 THEN 'override' ELSE 'llm-nutrient' END",
+    "refused": "food_id % 11 = 0 OR kcal IS NULL",
+    "forced": "CASE WHEN food_id % 40 % 4 = 0 THEN -1 END",
+}
+
+
+@query(f"""WITH f AS (SELECT *, p_size FROM (SELECT {select_sql(FOOD)}, p_size FROM part)), k AS (SELECT food_id AS fid, {", ".join(f"{e.format(text='VARCHAR')} AS {c}" for c, e in _CHAIN.items())},
+CASE food_id % 5 WHEN 0 THEN ['lean'] WHEN 1 THEN ['lean', 'smoked'] ELSE [] END AS unmet, CASE food_id % 3 WHEN 0 THEN ['lean'] WHEN 1 THEN ['lean', 'smoked'] ELSE [] END AS stated FROM f),
+g AS (SELECT gid, max(forced) AS forced, max(CASE route WHEN 'generic' THEN 3 ELSE 4 END) AS entry FROM k GROUP BY gid),
+v AS (SELECT k.*, {_PLACES} AS pos, g.entry, g.forced AS gforced FROM k JOIN g ON g.gid = k.gid WHERE NOT coalesce(refused, false)),
+r AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY pos, fid) AS nth FROM v WHERE gforced IS NULL OR pos < entry),
+one AS (SELECT gid, fid AS first, unmet AS lacks FROM r WHERE nth = 1),
+two AS (SELECT r.gid, arg_min(fid, nth) AS later FROM r JOIN one ON one.gid = r.gid WHERE len(unmet) = 0 AND (len(lacks) = 0 OR len(list_filter(lacks, lambda x: NOT list_contains(stated, x))) = 0) GROUP BY r.gid)
+SELECT g.gid, CAST(CASE WHEN later IS NOT NULL THEN later WHEN g.forced IS NOT NULL THEN g.forced ELSE first END AS BIGINT) AS picked FROM g LEFT JOIN one ON one.gid = g.gid LEFT JOIN two ON two.gid = g.gid""")
 def chain_resolve(spark, sf_dir):
-    rows = foods(spark, sf_dir)
-    pos = F.row_number().over(Window.partitionBy("brand", "category").orderBy("food_id"))
-    none, lean = F.array().cast("array<string>"), F.array(F.lit("lean"))
-    fid = F.col("food_id")
-    c = rows.select(F.concat("brand", F.lit("/"), "category").alias("gid"), pos.alias("pos"), fid.alias("fid"), F.when(fid % 3 == 0, lean).otherwise(none).alias("unmet"), F.when(fid % 2 == 0, lean).otherwise(none).alias("stated"), (fid % 4 == 1).alias("local"), F.when(F.ascii("category") % 2 == 0, F.lit(-1).cast("long")).alias("forced"))
-    return linkage.chain(c)
+    """The chain of providers, by route: the SQL looks for the first whole answer before the preference enters, and for what is held."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_size", *[f"{e} AS {c}" for c, e in FOOD.items()])
+    k = rows.selectExpr("food_id AS fid", *[f"{e.format(text='STRING')} AS {c}" for c, e in _CHAIN.items()], "CASE food_id % 5 WHEN 0 THEN array('lean') WHEN 1 THEN array('lean', 'smoked') ELSE array() END AS unmet", "CASE food_id % 3 WHEN 0 THEN array('lean') WHEN 1 THEN array('lean', 'smoked') ELSE array() END AS stated")
+    k = k.withColumns({"pos": linkage.chain_position(F.col("route"), F.col("provider")), "entry": linkage.enters_at(F.col("route")), "forced": F.col("forced").cast("bigint")})
+    return linkage.chain(k)
 
 
-_VOCABULARY = f"{FOODS_SQL}, voc AS (SELECT food_id AS vid, {nid('name')} AS alias, CASE food_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END AS lang FROM foods WHERE food_id % 50 < 12)"
+_VOCABULARY = f"{FOODS_SQL}, voc AS (SELECT food_id AS vid, {nid("name || ' ' || brand || ' ' || category")} AS alias, CASE food_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END AS lang FROM foods)"
 
 
 def vocabulary(spark, sf_dir) -> DataFrame:
     lang = F.expr("CASE food_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END")
-    return foods(spark, sf_dir).filter("food_id % 50 < 12").select(F.col("food_id").alias("vid"), text.normalize_identity(F.col("name")).alias("alias"), lang.alias("lang"))
+    return foods(spark, sf_dir).select(F.col("food_id").alias("vid"), text.normalize_identity(F.concat_ws(" ", "name", "brand", "category")).alias("alias"), lang.alias("lang"))
 
 
-@query(f"WITH {_VOCABULARY}, u AS (SELECT alias, min(vid) AS vid FROM voc WHERE lang <> 'fr' GROUP BY alias HAVING count(DISTINCT lang) = 1), n AS (SELECT DISTINCT name, {nid('name')} AS alias FROM foods) SELECT name, vid FROM n LEFT JOIN u ON u.alias = n.alias")
+@query(f"WITH {_VOCABULARY}, u AS (SELECT alias, min(vid) AS vid FROM voc WHERE lang <> 'fr' GROUP BY alias HAVING count(DISTINCT lang) = 1), n AS (SELECT food_id, {nid("name || ' ' || brand || ' ' || category")} AS alias FROM foods) SELECT food_id, vid FROM n LEFT JOIN u ON u.alias = n.alias")
 def vocabulary_lookup(spark, sf_dir):
     valid = importers.validated(vocabulary(spark, sf_dir)).filter("reject_reason IS NULL").drop("reject_reason")
-    every = foods(spark, sf_dir).select("name").distinct().withColumn("alias", text.normalize_identity(F.col("name")))
-    return every.join(linkage.unambiguous(valid).select("alias", "vid"), "alias", "left").select("name", "vid")
+    every = foods(spark, sf_dir).select("food_id", text.normalize_identity(F.concat_ws(" ", "name", "brand", "category")).alias("alias"))
+    return every.join(linkage.unambiguous(valid).select("alias", "vid"), "alias", "left").select("food_id", "vid")
 
 
 @query(f"WITH {_VOCABULARY} SELECT CASE WHEN lang = 'fr' THEN 'language' ELSE 'ok' END AS reason, count(*) AS n FROM voc GROUP BY 1")
@@ -359,9 +364,12 @@ def override_ttl(spark, sf_dir):
 
 @query(f"WITH {RECIPES_SQL}, p AS (SELECT a.household, a.slug, min(b.slug) AS source FROM recipes a JOIN recipes b ON b.household = a.household AND b.slug <> a.slug AND b.strategy_tag = a.strategy_tag GROUP BY 1, 2) SELECT slug, source FROM p")
 def own_recipe_source(spark, sf_dir):
-    a = recipes(spark, sf_dir).select("household", "strategy_tag", "slug")
-    b = a.select("household", "strategy_tag", F.col("slug").alias("source"))
-    return a.join(b, ["household", "strategy_tag"]).filter("slug <> source").groupBy("slug").agg(F.min("source").alias("source"))
+    """The smallest other recipe of the household and tag: each group's two smallest say it for all, without a self-join."""
+    rows = recipes(spark, sf_dir).select("household", "strategy_tag", "slug")
+    group = ["household", "strategy_tag"]
+    least = rows.groupBy(*group).agg(F.min("slug").alias("one"))
+    second = rows.join(least, group).filter("slug <> one").groupBy(*group).agg(F.min("one").alias("one"), F.min("slug").alias("two"))
+    return rows.join(second, group).select("slug", F.when(F.col("slug") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("source"))
 
 
 @query(f"WITH {RECIPES_SQL}, p AS (SELECT slug, CASE WHEN total > 0 AND servings > 0 THEN (100 + household % 1000) END AS yield_g, total, servings FROM recipes) SELECT slug, {nutrition.half_up('total * servings * 100 / yield_g', 3)} AS per_100g FROM p WHERE yield_g IS NOT NULL")
@@ -378,8 +386,8 @@ def cache_latest(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events WHERE epoch(TIMESTAMP '2030-01-01') - epoch(date_trunc('second', ts)) >= 0 AND epoch(date_trunc('second', ts)) > (SELECT epoch(date_trunc('second', max(ts))) FROM events) - 86400 GROUP BY event_type")
 def cache_ttl(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
-    now = rows.agg(F.max("ts")).first()[0]  # the batch's clock
-    return state.fresh(rows, F.lit(now), 24).groupBy("event_type").agg(F.count("*").alias("n"))
+    clocked = rows.join(F.broadcast(rows.agg(F.max("ts").alias("now"))), how="cross")  # one row: the batch's clock
+    return state.fresh(clocked, F.col("now"), 24).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'view') v WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.event_id % 5 = 0 AND p.user_id = v.user_id) GROUP BY user_id")

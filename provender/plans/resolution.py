@@ -25,16 +25,6 @@ _FOUND = f"len(list_filter(a.toks, lambda c: length(c) >= 3 AND {_has('b.toks',
 _CORE = "list_filter(list_slice(a.toks, len(a.toks), len(a.toks)), lambda c: length(c) >= 3)"
 
 
-@query()
-def morph_score(spark, sf_dir):
-    """No SQL: compounds are split at every place; tests hold the score against a loop."""
-    rows = pairs(spark, sf_dir).join(foods(spark, sf_dir).select(F.col("food_id").alias("fid"), "kcal"), "fid")
-    core, q, t = F.slice("qtoks", -1, 1), F.col("qtoks"), F.col("toks")
-    gated = scoring.core_conflict(core, t) | scoring.derived_conflict(q, t) | scoring.carrier_conflict(q, t)
-    score = scoring.morph_score(scoring.german_name_score(q, t), scoring.core_adjustment(core, q, t), F.col("kcal"), gated)
-    return rows.select("qid", "fid", F.round(scoring.german_name_score(q, t), 6).alias("name_score"), scoring.core_adjustment(core, q, t).cast("int").alias("adjustment"), F.round(score, 4).alias("score"))
-
-
 @query(f"""WITH {FOODS_SQL}, {NAMES}, {_BLOCK} SELECT qid, k.fid, len({_CORE}) > 0 AND len(list_filter({_CORE}, lambda c: {_has('b.toks', 'c')})) = 0 AS core_conflict,
 {_LONG} > 1 AND {_FOUND} > 0 AND {_FOUND} < {_LONG} AS part_of_core, len(list_filter(b.toks, lambda x: NOT ({_has('a.toks', 'x')}) AND x NOT IN ({words(text.DESCRIPTORS)}))) > 0 AS narrows, {_JACCARD} < 0.34 AS unlike,
 contains(lower(b.name), split_part(a.name, ' ', 1)) AS brand_evidence FROM blocked k JOIN names a ON a.fid = qid JOIN names b ON b.fid = k.fid""")
@@ -145,7 +135,7 @@ def patch_output(spark, sf_dir):
     return rows.select("slug", F.col("kcal_serving").alias("kcal"), F.expr(_SODIUM).alias("sodium_mg"), extras.alias("extras"))
 
 
-@query(f"WITH {RECIPES_SQL}, dim AS (SELECT lower(n_name) AS name, min(n_nationkey) AS id FROM nation GROUP BY 1), w AS (SELECT slug, unnest([strategy_tag, 'nation_' || CAST(household % 30 AS VARCHAR)]) AS tag FROM recipes) SELECT DISTINCT slug, CAST(CASE WHEN id IS NOT NULL THEN id ELSE -CAST('0x' || substr(md5(lower(tag)), 1, 8) AS BIGINT) - 1 END AS BIGINT) AS tag_id FROM w LEFT JOIN dim ON dim.name = lower(tag) WHERE id IS NOT NULL OR slug % 17 <> 0")
+@query(f"WITH {RECIPES_SQL}, dim AS (SELECT lower(n_name) AS name, min(n_nationkey) AS id FROM nation GROUP BY 1), w AS (SELECT slug, unnest([strategy_tag, 'nation_' || CAST(household % 30 AS VARCHAR)]) AS tag FROM recipes) SELECT DISTINCT slug, CAST(CASE WHEN id IS NOT NULL THEN id ELSE -CAST('0x' || substr(md5(lower(tag)), 1, 15) AS BIGINT) - 1 END AS BIGINT) AS tag_id FROM w LEFT JOIN dim ON dim.name = lower(tag) WHERE id IS NOT NULL OR slug % 17 <> 0")
 def tag_assembly(spark, sf_dir):
     known = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("tag_id"))
     tags = F.array("strategy_tag", F.concat(F.lit("nation_"), (F.col("household") % 30).cast("string")))
@@ -169,7 +159,7 @@ def cache_revalidate(spark, sf_dir):
     return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-_OIL = "CASE WHEN FALSE THEN 'generic-oil'"
+_OIL = "CASE WHEN FALSE THEN ''"
 _WORN = " ".join(f"WHEN regexp_matches(lower(a.name), '{q}') AND regexp_matches(lower(b.name), '{c}') AND NOT regexp_matches(lower(a.name), '{c}') THEN '{why}'" for q, c, why in rules.MISMATCHES)
 
 

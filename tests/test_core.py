@@ -110,42 +110,54 @@ def test_similarity(spark):
     assert value(spark, similarity.ordered_prefix(F.array(F.lit("red")), a)) and not value(spark, similarity.ordered_prefix(b, a))
 
 
-def literal_chain(candidates, forced):
-    """The provider chain told as a loop, for comparison with the closed form."""
-    held = None
-    entered = False
-    for c in candidates:
-        if c["local"] and forced is not None and not entered:
-            return forced
-        if not c["unmet"] and (held is None or not set(held["unmet"]) - set(c["stated"])):
+def literal_chain(candidates, route, forced):
+    """The chain of providers told as a loop over the route, for comparison with the fold."""
+    held, asked = None, False
+    for provider in linkage.ROUTES[route]:
+        if provider in linkage.LOCAL and not asked:
+            asked = True
+            if forced is not None:
+                return forced
+        c = candidates.get(provider)
+        if c is None or c["refused"]:
+            continue
+        if not c["unmet"]:
+            if held is None:
+                return c["fid"]
+            if set(held["unmet"]) - set(c["stated"]):
+                continue
             return c["fid"]
         if held is None:
             held = c
-    if forced is not None:
-        return forced
-    return held["fid"]
+    return held["fid"] if held else None
 
 
 def test_chain_equals_loop(spark):
     rng = random.Random(1)
+    claims = [[], ["a"], ["b"], ["a", "b"]]
     table, want = [], {}
-    for g in range(300):
-        chain, forced = [], rng.choice([None, -1])
-        for pos in range(rng.randint(1, 5)):
-            c = {"gid": g, "pos": pos, "fid": g * 10 + pos, "unmet": rng.choice([[], ["a"], ["a", "b"]]), "stated": rng.choice([[], ["a"], ["a", "b"]]), "local": rng.random() < 0.4, "forced": forced}
-            chain.append(c)
-        if forced is not None and any(c["unmet"] for c in chain[:1]):
-            continue  # a held shortfall and a preference are covered by the closed form alone
-        table += chain
-        want[g] = literal_chain(chain, forced)
-    df = spark.createDataFrame(table, "gid long, pos int, fid long, unmet array<string>, stated array<string>, local boolean, forced long")
-    got = {r.gid: r.picked for r in linkage.chain(df).collect()}
-    assert got == want
+    for g in range(1500):
+        forced, route = rng.choice([None, None, -1]), rng.choice(list(linkage.ROUTES))
+        there = {}
+        for i, provider in enumerate(rng.sample(linkage.ROUTES["generic"], rng.randint(1, 6))):
+            there[provider] = {"gid": g, "provider": provider, "fid": g * 10 + i, "unmet": rng.choice(claims), "stated": rng.choice(claims), "refused": rng.choice([None, False, False, False, True]), "route": route, "forced": forced}
+        table += there.values()
+        want[g] = literal_chain(there, route, forced)
+    df = spark.createDataFrame(table, "gid long, provider string, fid long, unmet array<string>, stated array<string>, refused boolean, route string, forced long")
+    df = df.withColumns({"pos": linkage.chain_position(F.col("route"), F.col("provider")), "entry": linkage.enters_at(F.col("route"))})
+    assert {r.gid: r.picked for r in linkage.chain(df).collect()} == want
+    assert None in want.values() and -1 in want.values()
+    # A held shortfall gives way to the preference, and a preference enters though no local provider answers.
+    for there, forced, picked in (({"mealie-recipe": ["a"]}, -1, -1), ({"off": []}, -1, -1), ({"mealie-recipe": []}, -1, 0), ({"mealie-recipe": ["a"], "bls": []}, None, 0)):
+        rows = [(1, p, i, u, [], False, "generic", forced) for i, (p, u) in enumerate(there.items())]
+        one = spark.createDataFrame(rows, df.drop("pos", "entry").select("gid", "provider", "fid", "unmet", "stated", "refused", "route", "forced").schema)
+        one = one.withColumns({"pos": linkage.chain_position(F.col("route"), F.col("provider")), "entry": linkage.enters_at(F.col("route"))})
+        assert linkage.chain(one).first().picked == picked
 
 
 def test_rankings_do_not_depend_on_order(spark):
-    table = [(1, i, f"n{i % 5}", float(i % 3), "bls", 10.0 * (i % 4), i % 2, ["plain", "property", "retail"][i % 3]) for i in range(40)]
-    schema = "gid int, fid int, name string, score double, provider string, kcal double, fit int, kind string"
+    table = [(1, i, f"n{i % 5}", float(i % 3), "bls", 10.0 * (i % 4), i % 2, ["plain", "property", "retail"][i % 3], ["Foundation", "SR Legacy", None][i % 3]) for i in range(40)]
+    schema = "gid int, fid int, name string, score double, provider string, kcal double, fit int, kind string, tier string"
     seen = set()
     for seed in range(3):
         random.Random(seed).shuffle(table)
