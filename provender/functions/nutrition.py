@@ -51,13 +51,49 @@ def evidence(matched: str, estimated: str, total: str) -> str:
     return f"CASE WHEN {matched} = 0 THEN NULL WHEN coalesce({estimated}, 0) = 0 THEN 'database' WHEN coalesce({total}, 0) <= 0 THEN 'estimated' WHEN {estimated} / {total} > 0.25 THEN 'estimated' ELSE 'mixed' END"
 
 
-def implausible(kcal: str, protein: str, carbs: str, fat: str, saturated: str, sugar: str, sodium: str, salty: str, alcoholic: str) -> str:
-    """The first rule that a record breaks; null if it is plausible."""
-    expected = f"({protein} * 4 + {carbs} * 4 + {fat} * 9)"
-    off = f"abs({kcal} - {expected}) > greatest(60, {expected} * 0.35)"
-    negative = " OR ".join(f"{x} < 0" for x in (kcal, protein, carbs, fat, saturated, sugar, sodium))
+def completeness_reason(unmatched: str, matched: str, resolved: str, known: str) -> str:
+    """Why a result is withheld or partial; null for a complete one."""
+    missing = f"CASE WHEN coalesce({known}, 0) > 0 THEN ({known} - coalesce({resolved}, 0)) / {known} ELSE 1 END"
+    share = f"CAST(CAST(floor(round(CAST({missing} AS DOUBLE) * 100, 6) + 0.5) AS BIGINT) AS {{text}})"
+    return f"CASE WHEN {unmatched} = 0 THEN NULL WHEN {matched} = 0 THEN 'nothing resolved' WHEN {missing} > 0.3 THEN concat({share}, '% of the weight unresolved') ELSE concat(CAST({unmatched} AS {{text}}), ' unresolved, a minor weight') END"
+
+
+#: Energy of sugar alcohols in kcal per gram, least and most of the public labelling rules; 2.4 for one that isn't named.
+POLYOLS = ((r"\berythrit(ol)?\b", 0.0, 0.0), (r"\bmannit(ol)?\b", 1.6, 2.4), (r"\bisomalt\b", 2.0, 2.4), (r"\blactit(ol)?\b", 2.0, 2.4), (r"\bmaltit(ol)?\b", 2.1, 2.4), (r"\bxylit(ol)?\b|\bbirkenzucker\b", 2.4, 2.4), (r"\bsorbit(ol)?\b", 2.4, 2.6))
+POLYOL = 2.4
+#: Our own: names of drinks whose energy is no macronutrient's, and of salts. They meet lower-case names.
+ALCOHOL = r"\b(wine|beer|rum|gin|whisky|whiskey|vodka|wodka|brandy|cognac|sherry|sekt|schnaps|liqueur|likoer|likör)\b|wein\b|bier\b"
+SALT = r"\b(salt|salz|meersalz|kochsalz)\b"
+
+
+def facts_of_name(name: str, matches) -> dict[str, str]:
+    """Columns that implausible() reads, from a name; matches(text, pattern) is an engine's test of a pattern."""
+    low = f"lower({name})"
+    case = lambda i, other: ", ".join(f"CASE WHEN {matches(low, p[0])} THEN {p[i]}e0 ELSE {other} END" for p in POLYOLS)
+    return {"polyol_least": f"least({case(1, '99e0')})", "polyol_most": f"greatest({case(2, '-1e0')})", "alcoholic": matches(low, ALCOHOL), "salty": matches(low, SALT)}
+
+
+def implausible(n: tuple[str, ...] = ("kcal", "protein", "carbs", "fat", "saturated", "sugar", "sodium"), others: tuple[str, ...] = ("trans", "unsaturated", "fiber", "cholesterol"), polyols: str = "polyols") -> str:
+    """The first rule that a record breaks; null if it is plausible. It reads facts_of_name(), too.
+
+    Energy is held against 4, 4 and 9 kcal a gram, with a band for sugar alcohols, which are part of the carbohydrates:
+    the grams stated, or all of them where the name is one.
+    """
+    kcal, protein, carbs, fat, saturated, sugar, sodium = n
+    named = "polyol_most >= 0"
+    grams = f"(CASE WHEN coalesce({polyols}, 0) > 0 THEN least({polyols}, greatest({carbs}, 0)) WHEN {named} THEN {carbs} ELSE 0 END)"
+    base = f"({protein} * 4 + greatest({carbs} - {grams}, 0) * 4 + {fat} * 9)"
+    lowest = f"({base} + {grams} * CASE WHEN {named} THEN polyol_least ELSE {POLYOL}e0 END)"
+    highest = f"({base} + {grams} * CASE WHEN {named} THEN polyol_most ELSE {POLYOL}e0 END)"
+    off = f"({kcal} < {lowest} - greatest(60, {highest} * 0.35) OR {kcal} > {highest} + greatest(60, {highest} * 0.35))"
+    negative = " OR ".join(f"{x} < 0" for x in (*n, *others, polyols))
     return (
-        f"CASE WHEN {negative} THEN 'negative' WHEN {kcal} > 920 THEN 'kcal' WHEN NOT {alcoholic} AND {off} THEN 'macros' "
-        f"WHEN {salty} AND {kcal} > 20 THEN 'salt-kcal' WHEN {salty} AND {sodium} < 20 THEN 'salt-sodium' "
+        f"CASE WHEN {negative} THEN 'negative' WHEN {kcal} > 920 THEN 'kcal' WHEN NOT alcoholic AND {off} THEN 'macros' "
+        f"WHEN salty AND {kcal} > 20 THEN 'salt-kcal' WHEN salty AND {sodium} < 20 THEN 'salt-sodium' "
         f"WHEN {saturated} > {fat} + 0.5 THEN 'saturated' WHEN {sugar} > {carbs} + 0.5 THEN 'sugar' END"
     )
+
+
+def spark_matches(text: str, pattern: str) -> str:
+    """The test of a pattern in Spark's SQL."""
+    return f"rlike({text}, '" + pattern.replace("\\", "\\\\") + "')"

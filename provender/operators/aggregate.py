@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions import nutrition
+from provender.sources.domain import NUTRIENTS
 
+#: Nutrients that are given as fractions.
+FRACTIONS = ("sodium", "cholesterol")
 #: name -> aggregate that both engines read alike. A sum is null only if all its inputs are.
 TOTALS = {
-    "kcal_total": "sum(CASE WHEN matched THEN kcal * grams / 100 END)",
-    "fat_total": "sum(CASE WHEN matched THEN fat * grams / 100 END)",
-    "protein_total": "sum(CASE WHEN matched THEN protein * grams / 100 END)",
-    "sodium_total": "sum(CASE WHEN matched THEN sodium * grams / 100 END)",
+    **{f"{n}_total": f"sum(CASE WHEN matched THEN {n} * grams / 100 END)" for n in NUTRIENTS},
     "known_weight": "sum(grams)",
     "resolved_weight": "sum(CASE WHEN matched THEN grams END)",
     "n_matched": "sum(CASE WHEN matched THEN 1 ELSE 0 END)",
@@ -28,29 +28,53 @@ def totals(ingredients: DataFrame) -> DataFrame:
 
 
 def per_serving(graded: DataFrame) -> DataFrame:
-    """Totals divided by servings once; null for none or no known number of them, or where the result is withheld."""
+    """Totals divided by servings once, sodium and cholesterol to the fraction; null for none or no known number of them, or where the result is withheld."""
     share = "CASE WHEN completeness = 'withheld' OR servings IS NULL OR servings <= 0 THEN NULL ELSE {} END"
     out = graded
-    for n in ("kcal", "fat", "protein"):
-        out = out.withColumn(f"{n}_serving", F.expr(share.format(nutrition.half_up(f"{n}_total / servings"))))
-    return out
+    return out.withColumns({f"{n}_serving": F.expr(share.format(nutrition.half_up(f"{n}_total / servings") if n not in FRACTIONS else f"{n}_total / servings")) for n in NUTRIENTS})
 
 
 def graded(ingredients: DataFrame, recipes: DataFrame) -> DataFrame:
     """Every recipe, also one without ingredients, with totals, completeness, evidence, quality and tags."""
     out = recipes.join(totals(ingredients), "slug", "left").fillna(0, ["n_matched", "n_unmatched"])
     out = out.withColumn("completeness", F.expr(nutrition.completeness("n_unmatched", "n_matched", "resolved_weight", "known_weight")))
+    out = out.withColumn("completeness_reason", F.expr(nutrition.completeness_reason("n_unmatched", "n_matched", "resolved_weight", "known_weight").format(text="STRING")))
     out = out.withColumn("evidence", F.expr(nutrition.evidence("n_matched", "estimated_kcal", "abs_kcal")))
     out = per_serving(out)
     return out.withColumn("calorie_tag", F.expr(nutrition.calorie_tag("kcal_serving"))).withColumn("digest_tag", F.expr(nutrition.digest_tag("kcal_serving", "fat_serving")))
 
 
-def match_quality(ingredients: DataFrame, low=0.6, high_mean=0.75, low_mean=0.55, dominant=0.2) -> DataFrame:
-    """Calorie-weighted confidence; a doubtful ingredient with a large share can't be outvoted; the first one names itself."""
-    rows = ingredients.filter("matched AND kcal IS NOT NULL AND grams IS NOT NULL").withColumn("part", F.abs(F.col("kcal") * F.col("grams") / 100))
-    sums = rows.groupBy("slug").agg(F.sum("part").alias("all_kcal"), F.sum(F.col("confidence") * F.col("part")).alias("wc"), F.avg("confidence").alias("mean"), F.count("*").alias("n"))
-    doubtful = rows.filter(F.col("confidence") < low).join(sums.select("slug", "all_kcal"), "slug").filter((F.col("all_kcal") > 0) & (F.col("part") > dominant * F.col("all_kcal")))
-    first = doubtful.groupBy("slug").agg(F.min(F.struct("idx", "food_id")).alias("doubt"))
-    out = sums.join(first, "slug", "left").withColumn("weighted", F.expr("CASE WHEN all_kcal > 0 THEN wc / all_kcal ELSE mean END"))
-    grade = F.when(F.col("doubt").isNotNull(), F.when(F.col("weighted") < low_mean, "low").otherwise("mixed")).when(F.col("weighted") >= high_mean, "high").when(F.col("weighted") < low_mean, "low").otherwise("mixed")
-    return out.select("slug", "n", F.col("doubt.food_id").alias("doubt_food"), grade.alias("match_quality"))
+def risk(low: float = 0.6) -> Column:
+    """Why a matched ingredient's figure is doubtful: the most specific cause; null if it isn't."""
+    return F.when(F.col("matched"), F.when(F.col("unmet").isNotNull(), "unmet").when(F.coalesce("confidence", F.lit(0)) < low, "low-confidence").when(F.col("grams_estimated"), "weight-estimated"))
+
+
+def match_quality(recipes: DataFrame, ingredients: DataFrame, low=0.6, high_mean=0.75, low_mean=0.55, dominant=0.2) -> DataFrame:
+    """slug, n, match_quality, reason and the doubtful ingredients, of every recipe.
+
+    Confidence is weighted by energy (by rows, where there is none). The first doubtful ingredient with a large share can't
+    be outvoted, and names itself. Without an energy-bearing row the grade is low. One exchange, by recipe.
+    """
+    part = F.when(F.col("matched"), F.abs(F.col("kcal") * F.col("grams") / 100))
+    rows = ingredients.select("slug", "idx", "food_id", "name", part.cast("double").alias("part"), F.coalesce("confidence", F.lit(0)).cast("double").alias("sure"), risk(low).alias("risk"))
+    rows = rows.withColumn("every", F.sum("part").over(Window.partitionBy("slug")))
+    heavy = (F.col("every") > 0) & (F.col("part") > dominant * F.col("every")) & F.col("risk").isNotNull()
+    doubtful = F.collect_list(F.when(F.col("risk").isNotNull(), F.struct("idx", "food_id", "name")))
+    sums = rows.groupBy("slug").agg(
+        F.count("part").alias("n"), F.max("every").alias("every"), F.sum(F.col("sure") * F.col("part")).alias("wc"), F.avg(F.when(F.col("part").isNotNull(), F.col("sure"))).alias("mean"),
+        F.min(F.when(heavy, F.struct("idx", "food_id", "name", "risk", (F.col("part") / F.col("every")).alias("share")))).alias("doubt"), F.array_sort(doubtful).alias("doubtful"),
+    )
+    out = recipes.select("slug").join(sums, "slug", "left").withColumn("weighted", F.round(F.expr("CASE WHEN every > 0 THEN wc / every ELSE mean END"), 9))
+    none = F.coalesce(F.col("n"), F.lit(0)) == 0
+    grade = F.when(none, "low").when(F.col("doubt").isNotNull(), F.when(F.col("weighted") < low_mean, "low").otherwise("mixed")).when(F.col("weighted") >= high_mean, "high").when(F.col("weighted") < low_mean, "low").otherwise("mixed")
+    share = F.floor(F.round(F.col("doubt.share") * 100, 6) + 0.5).cast("string")
+    why = F.when(none, "no energy").when(F.col("doubt").isNotNull(), F.concat(F.col("doubt.name"), F.lit(": "), F.col("doubt.risk"), F.lit(", "), share, F.lit("%"))).when(F.col("weighted") < high_mean, "mean confidence")
+    names = F.array_join(F.transform(F.coalesce("doubtful", F.array().cast("array<struct<idx:int,food_id:bigint,name:string>>")), lambda x: x["name"]), "|")
+    return out.select("slug", F.coalesce("n", F.lit(0)).alias("n"), grade.alias("match_quality"), why.alias("reason"), names.alias("doubtful"))
+
+
+def listed(recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """slug, matched, unmatched: the names of each kind, in the order of the recipe."""
+    of = lambda yes: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("matched") == yes, F.struct("idx", "food_id", "name")))), lambda x: x["name"]), "|")
+    names = ingredients.groupBy("slug").agg(of(True).alias("matched"), of(False).alias("unmatched"))
+    return recipes.select("slug").join(names, "slug", "left").fillna("", ["matched", "unmatched"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,20 @@ def described(overrides: DataFrame, records: DataFrame, now: Column, stale_days:
     return overrides.join(known, "target", "left").withColumn("status", status).drop("there")
 
 
+def listed(overrides: DataFrame) -> DataFrame:
+    """The overrides with their place, the one touched last first."""
+    return overrides.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "override_key")))  # a person's list
+
+
+def targets(overrides: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """overrides (provider, target) with the live record (name, kcal) of whichever provider's table holds it; tables have id, name and kcal."""
+    out = overrides
+    for provider, records in tables.items():
+        out = out.join(records.select(F.lit(provider).alias("provider"), F.col("id").alias("target"), F.struct("name", "kcal").alias(f"from_{provider}")), ["provider", "target"], "left")
+    found = F.coalesce(*[F.col(f"from_{p}") for p in tables])
+    return out.select(*overrides.columns, found["name"].alias("name"), found["kcal"].alias("kcal"))
+
+
 def preview(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """What each row resolves to with and without overrides; one that names its own record changes nothing."""
     both = rows.join(overrides.select("override_key", F.col("target").alias("forced")), "override_key", "left")

@@ -57,3 +57,49 @@ def by_index(asked: DataFrame, replies: DataFrame, key: list[str]) -> DataFrame:
     fields = [c for c in replies.columns if c not in (*key, "ord")]
     first = replies.groupBy(*key).agg(F.min_by(F.struct(*fields), "ord").alias("reply"))
     return asked.join(first, key, "left")
+
+
+def may_query_retail(english: Column, core: Column, brand: Column) -> Column:
+    """A brand, or an English name together with its core."""
+    return brand | (english & core)
+
+
+def evidence_key(english: Column, core: Column, brand: Column) -> Column:
+    return F.concat(*[F.when(c, m).otherwise("-") for c, m in ((english, "E"), (core, "C"), (brand, "B"))])
+
+
+def ownership(kcal: Column, provenance: Column, sticky: Column, fingerprint: Column, recorded: Column) -> Column:
+    """Whose nutrition a recipe has: a person's (stored without provenance, or claimed as such), ours with the fingerprint changed by another, ours, or nobody's."""
+    manual = F.coalesce(sticky, F.lit(False)) | (kcal.isNotNull() & provenance.isNull())
+    return F.when(manual, "manual").when(kcal.isNull(), "none").when(~fingerprint.eqNullSafe(recorded), "drifted").otherwise("owned")
+
+
+def outcome(tagged: Column, same_hash: Column, tags_complete: Column, manual: Column, force: Column) -> Column:
+    """What a recipe's run comes to, before anything is estimated; a person's nutrition outlasts force."""
+    return F.when(~tagged, "not-tagged").when(same_hash & ~force, F.when(tags_complete, "unchanged").otherwise("tags-updated")).when(manual, "manual").otherwise("estimate")
+
+
+def should_estimate(strategy: str, tags: Column, wanted: str) -> Column:
+    """All recipes, or those with the tag, by its slug or name."""
+    return F.lit(True) if strategy == "all" else F.exists(tags, lambda t: F.lower(t).isin(wanted.lower(), wanted.lower().replace(" ", "-")))
+
+
+def merged_tags(own: Column, old: Column, new: Column) -> Column:
+    """A person's tags (those that weren't ours), then the new ones."""
+    return F.concat(F.filter(own, lambda t: ~F.array_contains(old, t)), new)
+
+
+def tags_complete(own: Column, old: Column) -> Column:
+    return (F.size(old) > 0) & (F.size(F.array_except(old, own)) == 0)
+
+
+def usable(ingredients: DataFrame, name: str = "name", quantity: str = "qty") -> DataFrame:
+    """Ingredients with a name and more than none of them."""
+    return ingredients.filter((F.coalesce(F.col(name), F.lit("")) != "") & (F.col(quantity) > 0))
+
+
+def per_100g(per_serving: Column, servings: Column, yield_grams: Column, energy: Column, digits: int = 3) -> Column:
+    """A recipe's nutrient in 100 g; null without energy, servings, or a mass of 1 g to 100 kg."""
+    ok = (energy > 0) & (servings > 0) & yield_grams.between(1, 100_000)
+    scale = 10.0**digits
+    return F.when(ok, F.floor(F.round(per_serving * servings * 100 / yield_grams * scale, 6) + 0.5) / scale)

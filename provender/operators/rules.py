@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.functions import text
+from provender.functions import nutrition, text
 
 #: Our own defaults: (query pattern, pattern that a candidate must not have, reason), in order.
 MISMATCHES = (
@@ -48,6 +48,12 @@ def processed_conflict(preservation: Column, form: Column, processed=("ground",
     return F.coalesce((preservation == "fresh") & form.isin(*processed), F.lit(False))
 
 
+def with_sanity(records: DataFrame, name: str = "name") -> DataFrame:
+    """Adds insane: why a record's nutrients are implausible; null if they aren't."""
+    facts = nutrition.facts_of_name(name, nutrition.spark_matches)
+    return records.withColumns({c: F.expr(e) for c, e in facts.items()}).withColumn("insane", F.expr(nutrition.implausible())).drop(*facts)
+
+
 def no_evidence(similarity: Column, core: Column) -> Column:
     """Nothing of the name is shared, and there is no core that a gate could have checked."""
     return F.coalesce((similarity == 0) & (F.coalesce(F.size(core), F.lit(0)) <= 0), F.lit(False))

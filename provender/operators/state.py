@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ def two_horizons(age_hours: Column, found: Column, ttl: float = 24, grace: float
     return F.when(age_hours < ttl, F.when(found, "fresh").otherwise("absent")).when(age_hours < ttl + grace, F.when(found, "stale").otherwise("refetch")).otherwise("refetch")
 
 
-def misses(asked: DataFrame, cached: DataFrame, key: list[str]) -> DataFrame:
-    """What the cache can't answer, numbered anew within its group."""
-    return asked.join(cached.select(*key).distinct(), key, "left_anti")
+def misses(asked: DataFrame, cached: DataFrame, key: list[str], group: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """What the cache can't answer; with a group and an order, numbered anew from 0 within its group (asked_as)."""
+    left = asked.join(cached.select(*key).distinct(), key, "left_anti")
+    return left if group is None else left.withColumn("asked_as", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: the rows of each table, counted in one plan."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    return reduce(DataFrame.union, counts)

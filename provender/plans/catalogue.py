@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provender.functions import nutrition, similarity, text
-from provender.operators import aggregate, linkage, state
+from provender.operators import aggregate, linkage, rules, state
 from provender.sources import domain, importers
-from provender.sources.domain import FOOD, FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes, select_sql
+from provender.sources.domain import FOOD, FOODS_SQL, INGREDIENTS_SQL, NUTRIENTS, RECIPES_SQL, foods, ingredients, read, recipes, select_sql
 from provender.streaming import events as stream
 
 QUERIES: dict = {}
@@ -80,8 +80,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOTALS = ", ".join(f"{e} AS {n}" for n, e in aggregate.TOTALS.items())
 _GRADED = f"""{INGREDIENTS_SQL}, {RECIPES_SQL}, t AS (SELECT slug AS s, {_TOTALS} FROM ing GROUP BY slug),
 a AS (SELECT r.*, t.*, coalesce(n_matched, 0) AS nm, coalesce(n_unmatched, 0) AS nu FROM recipes r LEFT JOIN t ON t.s = r.slug),
-b AS (SELECT *, {nutrition.completeness('nu', 'nm', 'resolved_weight', 'known_weight')} AS completeness, {nutrition.evidence('nm', 'estimated_kcal', 'abs_kcal')} AS evidence FROM a),
-c AS (SELECT *, {', '.join(f"CASE WHEN completeness = 'withheld' OR servings IS NULL OR servings <= 0 THEN NULL ELSE {nutrition.half_up(f'{n}_total / servings')} END AS {n}_serving" for n in ('kcal', 'fat', 'protein'))} FROM b),
+b AS (SELECT *, {nutrition.completeness('nu', 'nm', 'resolved_weight', 'known_weight')} AS completeness, {nutrition.completeness_reason('nu', 'nm', 'resolved_weight', 'known_weight').format(text='VARCHAR')} AS completeness_reason, {nutrition.evidence('nm', 'estimated_kcal', 'abs_kcal')} AS evidence FROM a),
+c AS (SELECT *, {', '.join(f"CASE WHEN completeness = 'withheld' OR servings IS NULL OR servings <= 0 THEN NULL ELSE {nutrition.half_up(f'{n}_total / servings') if n not in aggregate.FRACTIONS else f'{n}_total / servings'} END AS {n}_serving" for n in NUTRIENTS)} FROM b),
 graded AS (SELECT *, {nutrition.calorie_tag('kcal_serving')} AS calorie_tag, {nutrition.digest_tag('kcal_serving', 'fat_serving')} AS digest_tag FROM c)"""
 
 
@@ -98,38 +98,35 @@ def _of_graded(name: str, columns: str) -> None:
 
 
 _of_graded("recipe_totals", f"slug; {r('kcal_total')} AS kcal_total; {r('known_weight')} AS known_weight; kcal_serving; fat_serving; calorie_tag; digest_tag")
-_of_graded("completeness_status", f"slug; CAST(n_matched AS BIGINT) AS matched_rows; completeness; {r('resolved_weight')} AS resolved_weight")
+_of_graded("completeness_status", f"slug; CAST(n_matched AS BIGINT) AS matched_rows; completeness; completeness_reason; {r('resolved_weight')} AS resolved_weight")
+_of_graded("serving_nutrients", "; ".join(["slug", *[f"{n}_serving AS {n}" if n not in aggregate.FRACTIONS else f"CAST(floor(round(CAST({n}_serving AS DOUBLE) * 1000, 4) + 0.5) AS BIGINT) AS {n}_mg" for n in NUTRIENTS]]))
 _of_graded("evidence_shares", f"slug; evidence; {r('CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal END', 4)} AS estimated_share")
 _of_graded("calorie_tags", "slug; kcal_serving; calorie_tag")
 _of_graded("digest_tags", "slug; digest_tag")
 
 
-@query(f"""WITH {INGREDIENTS_SQL}, m AS (SELECT *, abs(kcal * grams / 100) AS part FROM ing WHERE matched AND kcal IS NOT NULL AND grams IS NOT NULL),
-s AS (SELECT slug, sum(part) AS all_kcal, sum(confidence * part) AS wc, avg(confidence) AS mean, count(*) AS n FROM m GROUP BY slug),
-d AS (SELECT m.slug, min((m.idx, m.food_id)) AS doubt FROM m JOIN s ON s.slug = m.slug WHERE confidence < 0.6 AND all_kcal > 0 AND part > 0.2 * all_kcal GROUP BY m.slug),
-q AS (SELECT s.*, doubt, CASE WHEN all_kcal > 0 THEN wc / all_kcal ELSE mean END AS w FROM s LEFT JOIN d ON d.slug = s.slug)
-SELECT slug, n, doubt[2] AS doubt_food, CASE WHEN doubt IS NOT NULL THEN CASE WHEN w < 0.55 THEN 'low' ELSE 'mixed' END WHEN w >= 0.75 THEN 'high' WHEN w < 0.55 THEN 'low' ELSE 'mixed' END AS match_quality FROM q""")
-def match_quality(spark, sf_dir):
-    return aggregate.match_quality(ingredients(spark, sf_dir))
+_RISK = "CASE WHEN matched THEN CASE WHEN unmet IS NOT NULL THEN 'unmet' WHEN coalesce(confidence, 0) < 0.6 THEN 'low-confidence' WHEN grams_estimated THEN 'weight-estimated' END END"
 
 
-@query(f"WITH {INGREDIENTS_SQL} SELECT unit, count(*) AS n, count(grams) AS n_grams, {r('sum(grams)')} AS grams FROM ing GROUP BY unit")
-def unit_grams(spark, sf_dir):
-    return ingredients(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"), F.count("grams").alias("n_grams"), F.round(F.sum("grams").cast("double"), 2).alias("grams"))
+@query(f"""WITH {INGREDIENTS_SQL}, {RECIPES_SQL}, m AS (SELECT *, CASE WHEN matched THEN CAST(abs(kcal * grams / 100) AS DOUBLE) END AS part, CAST(coalesce(confidence, 0) AS DOUBLE) AS sure, {_RISK} AS risk FROM ing),
+s AS (SELECT slug, sum(part) AS every, sum(sure * part) AS wc, avg(sure) FILTER (WHERE part IS NOT NULL) AS mean, count(part) AS n, string_agg(name, '|' ORDER BY idx, food_id) FILTER (WHERE risk IS NOT NULL) AS doubtful FROM m GROUP BY slug),
+d AS (SELECT m.slug, arg_min(name || ': ' || risk || ', ' || CAST(CAST(floor(round(part / every * 100, 6) + 0.5) AS BIGINT) AS VARCHAR) || '%', (idx, food_id)) AS doubt FROM m JOIN s ON s.slug = m.slug WHERE risk IS NOT NULL AND every > 0 AND part > 0.2 * every GROUP BY m.slug),
+q AS (SELECT r.slug, coalesce(n, 0) AS n, doubt, coalesce(doubtful, '') AS doubtful, round(CASE WHEN every > 0 THEN wc / every ELSE mean END, 9) AS w FROM recipes r LEFT JOIN s ON s.slug = r.slug LEFT JOIN d ON d.slug = r.slug)
+SELECT slug, n, CASE WHEN n = 0 THEN 'low' WHEN doubt IS NOT NULL THEN CASE WHEN w < 0.55 THEN 'low' ELSE 'mixed' END WHEN w >= 0.75 THEN 'high' WHEN w < 0.55 THEN 'low' ELSE 'mixed' END AS match_quality,
+CASE WHEN n = 0 THEN 'no energy' WHEN doubt IS NOT NULL THEN doubt WHEN w < 0.75 THEN 'mean confidence' END AS reason, doubtful FROM q""")
+def match_quality(spark, sf_dir):
+    return aggregate.match_quality(recipes(spark, sf_dir), ingredients(spark, sf_dir))
 
 
-@query(f"WITH {RECIPES_SQL}, o AS (SELECT CASE WHEN strategy_tag = '5-LOW' THEN 'not-tagged' WHEN status = 'F' THEN 'unchanged' WHEN household % 10 = 0 THEN 'manual' ELSE 'estimated' END AS status FROM recipes) SELECT status, count(*) AS n FROM o GROUP BY status")
-def outcome_counts(spark, sf_dir):
-    outcome = F.when(F.col("strategy_tag") == "5-LOW", "not-tagged").when(F.col("status") == "F", "unchanged").when(F.col("household") % 10 == 0, "manual").otherwise("estimated")
-    return recipes(spark, sf_dir).select(outcome.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+@query(f"""WITH {INGREDIENTS_SQL}, {RECIPES_SQL}, l AS (SELECT slug, string_agg(name, '|' ORDER BY idx, food_id) FILTER (WHERE matched) AS m, string_agg(name, '|' ORDER BY idx, food_id) FILTER (WHERE NOT matched) AS u FROM ing GROUP BY slug)
+SELECT r.slug, coalesce(m, '') AS matched, coalesce(u, '') AS unmatched FROM recipes r LEFT JOIN l ON l.slug = r.slug""")
+def matched_lists(spark, sf_dir):
+    return aggregate.listed(recipes(spark, sf_dir), ingredients(spark, sf_dir))
 
 
-@query(f"WITH {RECIPES_SQL}, t AS (SELECT slug, ['user', CASE WHEN household % 2 = 0 THEN 'Calories:Light' ELSE 'own' END] AS tags, ['Calories:Light', 'Digest:Easy'] AS auto FROM recipes) SELECT slug, array_to_string(list_concat(list_filter(tags, lambda x: NOT list_contains(auto, x)), ['Calories:Heavy']), ',') AS merged, len(list_filter(auto, lambda x: NOT list_contains(tags, x))) = 0 AS complete FROM t")
-def merge_tags(spark, sf_dir):
-    tags = F.array(F.lit("user"), F.when(F.col("household") % 2 == 0, "Calories:Light").otherwise("own"))
-    auto = F.array(F.lit("Calories:Light"), F.lit("Digest:Easy"))
-    merged = F.concat(F.filter(tags, lambda x: ~F.array_contains(auto, x)), F.array(F.lit("Calories:Heavy")))
-    return recipes(spark, sf_dir).select("slug", F.array_join(merged, ",").alias("merged"), (F.size(F.array_except(auto, tags)) == 0).alias("complete"))
+@query(f"WITH {INGREDIENTS_SQL} SELECT unit, count(*) AS n, count(grams) AS n_grams, {r('sum(grams)')} AS grams FROM ing GROUP BY unit")
+def unit_grams(spark, sf_dir):
+    return ingredients(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"), F.count("grams").alias("n_grams"), F.round(F.sum("grams").cast("double"), 2).alias("grams"))
 
 
 # Text.
@@ -224,12 +221,17 @@ def name_similarity(spark, sf_dir):
     return pairs(spark, sf_dir).select("qid", "fid", F.round(similarity.jaccard(q, f), 6).alias("jaccard"), F.round(similarity.name_similarity(q, f), 6).alias("similarity"), similarity.ordered_prefix(q, f).alias("prefix"))
 
 
-_SANE = nutrition.implausible("kcal", "protein", "carbs", "fat", "saturated", "sugar", "sodium", "name LIKE '%salt%'", "name LIKE '%rum%'")
+def duck_matches(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern}')"
 
 
-@query(f"WITH {FOODS_SQL} SELECT food_id, coalesce({_SANE}, 'ok') AS reason FROM foods")
+_LABEL = "concat(name, CASE food_id % 16 WHEN 0 THEN ' xylit' WHEN 1 THEN ' Rum' WHEN 2 THEN ' drum' WHEN 3 THEN ' salt' WHEN 4 THEN ' Rotwein' WHEN 5 THEN ' Erythritol' WHEN 6 THEN ' salted' WHEN 7 THEN ' isomaltulose' ELSE '' END)"
+_SANE = f"sane AS (SELECT *, {nutrition.implausible()} AS insane FROM (SELECT *, {select_sql(nutrition.facts_of_name(_LABEL, duck_matches))} FROM foods))"
+
+
+@query(f"WITH {FOODS_SQL}, {_SANE} SELECT food_id, coalesce(insane, 'ok') AS reason FROM sane")
 def sanity_check(spark, sf_dir):
-    return foods(spark, sf_dir).select("food_id", F.coalesce(F.expr(_SANE), F.lit("ok")).alias("reason"))
+    return rules.with_sanity(foods(spark, sf_dir), _LABEL).select("food_id", F.coalesce("insane", F.lit("ok")).alias("reason"))
 
 
 @query(f"WITH {FOODS_SQL} SELECT a.food_id AS qid, b.food_id AS fid, abs(a.fat - b.fat) > greatest(2.0, a.fat * 0.15) AS fat_conflict, coalesce(abs(a.kcal - b.kcal) >= 30 AND abs(a.kcal - b.kcal) > 0.25 * greatest(abs(a.kcal), abs(b.kcal)), false) AS differs, a.tier <> b.tier AND a.tier <> 'Other' AND b.tier <> 'Other' AS state_conflict FROM foods a JOIN foods b ON a.brand = b.brand AND a.category = b.category AND a.food_id < b.food_id")
@@ -372,12 +374,6 @@ def own_recipe_source(spark, sf_dir):
     return rows.join(second, group).select("slug", F.when(F.col("slug") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("source"))
 
 
-@query(f"WITH {RECIPES_SQL}, p AS (SELECT slug, CASE WHEN total > 0 AND servings > 0 THEN (100 + household % 1000) END AS yield_g, total, servings FROM recipes) SELECT slug, {nutrition.half_up('total * servings * 100 / yield_g', 3)} AS per_100g FROM p WHERE yield_g IS NOT NULL")
-def source_per_100g(spark, sf_dir):
-    rows = recipes(spark, sf_dir).withColumn("yield_g", F.expr("CASE WHEN total > 0 AND servings > 0 THEN (100 + household % 1000) END")).filter("yield_g IS NOT NULL")
-    return rows.select("slug", F.expr(nutrition.half_up("total * servings * 100 / yield_g", 3)).alias("per_100g"))
-
-
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def cache_latest(spark, sf_dir):
     return state.latest(read(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
@@ -390,13 +386,6 @@ def cache_ttl(spark, sf_dir):
     return state.fresh(clocked, F.col("now"), 24).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'view') v WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.event_id % 5 = 0 AND p.user_id = v.user_id) GROUP BY user_id")
-def cache_misses(spark, sf_dir):
-    rows = read(spark, sf_dir, "events")
-    asked = rows.filter("event_type = 'view'").select("user_id", "event_id").distinct()
-    return state.misses(asked, rows.filter("event_type = 'purchase' AND event_id % 5 = 0"), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, user_id AS slug, event_type AS kind, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def webhook_parse(spark, sf_dir):
     return stream.parsed(read(spark, sf_dir, "events")).select("event_id", "slug", "kind", "k")
@@ -407,39 +396,12 @@ def webhook_dedupe(spark, sf_dir):
     return stream.dedupe_batch(stream.parsed(read(spark, sf_dir, "events"))).select("slug", "kind", "event_id")
 
 
-_NEED = "array_to_string(list_filter([CASE WHEN NOT matched THEN 'no-database-record' END, CASE WHEN matched AND confidence < 0.5 THEN 'unmet-attribute' END, CASE WHEN provider = 'off' THEN 'retail-variant-proxy' END], lambda x: x IS NOT NULL), ',')"
-
-
-@query(f"WITH {INGREDIENTS_SQL} SELECT reasons, count(*) AS n FROM (SELECT {_NEED} AS reasons FROM ing) GROUP BY reasons")
-def judge_need(spark, sf_dir):
-    why = F.array_compact(F.array(F.when(~F.col("matched"), "no-database-record"), F.when(F.col("matched") & (F.col("confidence") < 0.5), "unmet-attribute"), F.when(F.col("provider") == "off", "retail-variant-proxy")))
-    return ingredients(spark, sf_dir).select(F.array_join(why, ",").alias("reasons")).groupBy("reasons").agg(F.count("*").alias("n"))
-
-
-@query("SELECT CASE WHEN k IS NULL THEN 'malformed' WHEN k NOT BETWEEN 1 AND 60 THEN 'out-of-range' WHEN value < 20 THEN 'low-confidence' ELSE 'accepted' END AS verdict, count(*) AS n FROM (SELECT TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) GROUP BY 1")
-def reply_validation(spark, sf_dir):
-    verdict = F.when(F.col("k").isNull(), "malformed").when(~F.col("k").between(1, 60), "out-of-range").when(F.col("value") < 20, "low-confidence").otherwise("accepted")
-    return stream.parsed(read(spark, sf_dir, "events")).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT l_orderkey AS food_id, round(coalesce(max(CASE WHEN l_linenumber = 1 THEN l_quantity END), max(CASE WHEN l_linenumber = 2 THEN l_quantity END)) * 1.0, 4) AS energy, round(max(CASE WHEN l_linenumber = 3 THEN l_quantity END) * 0.001, 4) AS sodium FROM lineitem GROUP BY l_orderkey")
 def nutrient_pivot(spark, sf_dir):
     long = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("food_id"), F.col("l_linenumber").alias("nutrient_id"), F.col("l_quantity").alias("amount"))
     return importers.pivot_nutrients(long, {"energy": [1, 2], "sodium": [3]}, {"sodium": 0.001})
 
 
-@query(f"WITH {FOODS_SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN kcal IS NULL THEN 'energy' WHEN length(name) < 8 THEN 'name' WHEN tier = 'Other' THEN 'category' WHEN fat > 30 THEN 'fat' ELSE 'kept' END AS reason FROM foods) GROUP BY reason")
-def off_filter_reasons(spark, sf_dir):
-    reason = F.when(F.col("kcal").isNull(), "energy").when(F.length("name") < 8, "name").when(F.col("tier") == "Other", "category").when(F.col("fat") > 30, "fat").otherwise("kept")
-    return foods(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {FOODS_SQL}, s AS (SELECT brand, category, count(DISTINCT sodium) AS n_parts FROM foods GROUP BY 1, 2) SELECT food_id, n_parts > 1 AND sodium > 15 AS refused FROM foods f JOIN s ON s.brand = f.brand AND s.category = f.category")
-def set_level_part(spark, sf_dir):
-    parts = F.size(F.collect_set("sodium").over(Window.partitionBy("brand", "category")))
-    return foods(spark, sf_dir).select("food_id", ((parts > 1) & (F.col("sodium") > 15)).alias("refused"))
-
-
 @query(f"WITH {FOODS_SQL} SELECT food_id, fid FROM (SELECT a.food_id, b.food_id AS fid, row_number() OVER (PARTITION BY a.food_id ORDER BY CASE WHEN b.kcal IS NULL THEN 1 ELSE 0 END, b.food_id) AS n FROM foods a JOIN foods b ON a.name = b.name AND a.brand = b.brand) WHERE n = 1")
 def exact_lookup(spark, sf_dir):
     """The first record of a name, one with energy before others: one pass over the names, not a self-join of copies."""
@@ -448,18 +410,4 @@ def exact_lookup(spark, sf_dir):
     return rows.join(first, ["name", "brand"]).select("food_id", "f.fid")
 
 
-@query(f"WITH {RECIPES_SQL} SELECT slug, CASE WHEN household % 10 = 0 AND status <> 'F' THEN 'manual' WHEN household % 10 = 1 THEN 'drifted' ELSE 'owned' END AS ownership, CAST(floor(total * 1000 + 0.5) AS BIGINT) AS milligrams FROM recipes")
-def manual_ownership(spark, sf_dir):
-    owner = F.when((F.col("household") % 10 == 0) & (F.col("status") != "F"), "manual").when(F.col("household") % 10 == 1, "drifted").otherwise("owned")
-    return recipes(spark, sf_dir).select("slug", owner.alias("ownership"), F.expr("CAST(floor(total * 1000 + 0.5) AS BIGINT)").alias("milligrams"))
-
-
-@query(f"WITH {INGREDIENTS_SQL}, e AS (SELECT CASE WHEN confidence >= 0.5 THEN 'E' ELSE '-' END AS en, CASE WHEN confidence >= 0.7 THEN 'C' ELSE '-' END AS core, CASE WHEN brand = 'Brand#1' OR idx % 3 = 0 THEN 'B' ELSE '-' END AS br FROM ing) SELECT en || core || br AS evidence_key, en = '-' OR core = '-' AS degraded, br = 'B' OR (en = 'E' AND core = 'C') AS may_query_off, count(*) AS n FROM e GROUP BY 1, 2, 3")
-def evidence_routing(spark, sf_dir):
-    mark = lambda c, v: F.when(c, v).otherwise("-")
-    e = ingredients(spark, sf_dir).select(mark(F.col("confidence") >= 0.5, "E").alias("en"), mark(F.col("confidence") >= 0.7, "C").alias("core"), mark((F.col("brand") == "Brand#1") | (F.col("idx") % 3 == 0), "B").alias("br"))
-    keyed = e.select(F.concat("en", "core", "br").alias("evidence_key"), ((F.col("en") == "-") | (F.col("core") == "-")).alias("degraded"), ((F.col("br") == "B") | ((F.col("en") == "E") & (F.col("core") == "C"))).alias("may_query_off"))
-    return keyed.groupBy("evidence_key", "degraded", "may_query_off").agg(F.count("*").alias("n"))
-
-
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "domain"]

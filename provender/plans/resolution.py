@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provender.functions import nutrition, text
-from provender.operators import linkage, overrides, replies, rules, scoring
+from provender.operators import aggregate, linkage, overrides, replies, rules, scoring
 from provender.plans import catalogue
-from provender.plans.catalogue import _BLOCK, _GRADED, _GROUPS, _JACCARD, _SANE, NAMES, graded, groups, names, pairs, query, words
-from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, RECIPES_SQL, foods, ingredients, read, recipes
+from provender.plans.catalogue import _BLOCK, _GRADED, _GROUPS, _JACCARD, _LABEL, _SANE, NAMES, graded, groups, names, pairs, query, words
+from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, NUTRIENTS, RECIPES_SQL, foods, ingredients, read, recipes
 from provender.streaming import events as stream
 
 
@@ -82,7 +82,7 @@ def exact_label(spark, sf_dir):
     return replies.exact_label(groups(spark, sf_dir), "gid", F.col("name"), F.lit("Red Bolt")).select("gid", "fid")
 
 
-@query(f"WITH {INGREDIENTS_SQL}, c AS (SELECT slug, idx, arg_min(k, event_id) AS k FROM (SELECT user_id AS slug, event_id % 7 AS idx, event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1, 2) SELECT CASE WHEN c.k IS NOT NULL THEN 'classified' WHEN brand = 'Brand#2' THEN 'vocabulary' ELSE 'plain' END AS origin, count(*) AS n, sum(c.k) AS k_total FROM ing LEFT JOIN c ON c.slug = ing.slug AND c.idx = ing.idx GROUP BY 1")
+@query(f"WITH {INGREDIENTS_SQL}, c AS (SELECT slug, idx, arg_min(k, event_id) AS k FROM (SELECT user_id AS slug, event_id % 7 AS idx, event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1, 2) SELECT CASE WHEN c.k IS NOT NULL THEN 'classified' WHEN brand = 'Brand#2' THEN 'vocabulary' ELSE 'plain' END AS origin, count(*) AS n, CAST(sum(c.k) AS DOUBLE) AS k_total FROM ing LEFT JOIN c ON c.slug = ing.slug AND c.idx = ing.idx GROUP BY 1")
 def resolver_query(spark, sf_dir):
     """A classifier's reply, joined by recipe and index, comes before what the vocabulary says."""
     said = stream.parsed(read(spark, sf_dir, "events")).select("slug", (F.col("event_id") % 7).alias("idx"), "k", F.col("event_id").alias("ord"))
@@ -122,17 +122,18 @@ def override_suggestions(spark, sf_dir):
 
 
 #: Whole milligrams; rounded before halves go up, as sums differ in their last digits.
-_SODIUM = "CASE WHEN completeness <> 'withheld' THEN CAST(floor(round(sodium_total, 6) + 0.5) AS BIGINT) END"
+_MG = "CASE WHEN completeness <> 'withheld' THEN CAST(floor(round(CAST({0}_serving AS DOUBLE) * 1000, 4) + 0.5) AS BIGINT) END"
 _SHARE = nutrition.half_up("CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal ELSE 0 END", 4)
+_FIELDS = [f"{n}_serving AS {n}" for n in NUTRIENTS if n not in aggregate.FRACTIONS] + [f"{_MG.format(n)} AS {n}_mg" for n in aggregate.FRACTIONS]
 
 
-@query(f"WITH {_GRADED} SELECT slug, kcal_serving AS kcal, {_SODIUM} AS sodium_mg, concat_ws(',', 'completeness=' || completeness, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded")
+@query(f"WITH {_GRADED} SELECT slug, {', '.join(_FIELDS)}, concat_ws(',', 'completeness=' || completeness, 'reason=' || completeness_reason, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded")
 def patch_output(spark, sf_dir):
     """What is written back: fields of a withheld result are null; extras hold only what there is (share in 1/10000)."""
     rows = graded(spark, sf_dir).withColumn("share", F.expr(_SHARE))
+    said = [F.concat(F.lit(f"{n}="), c) for n, c in (("completeness", "completeness"), ("reason", "completeness_reason"), ("evidence", "evidence"))]
     share = F.when(F.col("share") > 0, F.concat(F.lit("share="), F.floor(F.col("share") * 10000 + 0.5).cast("string")))
-    extras = F.concat_ws(",", F.concat(F.lit("completeness="), "completeness"), F.concat(F.lit("evidence="), "evidence"), share)
-    return rows.select("slug", F.col("kcal_serving").alias("kcal"), F.expr(_SODIUM).alias("sodium_mg"), extras.alias("extras"))
+    return rows.select("slug", *[F.expr(f) for f in _FIELDS], F.concat_ws(",", *said, share).alias("extras"))
 
 
 @query(f"WITH {RECIPES_SQL}, dim AS (SELECT lower(n_name) AS name, min(n_nationkey) AS id FROM nation GROUP BY 1), w AS (SELECT slug, unnest([strategy_tag, 'nation_' || CAST(household % 30 AS VARCHAR)]) AS tag FROM recipes) SELECT DISTINCT slug, CAST(CASE WHEN id IS NOT NULL THEN id ELSE -CAST('0x' || substr(md5(lower(tag)), 1, 15) AS BIGINT) - 1 END AS BIGINT) AS tag_id FROM w LEFT JOIN dim ON dim.name = lower(tag) WHERE id IS NOT NULL OR slug % 17 <> 0")
@@ -150,12 +151,12 @@ def stale_sources(spark, sf_dir):
     return overrides.stale(recorded, now)
 
 
-@query(f"WITH {FOODS_SQL} SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN food_id IS NULL THEN 'miss' WHEN {_SANE} IS NOT NULL THEN 'insane' WHEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) > 40 AND kcal IS NULL THEN 'conflict' ELSE 'hit' END AS verdict FROM events LEFT JOIN foods ON food_id = event_id % 2500) GROUP BY 1")
+@query(f"WITH {FOODS_SQL}, {_SANE} SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN food_id IS NULL THEN 'miss' WHEN insane IS NOT NULL THEN 'insane' WHEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) > 40 AND kcal IS NULL THEN 'conflict' ELSE 'hit' END AS verdict FROM events LEFT JOIN sane ON food_id = event_id % 2500) GROUP BY 1")
 def cache_revalidate(spark, sf_dir):
     """A stored match is a miss if its record is gone, implausible, or refused by a gate of today."""
     rows = stream.parsed(read(spark, sf_dir, "events")).withColumn("food_id", F.col("event_id") % 2500)
-    both = rows.join(foods(spark, sf_dir).withColumn("there", F.lit(True)), "food_id", "left")
-    verdict = F.when(F.col("there").isNull(), "miss").when(F.expr(_SANE).isNotNull(), "insane").when((F.col("k") > 40) & F.col("kcal").isNull(), "conflict").otherwise("hit")
+    both = rows.join(rules.with_sanity(foods(spark, sf_dir), _LABEL).withColumn("there", F.lit(True)), "food_id", "left")
+    verdict = F.when(F.col("there").isNull(), "miss").when(F.col("insane").isNotNull(), "insane").when((F.col("k") > 40) & F.col("kcal").isNull(), "conflict").otherwise("hit")
     return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 

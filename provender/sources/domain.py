@@ -21,7 +21,14 @@ FOOD = {
     "saturated": "(p_partkey % 19) * 1.0",
     "sugar": "(p_partkey % 43) * 1.0",
     "sodium": "(p_partkey % 31) * 1.0",
+    "trans": "(p_partkey % 3) * 1.0",
+    "unsaturated": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 13) * 1.0 END",
+    "fiber": "(p_partkey % 17) * 1.0",
+    "cholesterol": "(p_partkey % 11) / 10.0",
+    "polyols": "CASE WHEN p_partkey % 4 = 0 THEN (p_partkey % 29) * 1.0 END",
 }
+#: Nutrients of 100 g that are added up for a recipe; the last two are small, and kept to the fraction.
+NUTRIENTS = ("kcal", "protein", "carbs", "fat", "saturated", "trans", "unsaturated", "fiber", "sugar", "sodium", "cholesterol")
 INGREDIENT = {
     "slug": "l_orderkey",
     "idx": "l_linenumber",
@@ -29,7 +36,9 @@ INGREDIENT = {
     "price": "l_extendedprice",
     "unit": "CASE l_linenumber WHEN 1 THEN 'g' WHEN 2 THEN 'oz' WHEN 3 THEN 'tbsp' WHEN 4 THEN 'ml' WHEN 5 THEN 'piece' WHEN 6 THEN 'pinch' ELSE 'box' END",
     "provider": "CASE l_suppkey % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'llm-nutrient' END",
-    "confidence": "(35 + l_partkey % 60) / 100.0",
+    "confidence": "CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE (35 + l_partkey % 60) / 100.0 END",
+    "unmet": "CASE WHEN l_partkey % 23 = 0 THEN 'lean' END",
+    "grams_estimated": "l_linenumber = 5",
     "matched": "l_suppkey % 9 <> 0",
 }
 RECIPE = {
