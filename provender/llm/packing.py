@@ -6,7 +6,8 @@ rows). There a branch and bound fills one sequence after the other around the lo
 enumerates fillings of the space beside it that no other filling dominates, takes the least wasteful, and
 uses a filling as often as the counts allow, so each decision uses up a length. A branch ends when its waste
 leaves no way to beat the incumbent (best-fit, then the best solution found), the search when the incumbent
-meets the lower bound.
+meets the lower bound. Its budgets (NODES looked at for a filling, FILLINGS kept of them, BACKTRACKS to another
+filling) grow fourfold, DEEPER times, while it is above the bound; then the incumbent stands, and plan() gives both.
 
 The plan is a table of slots: (length, from rank, copies in a sequence, sequences) with a first sequence and
 an offset. Pieces get their rank among those of their length without gathering a length in one task: a hot
@@ -31,6 +32,8 @@ from provender.llm.token_tables import encoder
 
 #: Groups over which the pieces of one length are dealt when they get their ranks.
 SALT = 256
+#: The first budgets of the search, and how often they are raised.
+NODES, FILLINGS, BACKTRACKS, DEEPER = 400, 4, 40, 2
 
 
 def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -89,7 +92,7 @@ def best_fit(counts: np.ndarray, room: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def fillings(counts: np.ndarray, room: int, nodes: int = 400, most: int = 4) -> list[tuple[int, ...]]:
+def fillings(counts: np.ndarray, room: int, nodes: int = NODES, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated fillings of the room from the items counted, least waste first."""
     if room <= 0:
         return [()]
@@ -163,7 +166,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, -(-total // capacity))
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, backtracks: int = 40) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+def plan(histogram: dict[int, int], capacity: int = 4096) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """Fillings with how often each is used, and the lower bound. Every piece is packed; sequences hold capacity at most."""
     start = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -172,14 +175,14 @@ def plan(histogram: dict[int, int], capacity: int = 4096, backtracks: int = 40)
     if not total:
         return [], 0
 
-    def dive(counts: np.ndarray, used: list, bins: int, waste: int, allowed: int, trail: list | None, choice: list[int]) -> tuple[list, int] | None:
+    def dive(counts: np.ndarray, used: list, bins: int, waste: int, allowed: int, trail: list | None, choice: list[int], scale: int) -> tuple[list, int] | None:
         """Goes down to a whole solution; None once its waste can't be made up for. trail: gets where another choice was open."""
         used = list(used)
         turn = 0
         while len(left := np.flatnonzero(counts)):
             longest = int(left[-1])
             counts[longest] -= 1
-            open_ = fillings(counts, capacity - longest)
+            open_ = fillings(counts, capacity - longest, NODES * scale, FILLINGS * scale)
             counts[longest] += 1
             pick = choice[turn] if turn < len(choice) else 0
             if trail is not None and len(open_) > 1 and turn >= len(choice):
@@ -208,16 +211,19 @@ def plan(histogram: dict[int, int], capacity: int = 4096, backtracks: int = 40)
         counts[sizes] -= times * n
         best.append((filling, n))
         best_bins += n
-    trail: list = []
-    if best_bins > bound and (found := dive(start.copy(), [], 0, 0, (best_bins - 1) * capacity - total, trail, [])):
-        best, best_bins = found
-    # Other choices, the last ones first: late decisions are where waste arises.
-    for turn, n in reversed(trail[-backtracks:]):
+    for scale in (4**k for k in range(DEEPER + 1)):
         if best_bins <= bound:
             break
-        for pick in range(1, n):
-            if found := dive(start.copy(), [], 0, 0, (best_bins - 1) * capacity - total, None, [0] * turn + [pick]):
-                best, best_bins = found
+        trail: list = []
+        if found := dive(start.copy(), [], 0, 0, (best_bins - 1) * capacity - total, trail, [], scale):
+            best, best_bins = found
+        # Other choices, the last ones first: late decisions are where waste arises.
+        for turn, n in reversed(trail[-BACKTRACKS * scale :]):
+            if best_bins <= bound:
+                break
+            for pick in range(1, n):
+                if found := dive(start.copy(), [], 0, 0, (best_bins - 1) * capacity - total, None, [0] * turn + [pick], scale):
+                    best, best_bins = found
     return best, bound
 
 
