@@ -24,6 +24,30 @@ def blocking(queries: DataFrame, foods: DataFrame, most: int | None = None) -> D
     return left.join(right, "spelt").select("qid", "fid").distinct()
 
 
+def fuzzy_keys(toks: Column, record: bool) -> Column:
+    """Keys of which a query and a record share one wherever the German name score isn't nought: equal words, stems, a plural
+    with its singular, an end of a longer word (by eight letters at most), and the first three letters, as parts of a compound have."""
+    of = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x))
+    singular = F.flatten(F.transform(toks, lambda t: F.filter(F.array(t, *[F.when(t.endswith(e), F.substring(t, F.lit(1), F.length(t) - len(e))) for e in text.PLURALS]), lambda x: F.length(x) >= 4)))
+    heads = F.flatten(F.transform(toks, lambda t: F.array(t, text.german_stem(t))))
+    ends = F.flatten(F.transform(toks, lambda t: F.filter(F.transform(F.sequence(F.lit(2), F.lit(9)), lambda i: F.substring(t, i, F.length(t))), lambda x: F.length(x) >= 4)))
+    first = F.transform(F.filter(toks, lambda t: F.length(t) >= 3), lambda t: F.substring(t, F.lit(1), F.lit(3)))
+    return F.array_distinct(F.concat(of("w", toks), of("s", F.transform(toks, lambda t: text.german_stem(t))), of("m", singular), of("e", ends if record else heads), of("p", first)))
+
+
+def fuzzy(queries: DataFrame, foods: DataFrame, score) -> DataFrame:
+    """qid, fid, score of all pairs that score more than nought: an equi-join on keys in place of a comparison of all with all.
+
+    queries: qid, toks; foods: fid, toks; score(query tokens, name tokens). Frequent beginnings make wide blocks; the score
+    of each pair is computed once.
+    """
+    left = queries.select("qid", F.col("toks").alias("qtoks"))
+    right = foods.select("fid", "toks")
+    keyed = left.select("qid", F.explode(fuzzy_keys(F.col("qtoks"), False)).alias("key")).join(right.select("fid", F.explode(fuzzy_keys(F.col("toks"), True)).alias("key")), "key")
+    pairs = keyed.select("qid", "fid").distinct()
+    return pairs.join(left, "qid").join(right, "fid").select("qid", "fid", score(F.col("qtoks"), F.col("toks")).alias("score")).filter("score > 0")
+
+
 def top_k(scored: DataFrame, group: str, order: list[Column], k: int = 1) -> DataFrame:
     """The k first of each group; the order must end with a unique column, so that ties are stable."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provender.functions import text
-from provender.operators import rules, scoring
-from provender.plans.catalogue import _BLOCK, NAMES, query, stem, tk, words
+from provender.operators import linkage, rules, scoring
+from provender.plans.catalogue import _BLOCK, NAMES, names, query, stem, tk, words
 from provender.plans.catalogue import pairs as blocked_pairs
 from provender.sources.domain import FOODS_SQL, foods, read
 
@@ -209,6 +209,20 @@ def dry_matter(spark, sf_dir):
     return m.select("doc_id", text.dry_matter_fat(F.col("name")).alias("dry"), text.reconcile_fat(F.col("name"), F.col("claimed")).alias("fat"), rules.dry_matter_conflict(F.lit("Käse 45 % Fett i. Tr."), F.col("name")).alias("refused"))
 
 
+_ASKED = "asked AS (SELECT fid AS qid, CASE fid % 4 WHEN 0 THEN toks WHEN 1 THEN [toks[1]] WHEN 2 THEN [toks[1] || toks[len(toks)]] ELSE [toks[len(toks)] || 'n'] END AS q FROM names)"
+_HELD_NAMES = "held AS (SELECT fid, CASE fid % 3 WHEN 0 THEN toks WHEN 1 THEN [toks[len(toks)] || toks[1], 'extra', 'word'] ELSE [toks[1] || 'en', toks[len(toks)]] END AS n FROM names)"
+
+
+@query(f"""WITH {FOODS_SQL}, {NAMES}, {_ASKED}, {_HELD_NAMES}, k AS (SELECT qid, fid, q, n, {_identity('q')} AS qi, {_identity('n')} AS ci FROM asked, held),
+x AS (SELECT *, {_explains('qi', 'ci')} AS explains FROM k), y AS (SELECT qid, fid, {_name_score('q', 'n', 'qi', 'ci', 'explains')} AS score FROM x) SELECT qid, fid, round(score, 6) AS score FROM y WHERE score > 0""")
+def fuzzy_scores(spark, sf_dir):
+    """Every record that a query's name score doesn't rule out; the SQL compares all with all."""
+    n = names(spark, sf_dir).withColumns({"a": F.get("toks", F.lit(0)), "z": F.get("toks", F.size("toks") - 1)})
+    asked = n.selectExpr("fid AS qid", "CASE fid % 4 WHEN 0 THEN toks WHEN 1 THEN array(a) WHEN 2 THEN array(concat(a, z)) ELSE array(concat(z, 'n')) END AS toks")
+    held = n.selectExpr("fid", "CASE fid % 3 WHEN 0 THEN toks WHEN 1 THEN array(concat(z, a), 'extra', 'word') ELSE array(concat(a, 'en'), z) END AS toks")
+    return linkage.fuzzy(asked, held, scoring.german_name_score).select("qid", "fid", F.round("score", 6).alias("score"))
+
+
 _PLURAL = "({0} = {1} OR {0} = {1} || 's' OR {0} = {1} || 'es' OR {1} = {0} || 's' OR {1} = {0} || 'es')"
 _CORE = "list_slice(q, len(q), len(q))"
 
