@@ -116,7 +116,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", facts_as: str
     again = stored(passages(found), "passages")
 
     # The bytes of first occurrences: their documents are picked where they lie, if those are few enough to be named.
-    wanted = stored(again.select("fk", "first", "lines", "groups").distinct(), "wanted")
+    wanted = again.select("fk", "first", "lines", "groups").distinct()
     by_key = wanted.groupBy("fk").agg(F.collect_list(F.struct("first", "lines", "groups")).alias("wanted"))
     first = rows.join(F.broadcast(by_key) if few(wanted) else by_key, rows.k.eqNullSafe(by_key.fk))
     bytes_of = lambda lines, p, n: F.array_join(F.transform(F.slice(lines, p + 1, n), lambda s: s["x"]), "\n")

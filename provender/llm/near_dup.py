@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.llm.common import Stored, chunks, few, made, meet, remove_made_since, stored
+from provender.llm.common import HOT, Stored, chunks, few, made, remove_made_since, stored
 from provender.llm.pretokens import equal_spans, mix, span_hashes
 
 #: Functions of a sketch; trees (the first functions); functions that a node chooses; levels below the roots.
@@ -41,7 +41,9 @@ SKETCH, TREES, BRANCHES, LEVELS = 64, 10, 4, 3
 #: Agreeing functions from which a pair is looked at: at the threshold 48 of 64 agree on average, with a deviation of 3.5.
 AGREE = 32
 #: Documents of a node that are paired at once, of a block, and of a node that may branch; shingles of a block.
-SMALL, BLOCK, WIDE, MASS = 24, 2048, 192, 1_500_000
+SMALL, BLOCK, WIDE, MASS = 24, 2048, 192, 600_000
+#: Characters of text whose shingles a worker makes at once.
+CHARS = 300_000
 #: A node branches if its children have at most one in PAYS of its pairs.
 PAYS = 4
 
@@ -109,7 +111,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """id, n (shingles), digest of the words, sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHARS):
             sets, counts = shingle_hashes(texts)
             digest = [hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() for t in texts]
             sketches = pa.array([sketch(s) if len(s) else np.zeros(0, np.int32) for s in sets], pa.list_(pa.int32()))
@@ -188,10 +190,23 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").select("node", "tree", "id", "n", F.coalesce("comp", "id").alias("comp"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass); rows is a written table."""
+def _hot(rows: DataFrame) -> DataFrame | None:
+    """The nodes of HOT rows or more, if there are any and so few that they can be named; their number is bounded by the rows over HOT."""
+    hot = rows.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") >= HOT).select("node")
+    if hot.isEmpty():
+        return None
+    hot = stored(hot, "hot")
+    return hot if few(hot) else None
+
+
+def _open(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The rows of nodes in which several components meet, with the node's documents (size) and shingles (mass). Those of hot nodes aren't gathered."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return meet(rows, stored(nodes.filter("low <> high").select("node", "size", "mass"), "nodes"), ["node"])
+    nodes = nodes.filter("low <> high").select("node", "size", "mass")
+    if hot is None:
+        return rows.join(nodes, "node")
+    others = rows.join(F.broadcast(hot), "node", "left_anti").join(nodes, "node")
+    return rows.join(F.broadcast(nodes.join(F.broadcast(hot), "node", "left_semi")), "node").select(*others.columns).union(others)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -205,7 +220,7 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, hashes (of its shingles) of the documents named."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHARS):
             hashes = [h.view(np.int64) for h in shingle_hashes(texts)[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
 
@@ -300,7 +315,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     comps = stored(components(links), "components")
 
     # Then what the stars left open.
-    rows = stored(_open(stored(_labelled(shared.df.select("node", "tree", "id", "n"), comps), "labelled")), "open")
+    rows = stored(_open(_labelled(shared.df.select("node", "tree", "id", "n"), comps), _hot(shared.df)), "open")
     shared.drop()
     pairs, blocks, branched = _pairs(rows.filter(F.col("size") <= SMALL)), [], None
     for level in range(LEVELS + 1):
@@ -326,7 +341,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if pays is None:
             break
         # Below the roots, nodes of different trees and functions are told apart by their hashes alone.
-        rows = stored(_open(stored(going.select("node", F.lit(0).alias("tree"), "id", "n", "comp").distinct(), "sent")), "open")
+        going = going.select("node", F.lit(0).alias("tree"), "id", "n", "comp").distinct()
+        rows = stored(_open(going, _hot(going)), "open")
         pairs = pairs.union(_pairs(rows.filter(F.col("size") <= SMALL)))
     found = likely(pairs.distinct(), reps)
     for block in blocks:
@@ -335,7 +351,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     late = None if rest.isEmpty() else stored(confirmed(rest, docs), "confirmed")
     # The texts of a repeated identifier belong together.
     several = signed.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
-    several = stored(several, "repeated")
     if not several.isEmpty():
         own = sets.join(several, "id", "left_semi").select("id", "digest").distinct().join(firsts.withColumnRenamed("id", "rep"), "digest")
         own = own.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
@@ -353,9 +368,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def _told_apart(rows: DataFrame, text: Column) -> DataFrame:
     """Adds v, a number for each identifier, or for each text of one that is repeated with unlike texts; no two share one."""
     rows = rows.withColumn("h", F.xxhash64(text))
-    several = stored(rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("k"), "repeated")
+    several = rows.filter("k IS NOT NULL").groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("k")
     if several.isEmpty():
         return rows.withColumn("v", F.col("k"))
+    several = stored(several, "repeated")
     marked = rows.join(several.withColumn("several", F.lit(True)), "k", "left")
     for seed in range(100):
         numbered = marked.withColumn("v", F.when(F.col("several"), F.xxhash64(F.lit(seed), "k", text)).otherwise(F.col("k"))).drop("several")

@@ -241,7 +241,7 @@ def ragged(pool: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, number: n
 
 
 #: Pieces in each of the two generations of a cache: bounds a worker's memory.
-GENERATION = 250_000
+GENERATION = 180_000
 #: Longer pieces are encoded but not kept.
 LONG_PIECE = 48
 

@@ -26,6 +26,8 @@ from provender.llm.near_dup import _WHITE
 from provender.llm.pretokens import LETTER, NUMBER, classes, span_hashes
 
 TRAIN_ROWS = 12_000
+#: Characters of text whose statistics a worker computes at once.
+CHARS = 400_000
 BINS, DEPTH, TREES, RATE, LEAST, L2 = 48, 4, 60, 0.2, 20, 2.0
 THRESHOLD = 0.3
 FEATURES = ("log_chars", "letters", "upper", "digits", "white", "symbols", "bangs", "other", "non_ascii", "line_rate", "word_length", "log_words", "distinct_words", "top_word", "distinct_lines", "distinct_grams", "longest_word")
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = usable.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k", "y").limit(TRAIN_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHARS):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(statistics(texts)), pa.list_(pa.float64()))], ["k", "y", "x"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y")
@@ -176,7 +178,7 @@ def scored(df: DataFrame, model: Trees, key: str = "doc_id", text: str = "text")
     """key, held_out, score, predicted of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHARS):
             score = model.score(statistics(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["key", "held_out", "score", "predicted"])
 
@@ -189,7 +191,7 @@ def accepted(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """The rows that the model doesn't reject, with their columns as they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, text, CHARS):
             yield batch.filter(pa.array(model.score(statistics(texts)) >= THRESHOLD))
 
     return df.mapInArrow(run, df.schema)
