@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provender.functions import nutrition, similarity, text
-from provender.operators import aggregate, linkage, rules, state
+from provender.operators import aggregate, judge, linkage, rules, state
 from provender.sources import domain, importers
 from provender.sources.domain import FOOD, FOODS_SQL, INGREDIENTS_SQL, NUTRIENTS, RECIPES_SQL, foods, ingredients, read, recipes, select_sql
 from provender.streaming import events as stream
@@ -234,14 +234,16 @@ def sanity_check(spark, sf_dir):
     return rules.with_sanity(foods(spark, sf_dir), _LABEL).select("food_id", F.coalesce("insane", F.lit("ok")).alias("reason"))
 
 
-@query(f"WITH {FOODS_SQL} SELECT a.food_id AS qid, b.food_id AS fid, abs(a.fat - b.fat) > greatest(2.0, a.fat * 0.15) AS fat_conflict, coalesce(abs(a.kcal - b.kcal) >= 30 AND abs(a.kcal - b.kcal) > 0.25 * greatest(abs(a.kcal), abs(b.kcal)), false) AS differs, a.tier <> b.tier AND a.tier <> 'Other' AND b.tier <> 'Other' AS state_conflict FROM foods a JOIN foods b ON a.brand = b.brand AND a.category = b.category AND a.food_id < b.food_id")
+@query(f"""WITH {FOODS_SQL}, n AS (SELECT food_id AS qid, fat, kcal, tier, lead(food_id) OVER w AS fid, lead(fat) OVER w AS f2, lead(kcal) OVER w AS k2, lead(tier) OVER w AS t2 FROM foods WINDOW w AS (PARTITION BY brand, category ORDER BY food_id))
+SELECT qid, fid, abs(fat - f2) > greatest(2.0, fat * 0.15) AS fat_conflict, abs(fat - f2) > 0.5 AND abs(fat - f2) <= greatest(2.0, fat * 0.15) AS fat_close, coalesce(abs(kcal - k2) >= 30 AND abs(kcal - k2) > 0.25 * greatest(abs(kcal), abs(k2)), false) AS differs, tier <> t2 AND tier <> 'Other' AND t2 <> 'Other' AS state_conflict FROM n WHERE fid IS NOT NULL""")
 def attribute_gates(spark, sf_dir):
-    a = foods(spark, sf_dir)
-    b = a.select("brand", "category", F.col("food_id").alias("fid"), F.col("fat").alias("f2"), F.col("kcal").alias("k2"), F.col("tier").alias("t2"))
-    both = a.join(b, ["brand", "category"]).filter("food_id < fid")
+    """Each record against the next one of its brand and category: as many pairs as records."""
+    w = Window.partitionBy("brand", "category").orderBy("food_id")
+    nexts = {n: F.lead(c).over(w) for n, c in (("fid", "food_id"), ("f2", "fat"), ("k2", "kcal"), ("t2", "tier"))}
+    both = foods(spark, sf_dir).withColumns(nexts).filter("fid IS NOT NULL")
     state_conflict = (F.col("tier") != F.col("t2")) & (F.col("tier") != "Other") & (F.col("t2") != "Other")
     fat, kcal = (F.col("fat").cast("double"), F.col("f2").cast("double")), (F.col("kcal").cast("double"), F.col("k2").cast("double"))
-    return both.select(F.col("food_id").alias("qid"), "fid", similarity.fat_conflict(*fat).alias("fat_conflict"), similarity.materially_different(*kcal).alias("differs"), state_conflict.alias("state_conflict"))
+    return both.select(F.col("food_id").alias("qid"), "fid", similarity.fat_conflict(*fat).alias("fat_conflict"), judge.fat_approximate(*fat).alias("fat_close"), similarity.materially_different(*kcal).alias("differs"), state_conflict.alias("state_conflict"))
 
 
 _SCORED = f"{FOODS_SQL}, {NAMES}, {_BLOCK}, scored AS (SELECT qid, k.fid, 60 * greatest({_JACCARD}, {_HELD}) + CASE g.tier WHEN 'Foundation' THEN 20 WHEN 'SR Legacy' THEN 15 ELSE 0 END + CASE WHEN g.kcal IS NOT NULL THEN 15 ELSE -50 END AS score, g.kcal AS kcal FROM blocked k JOIN names a ON a.fid = qid JOIN names b ON b.fid = k.fid JOIN foods g ON g.food_id = k.fid)"
