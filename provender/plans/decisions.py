@@ -130,13 +130,13 @@ def cache_keys(spark, sf_dir):
 
 
 @query(f"""WITH {FOODS_SQL}, k AS (SELECT food_id, food_id % 2 = 0 AS r, CASE WHEN food_id % 3 = 0 THEN 'none' ELSE '' END AS w, CASE WHEN food_id % 5 = 0 THEN ['lean', name] ELSE [] END AS u, food_id % 7 = 0 AS torn FROM foods)
-SELECT food_id, r OR w <> '' OR len(u) > 0 AS written, CASE WHEN NOT torn AND r THEN true END AS reranked, CASE WHEN NOT torn AND w <> '' THEN w END AS reason, CASE WHEN NOT torn AND len(u) > 0 THEN array_to_string(u, '|') END AS unmet FROM k""")
+SELECT food_id, r OR w <> '' OR len(u) > 0 AS written, CASE WHEN NOT torn AND r THEN 'yes' END AS reranked, CASE WHEN NOT torn AND w <> '' THEN w END AS reason, CASE WHEN NOT torn AND len(u) > 0 THEN array_to_string(u, '|') END AS unmet FROM k""")
 def provenance(spark, sf_dir):
     """Written as JSON and read back; what was torn on the way is no provenance."""
     k = foods(spark, sf_dir).selectExpr("food_id", "food_id % 2 = 0 AS r", "CASE WHEN food_id % 3 = 0 THEN 'none' ELSE '' END AS w", "CASE WHEN food_id % 5 = 0 THEN array('lean', name) ELSE array() END AS u", "food_id % 7 = 0 AS torn")
     raw = k.withColumn("raw", keys.provenance(F.col("r"), F.col("w"), F.col("u")))
     back = raw.withColumn("held", keys.provenance_read(F.when(F.col("torn"), F.concat(F.lit("{"), F.coalesce("raw", F.lit("")))).otherwise(F.col("raw"))))
-    return back.select("food_id", F.col("raw").isNotNull().alias("written"), "held.reranked", "held.reason", F.array_join("held.unmet", "|").alias("unmet"))
+    return back.select("food_id", F.col("raw").isNotNull().alias("written"), F.when(F.col("held.reranked"), "yes").alias("reranked"), "held.reason", F.array_join("held.unmet", "|").alias("unmet"))
 
 
 _ASCII = "list_distinct(list_filter(string_split(trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
