@@ -9,7 +9,7 @@ from provender.functions import similarity
 
 #: Reasons to ask, in the order in which they are given.
 REASONS = ("no-database-record", "gate-suppressed-pool", "unsatisfied-numeric-modifier", "unmet-attribute", "unresolved-specificity", "partial-core-identity", "material-rival", "retail-variant-proxy")
-RECORDS = ("mealie-recipe", "bls", "usda-local", "off")
+RECORDS = ("own-recipe", "bls", "usda-local", "off")
 
 
 def fat_approximate(asked: Column, measured: Column, exact: float = 0.5) -> Column:

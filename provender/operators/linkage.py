@@ -71,7 +71,7 @@ def first_variant(hits: DataFrame) -> DataFrame:
 
 
 #: Providers in the order in which each route asks them; the first local one is where a curated preference enters.
-ROUTES = {"generic": ("mealie-recipe", "override", "bls", "usda-local", "off", "llm-nutrient"), "branded": ("mealie-recipe", "override", "off", "bls", "usda-local", "llm-nutrient")}
+ROUTES = {"generic": ("own-recipe", "override", "bls", "usda-local", "off", "llm-nutrient"), "branded": ("own-recipe", "override", "off", "bls", "usda-local", "llm-nutrient")}
 LOCAL = ("bls", "usda-local")
 
 
@@ -124,7 +124,7 @@ def unambiguous(vocabulary: DataFrame) -> DataFrame:
 
 
 #: Providers and datasets by trust, where scores tie.
-TRUST = ("mealie-recipe", "bls", "usda-local", "off", "llm-nutrient")
+TRUST = ("own-recipe", "bls", "usda-local", "off", "llm-nutrient")
 DATASETS = ("Foundation", "SR Legacy")
 
 

@@ -35,7 +35,7 @@ def nutrients_of_reply(kcal: Column, others: list[Column]) -> Column:
     return F.when(kcal.isNull() | (kcal < 0) | bad, "unresolved").otherwise("estimated")
 
 
-def fallback_of(provider: Column, known: tuple[str, ...] = ("bls", "usda-local", "off", "mealie-recipe", "override", "llm-nutrient")) -> Column:
+def fallback_of(provider: Column, known: tuple[str, ...] = ("bls", "usda-local", "off", "own-recipe", "override", "llm-nutrient")) -> Column:
     """record, estimate or unresolved; a provider that isn't known is unresolved."""
     return F.when(provider == "llm-nutrient", "estimate").when(provider.isin(*known), "record").otherwise("unresolved")
 

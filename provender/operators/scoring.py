@@ -150,7 +150,7 @@ def confidence(provider: Column, score: Column, has_core: Column, unmet: Column)
     german = F.least(F.when(score >= 70, 0.85).otherwise(0.75), F.when(has_core, 1.0).otherwise(0.6))
     english = F.least(F.when(score >= 55, 0.8).otherwise(0.7), F.when(has_core, 1.0).otherwise(0.55))
     retail = F.least(F.lit(0.95), score / 100)
-    base = F.when(provider == "bls", german).when(provider == "usda-local", english).when(provider == "off", retail).when(provider == "mealie-recipe", 0.85).otherwise(0.35)
+    base = F.when(provider == "bls", german).when(provider == "usda-local", english).when(provider == "off", retail).when(provider == "own-recipe", 0.85).otherwise(0.35)
     return F.when(unmet, F.least(base, F.lit(0.55))).otherwise(base)
 
 

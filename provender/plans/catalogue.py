@@ -265,11 +265,11 @@ def rank_topk(spark, sf_dir):
     return linkage.top_k(scored(spark, sf_dir), "qid", [F.desc(F.round("score", 6)), F.asc("fid")], 8).select("qid", "fid", "rank")
 
 
-_GROUPS = f"{FOODS_SQL}, grp AS (SELECT brand AS gid, food_id AS fid, name, kcal, tier, brand, category, protein, carbs, fat, CAST((food_id * 7) % 100 AS DOUBLE) AS score, food_id % 5 AS fit, CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie-recipe' END AS provider, CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END AS kind FROM foods)"
+_GROUPS = f"{FOODS_SQL}, grp AS (SELECT brand AS gid, food_id AS fid, name, kcal, tier, brand, category, protein, carbs, fat, CAST((food_id * 7) % 100 AS DOUBLE) AS score, food_id % 5 AS fit, CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'own-recipe' END AS provider, CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END AS kind FROM foods)"
 
 
 def groups(spark, sf_dir) -> DataFrame:
-    provider = F.expr("CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'mealie-recipe' END")
+    provider = F.expr("CASE food_id % 4 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' ELSE 'own-recipe' END")
     kind = F.expr("CASE food_id % 3 WHEN 0 THEN 'property' WHEN 1 THEN 'retail' ELSE 'plain' END")
     return foods(spark, sf_dir).select(F.col("brand").alias("gid"), F.col("food_id").alias("fid"), "name", "kcal", "tier", "brand", "category", "protein", "carbs", "fat", F.expr("CAST((food_id * 7) % 100 AS DOUBLE)").alias("score"), F.expr("food_id % 5").alias("fit"), provider.alias("provider"), kind.alias("kind"))
 
@@ -285,7 +285,7 @@ def variant_first_hit(spark, sf_dir):
     return linkage.first_variant(hits).select(F.col("qid").alias("gid"), "pick", "variant", "best")
 
 
-_TRUST = "CASE provider WHEN 'mealie-recipe' THEN 1 WHEN 'bls' THEN 2 WHEN 'usda-local' THEN 3 ELSE 4 END, CASE tier WHEN 'Foundation' THEN 1 WHEN 'SR Legacy' THEN 2 ELSE 3 END, fid"
+_TRUST = "CASE provider WHEN 'own-recipe' THEN 1 WHEN 'bls' THEN 2 WHEN 'usda-local' THEN 3 ELSE 4 END, CASE tier WHEN 'Foundation' THEN 1 WHEN 'SR Legacy' THEN 2 ELSE 3 END, fid"
 _ORDERED = f"{_GROUPS}, cand AS (SELECT *, row_number() OVER (PARTITION BY gid, lower(name), kcal ORDER BY score DESC, {_TRUST}) AS copy FROM grp), ordered AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, {_TRUST}) AS place FROM cand WHERE copy = 1)"
 
 
@@ -307,11 +307,11 @@ def shortlist(spark, sf_dir):
     return linkage.shortlist(linkage.ordered_candidates(groups(spark, sf_dir))).select("gid", "fid")
 
 
-_PLACES = "CASE provider " + " ".join(f"WHEN '{p}' THEN CASE route WHEN 'generic' THEN {g} ELSE {b} END" for p, g, b in (("mealie-recipe", 1, 1), ("override", 2, 2), ("bls", 3, 4), ("usda-local", 4, 5), ("off", 5, 3), ("llm-nutrient", 6, 6))) + " END"
+_PLACES = "CASE provider " + " ".join(f"WHEN '{p}' THEN CASE route WHEN 'generic' THEN {g} ELSE {b} END" for p, g, b in (("own-recipe", 1, 1), ("override", 2, 2), ("bls", 3, 4), ("usda-local", 4, 5), ("off", 5, 3), ("llm-nutrient", 6, 6))) + " END"
 _CHAIN = {
     "gid": "concat(brand, '/', category, '/', CAST(food_id % 40 AS {text}))",
     "route": "CASE WHEN food_id % 40 % 3 = 0 THEN 'branded' ELSE 'generic' END",
-    "provider": "CASE (food_id * 7 + p_size) % 6 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' WHEN 3 THEN 'mealie-recipe' WHEN 4 THEN 'override' ELSE 'llm-nutrient' END",
+    "provider": "CASE (food_id * 7 + p_size) % 6 WHEN 0 THEN 'bls' WHEN 1 THEN 'usda-local' WHEN 2 THEN 'off' WHEN 3 THEN 'own-recipe' WHEN 4 THEN 'override' ELSE 'llm-nutrient' END",
     "refused": "food_id % 11 = 0 OR kcal IS NULL",
     "forced": "CASE WHEN food_id % 40 % 4 = 0 THEN -1 END",
 }

@@ -61,7 +61,7 @@ def source_per_100g(spark, sf_dir):
 
 _ASKS = """CASE WHEN NOT matched THEN NULL ELSE provider END AS p, unmet IS NOT NULL AS open, CASE WHEN food_id % 4 = 0 THEN CAST(fat + food_id % 5 - 2 AS DOUBLE) END AS fat_asked, CASE WHEN food_id % 9 <> 0 THEN CAST(fat AS DOUBLE) END AS fat_there,
 CASE food_id % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'dried' ELSE 'unknown' END AS kept_asked, CASE food_id % 5 WHEN 0 THEN 'fresh' WHEN 1 THEN 'canned' ELSE 'unknown' END AS kept, food_id % 6 = 0 AS part, food_id % 2 = 0 AS processed, food_id % 7 = 0 AS claims, food_id % 8 = 0 AS rival, food_id % 10 AS survivors, food_id % 3 AS below"""
-_THERE = "coalesce(p IN ('mealie-recipe', 'bls', 'usda-local', 'off'), false)"
+_THERE = "coalesce(p IN ('own-recipe', 'bls', 'usda-local', 'off'), false)"
 _NUMBER = f"({_THERE} AND fat_asked IS NOT NULL AND (fat_there IS NULL OR abs(fat_there - fat_asked) > 0.5 AND abs(fat_there - fat_asked) <= greatest(2.0, fat_asked * 0.15)))"
 _REASONS = f"""[CASE WHEN NOT {_THERE} THEN 'no-database-record' END, CASE WHEN NOT {_THERE} AND survivors > 0 AND below > 0 THEN 'gate-suppressed-pool' END, CASE WHEN {_NUMBER} THEN 'unsatisfied-numeric-modifier' END, CASE WHEN {_THERE} AND open THEN 'unmet-attribute' END,
 CASE WHEN {_THERE} AND kept_asked <> 'unknown' AND kept <> 'unknown' AND kept <> kept_asked THEN 'unresolved-specificity' END, CASE WHEN {_THERE} AND part THEN 'partial-core-identity' END, CASE WHEN rival THEN 'material-rival' END,

@@ -148,7 +148,7 @@ def test_chain_equals_loop(spark):
     assert {r.gid: r.picked for r in linkage.chain(df).collect()} == want
     assert None in want.values() and -1 in want.values()
     # A held shortfall gives way to the preference, and a preference enters though no local provider answers.
-    for there, forced, picked in (({"mealie-recipe": ["a"]}, -1, -1), ({"off": []}, -1, -1), ({"mealie-recipe": []}, -1, 0), ({"mealie-recipe": ["a"], "bls": []}, None, 0)):
+    for there, forced, picked in (({"own-recipe": ["a"]}, -1, -1), ({"off": []}, -1, -1), ({"own-recipe": []}, -1, 0), ({"own-recipe": ["a"], "bls": []}, None, 0)):
         rows = [(1, p, i, u, [], False, "generic", forced) for i, (p, u) in enumerate(there.items())]
         one = spark.createDataFrame(rows, df.drop("pos", "entry").select("gid", "provider", "fid", "unmet", "stated", "refused", "route", "forced").schema)
         one = one.withColumns({"pos": linkage.chain_position(F.col("route"), F.col("provider")), "entry": linkage.enters_at(F.col("route"))})
