@@ -13,13 +13,24 @@ def search(queries: DataFrame, products: DataFrame, limit: int = 10) -> DataFram
 
     queries: qid, text, available (false: the source can't be reached, which confirms nothing). A query without hits has one
     row with a null code.
+
+    Products with the same asked words differ by code alone, and queries with the same words in stock not at all. So kinds
+    meet kinds: before one of a query's first products stand the first products of fewer than `limit` other kinds and
+    fewer than `limit` of its own kind. A word that all queries and products share costs no pairs of them.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(text.ascii_tokens(F.col("text")))).alias("word"))
-    there = products.select("code", F.explode(F.array_distinct(text.ascii_tokens(F.col("name")))).alias("word"))
-    hits = asked.join(there, "word").groupBy("qid", "code").agg(F.count("*").alias("shared"))
-    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("shared"), "code"))).filter(F.col("rank") <= limit)
+    words = lambda c: F.explode(F.array_distinct(text.ascii_tokens(F.col(c)))).alias("word")
+    bag = F.array_sort(F.collect_list("word"))
+    upto = lambda rows, name, kind, *order: rows.withColumn(name, F.row_number().over(Window.partitionBy(kind).orderBy(*order))).filter(F.col(name) <= limit)
+    asked = queries.filter("available").select("qid", words("text"))
+    there = products.select("code", words("name")).join(asked.select("word").distinct(), "word", "left_semi")
+    shelf = upto(there.groupBy("code").agg(bag.alias("has")), "nth", "has", F.asc_nulls_last("code"))
+    kinds = shelf.filter("nth = 1").select("has", F.col("code").alias("least"), F.explode("has").alias("word"))
+    wanted = asked.join(kinds.select("word").distinct(), "word", "left_semi").groupBy("qid").agg(bag.alias("wants"))
+    shared = wanted.select("wants").distinct().select("wants", F.explode("wants").alias("word")).join(kinds, "word").groupBy("wants", "has", "least").agg(F.count("*").alias("shared"))
+    best = upto(shared, "place", "wants", F.desc("shared"), F.asc_nulls_last("least")).select("wants", "has", "shared")
+    first = upto(best.join(shelf, "has"), "rank", "wants", F.desc("shared"), F.asc_nulls_last("code"))
     status = F.when(~F.col("available"), "failed").when(F.col("code").isNull(), "absent").otherwise("ok")
-    found = queries.join(first.join(queries.filter("available").select("qid"), "qid", "left_semi"), "qid", "left")
+    found = queries.join(wanted.join(first, "wants").select("qid", "code", "rank"), "qid", "left")
     return found.select("qid", "code", "rank", status.alias("status"))
 
 

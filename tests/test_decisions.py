@@ -1,5 +1,8 @@
 """Batches of classifications, reasons, keys, provenance, retail products and gates against cases."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,34 @@ def test_match_quality(spark):
     recipes = spark.createDataFrame([(i,) for i in range(1, 8)], "slug int")
     got = {r.slug: (r.n, r.match_quality, r.reason, r.doubtful) for r in aggregate.match_quality(recipes, spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: (2, "high", None, "b"), 2: (2, "mixed", "b: unmet, 50%", "b"), 3: (0, "low", "no energy", "a"), 4: (1, "high", None, "w"), 5: (0, "low", "no energy", ""), 6: (1, "low", "n: low-confidence, 100%", "n"), 7: (0, "low", "no energy", "")}
+
+
+def most_joined(df):
+    """The most rows that a join of a collected DataFrame put out."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        children = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        return max([node.metrics().apply("numOutputRows").value() if "Join" in kind else 0, *map(walk, children)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_search_of_frequent_words(spark):
+    draw = random.Random(4)
+    said = [(q, "oil " + " ".join(draw.choices("abcde", k=2)) + f" {q}", q % 7 > 0) for q in range(60)] + [(3, "a b", True)]
+    sold = [(10 * (c % 280), "oil " + " ".join(draw.choices("abcdefg", k=draw.randrange(4)))) for c in range(300)]
+    df = retail.search(spark.createDataFrame(said, "qid int, text string, available boolean"), spark.createDataFrame(sold, "code int, name string"), 4)
+    got = Counter(tuple(r) for r in df.collect())
+    asked = {}
+    for q, words, available in said:
+        if available:
+            asked.setdefault(q, []).extend(set(words.split()))
+    want = Counter()
+    for q, _, available in said:
+        shared = Counter()
+        for code, name in sold:
+            shared[code] += sum(asked.get(q, []).count(w) for w in set(name.split()))
+        first = sorted((-n, code) for code, n in shared.items() if n)[:4]
+        want.update([(q, code, i, "ok" if available else "failed") for i, (_, code) in enumerate(first, 1)] or [(q, None, None, "absent" if available else "failed")])
+    assert got == want and most_joined(df) < 3000  # 60 * 300 pairs share a word
