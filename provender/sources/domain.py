@@ -74,7 +74,8 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an ingredient, with its food and grams; the optimizer broadcasts the foods only if they are small."""
-    rows = read(spark, sf_dir, "lineitem").selectExpr("l_partkey", *[f"{e} AS {c}" for c, e in INGREDIENT.items()])
+    """One row an ingredient, with its food, grams and place in the table (row); the optimizer broadcasts the foods only if they are small."""
+    row = "struct(_metadata.file_name AS file, _metadata.row_index AS nth) AS row"
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_partkey", row, *[f"{e} AS {c}" for c, e in INGREDIENT.items()])
     joined = rows.join(foods(spark, sf_dir), F.col("l_partkey") == F.col("food_id"))
     return joined.withColumn("grams", F.expr(nutrition.grams("qty", "unit", "name")))

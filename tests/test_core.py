@@ -1,5 +1,6 @@
 """Operators by tables of cases, and every query against its SQL."""
 
+import math
 import random
 
 import duckdb
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from provender.config import Config
 from provender.functions import nutrition, similarity, text
-from provender.operators import linkage, state
+from provender.operators import aggregate, linkage, state
 from provender.plans import catalogue, resolution  # noqa: F401 (registers its queries)
 from provender.sources import importers
+from provender.sources.domain import NUTRIENTS
 from provender.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +207,46 @@ def test_upsert_sink(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert sorted((r.slug, r.v) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "b"), (2, "c")]
+
+
+@pytest.mark.parametrize("name", ["recipe_totals"])
+def test_graded_of_many_rows(spark, name):
+    """On a table of several splits, against the SQL on one thread: it adds in the order of the table, on more it differs from itself."""
+    big = "/root/testdata/sf0.1"
+    duck = duckdb.connect(config={"threads": 1})
+    for t in ("part", "orders", "lineitem"):
+        duck.execute(f"create view {t} as select * from read_parquet('{big}/{t}.parquet')")
+    got, want = entry.queries()[name](spark, big).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
+    merged = got.merge(want, how="outer", on=list(want.columns), indicator=True)
+    assert len(got) == len(want) == len(merged) and (merged["_merge"] == "both").all()
+
+
+@pytest.mark.parametrize("known,kcal", [([0.1, 0.2, 0.7], [200.1, 200.2, 200.2]), ([0.3, 0.6, 0.1], [100.1, 400.2, 100.2]), ([0.7, 0.1, 0.2], [0.1, 0.2, 600.2])])
+def test_sums_in_order(spark, known, kcal):
+    """Every order of three rows, whatever the order in which they arrive; the last digit decides two tags and what is withheld."""
+    from itertools import permutations
+
+    zero = {n: 0.0 for n in NUTRIENTS}
+    data, recipes, want = [], [], {}
+    for slug, order in enumerate(permutations(range(3))):
+        total = {"kcal": 0.0, "known": 0.0, "resolved": 0.0}
+        for row, i in enumerate(order):
+            matched = i != 0 or known[0] not in (0.3, 0.7)
+            grams, k = known[i] * 1.0, kcal[i] * 100 / (known[i] * 1.0)
+            data.append({"slug": slug, "row": row, "matched": matched, "provider": "bls", "confidence": 0.9, "grams": grams, **zero, "kcal": k})
+            total["known"] += grams
+            if matched:
+                total["resolved"] += grams
+                total["kcal"] += k * grams / 100
+        missing = (total["known"] - total["resolved"]) / total["known"]
+        want[slug] = (total["kcal"], total["known"], total["resolved"], "complete" if known[0] not in (0.3, 0.7) else "withheld" if missing > 0.3 else "partial")
+        recipes.append((slug, 1.0))
+    random.Random(1).shuffle(data)
+    ingredients = spark.createDataFrame(pd.DataFrame(data)).repartition(3)
+    got = aggregate.graded(ingredients, spark.createDataFrame(recipes, "slug long, servings double")).collect()
+    assert {r.slug: (r.kcal_total, r.known_weight, r.resolved_weight, r.completeness) for r in got} == want
+    for r in got:
+        if r.completeness != "withheld":
+            whole = math.floor(want[r.slug][0] + 0.5)
+            assert (r.kcal_serving, r.calorie_tag, r.digest_tag) == (whole, "Calories:Light" if whole < 350 else "Calories:Moderate" if whole <= 600 else "Calories:Hearty", "Digest:Easy" if whole <= 600 else "Digest:Moderate")
+    assert len({v[0] for v in want.values()} | {v[1] for v in want.values()}) > 2
