@@ -18,6 +18,16 @@ def half_up(x: str, digits: int = 0) -> str:
     return f"(floor(({x}) * {scale} + 0.5) / {scale})" if digits else f"CAST(floor(({x}) + 0.5) AS BIGINT)"
 
 
+def sql_round(x: str, digits: int) -> str:
+    """round() of the other engines, which scale a double and round the product."""
+    return f"round({x}, {digits})"
+
+
+def spark_round(x: str, digits: int) -> str:
+    """The same in Spark, whose round() takes the shortest decimal that reads as the double; they part near halves."""
+    return f"(round(({x}) * 1e{digits}) / 1e{digits})"
+
+
 def spoon_density(name: str) -> str:
     return "CASE " + " ".join(f"WHEN {name} LIKE '%{w}%' THEN {g}.0" for w, g in DENSITIES) + " END"
 
@@ -51,10 +61,10 @@ def evidence(matched: str, estimated: str, total: str) -> str:
     return f"CASE WHEN {matched} = 0 THEN NULL WHEN coalesce({estimated}, 0) = 0 THEN 'database' WHEN coalesce({total}, 0) <= 0 THEN 'estimated' WHEN {estimated} / {total} > 0.25 THEN 'estimated' ELSE 'mixed' END"
 
 
-def completeness_reason(unmatched: str, matched: str, resolved: str, known: str) -> str:
+def completeness_reason(unmatched: str, matched: str, resolved: str, known: str, rounded=sql_round) -> str:
     """Why a result is withheld or partial; null for a complete one."""
     missing = f"CASE WHEN coalesce({known}, 0) > 0 THEN ({known} - coalesce({resolved}, 0)) / {known} ELSE 1 END"
-    share = f"CAST(CAST(floor(round(CAST({missing} AS DOUBLE) * 100, 6) + 0.5) AS BIGINT) AS {{text}})"
+    share = f"CAST(CAST(floor({rounded(f'CAST({missing} AS DOUBLE) * 100', 6)} + 0.5) AS BIGINT) AS {{text}})"
     return f"CASE WHEN {unmatched} = 0 THEN NULL WHEN {matched} = 0 THEN 'nothing resolved' WHEN {missing} > 0.3 THEN concat({share}, '% of the weight unresolved') ELSE concat(CAST({unmatched} AS {{text}}), ' unresolved, a minor weight') END"
 
 

@@ -47,7 +47,7 @@ def graded(ingredients: DataFrame, recipes: DataFrame) -> DataFrame:
     """Every recipe, also one without ingredients, with totals, completeness, evidence, quality and tags."""
     out = recipes.join(totals(ingredients), "slug", "left").fillna(0, ["n_matched", "n_unmatched"])
     out = out.withColumn("completeness", F.expr(nutrition.completeness("n_unmatched", "n_matched", "resolved_weight", "known_weight")))
-    out = out.withColumn("completeness_reason", F.expr(nutrition.completeness_reason("n_unmatched", "n_matched", "resolved_weight", "known_weight").format(text="STRING")))
+    out = out.withColumn("completeness_reason", F.expr(nutrition.completeness_reason("n_unmatched", "n_matched", "resolved_weight", "known_weight", nutrition.spark_round).format(text="STRING")))
     out = out.withColumn("evidence", F.expr(nutrition.evidence("n_matched", "estimated_kcal", "abs_kcal")))
     out = per_serving(out)
     return out.withColumn("calorie_tag", F.expr(nutrition.calorie_tag("kcal_serving"))).withColumn("digest_tag", F.expr(nutrition.digest_tag("kcal_serving", "fat_serving")))

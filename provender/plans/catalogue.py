@@ -28,8 +28,8 @@ def query(sql: str | None = None):
     return add
 
 
-def r(x: str, digits: int = 2) -> str:
-    return f"round(CAST({x} AS DOUBLE), {digits})"
+def r(x: str, digits: int = 2, rounded=nutrition.sql_round) -> str:
+    return rounded(f"CAST({x} AS DOUBLE)", digits)
 
 
 # SQL of the text functions, for engines with lambdas written `lambda x: ..`.
@@ -89,20 +89,27 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.graded(ingredients(spark, sf_dir), recipes(spark, sf_dir))
 
 
-def _of_graded(name: str, columns: str) -> None:
+def mg(x: str, rounded) -> str:
+    """Whole milligrams; rounded before halves go up, as sums differ in their last digits."""
+    return f"CAST(floor({rounded(f'CAST({x} AS DOUBLE) * 1000', 4)} + 0.5) AS BIGINT)"
+
+
+def _of_graded(name: str, columns) -> None:
+    """columns: the list of columns, by the engine's rounding."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return graded(spark, sf_dir).selectExpr(*columns.split("; "))
+        return graded(spark, sf_dir).selectExpr(*columns(nutrition.spark_round))
 
     run.__name__ = name
-    query(f"WITH {_GRADED} SELECT {columns.replace('; ', ', ').replace('n_matched', 'nm').replace('n_unmatched', 'nu')} FROM graded")(run)
+    query(f"WITH {_GRADED} SELECT {', '.join(columns(nutrition.sql_round)).replace('n_matched', 'nm').replace('n_unmatched', 'nu')} FROM graded")(run)
 
 
-_of_graded("recipe_totals", f"slug; {r('kcal_total')} AS kcal_total; {r('known_weight')} AS known_weight; kcal_serving; fat_serving; calorie_tag; digest_tag")
-_of_graded("completeness_status", f"slug; CAST(n_matched AS BIGINT) AS matched_rows; completeness; completeness_reason; {r('resolved_weight')} AS resolved_weight")
-_of_graded("serving_nutrients", "; ".join(["slug", *[f"{n}_serving AS {n}" if n not in aggregate.FRACTIONS else f"CAST(floor(round(CAST({n}_serving AS DOUBLE) * 1000, 4) + 0.5) AS BIGINT) AS {n}_mg" for n in NUTRIENTS]]))
-_of_graded("evidence_shares", f"slug; evidence; {r('CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal END', 4)} AS estimated_share")
-_of_graded("calorie_tags", "slug; kcal_serving; calorie_tag")
-_of_graded("digest_tags", "slug; digest_tag")
+_of_graded("recipe_totals", lambda rd: ["slug", f"{r('kcal_total', 2, rd)} AS kcal_total", f"{r('known_weight', 2, rd)} AS known_weight", "kcal_serving", "fat_serving", "calorie_tag", "digest_tag"])
+_of_graded("completeness_status", lambda rd: ["slug", "CAST(n_matched AS BIGINT) AS matched_rows", "completeness", "completeness_reason", f"{r('resolved_weight', 2, rd)} AS resolved_weight"])
+_of_graded("serving_nutrients", lambda rd: ["slug", *[f"{n}_serving AS {n}" if n not in aggregate.FRACTIONS else f"{mg(f'{n}_serving', rd)} AS {n}_mg" for n in NUTRIENTS]])
+_of_graded("evidence_shares", lambda rd: ["slug", "evidence", f"{r('CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal END', 4, rd)} AS estimated_share"])
+_of_graded("calorie_tags", lambda rd: ["slug", "kcal_serving", "calorie_tag"])
+_of_graded("digest_tags", lambda rd: ["slug", "digest_tag"])
 
 
 _RISK = "CASE WHEN matched THEN CASE WHEN unmet IS NOT NULL THEN 'unmet' WHEN coalesce(confidence, 0) < 0.6 THEN 'low-confidence' WHEN grams_estimated THEN 'weight-estimated' END END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provender.functions import nutrition, text
 from provender.operators import aggregate, linkage, overrides, replies, rules, scoring
 from provender.plans import catalogue
-from provender.plans.catalogue import _BLOCK, _GRADED, _GROUPS, _JACCARD, _LABEL, _SANE, NAMES, graded, groups, names, pairs, query, words
+from provender.plans.catalogue import _BLOCK, _GRADED, _GROUPS, _JACCARD, _LABEL, _SANE, NAMES, graded, groups, mg, names, pairs, query, words
 from provender.sources.domain import FOODS_SQL, INGREDIENTS_SQL, NUTRIENTS, RECIPES_SQL, foods, ingredients, read, recipes
 from provender.streaming import events as stream
 
@@ -121,19 +121,21 @@ def override_suggestions(spark, sf_dir):
     return doubted.groupBy("food_id").agg(F.count("*").alias("n"), why.alias("why"))
 
 
-#: Whole milligrams; rounded before halves go up, as sums differ in their last digits.
-_MG = "CASE WHEN completeness <> 'withheld' THEN CAST(floor(round(CAST({0}_serving AS DOUBLE) * 1000, 4) + 0.5) AS BIGINT) END"
 _SHARE = nutrition.half_up("CASE WHEN abs_kcal > 0 THEN coalesce(estimated_kcal, 0) / abs_kcal ELSE 0 END", 4)
-_FIELDS = [f"{n}_serving AS {n}" for n in NUTRIENTS if n not in aggregate.FRACTIONS] + [f"{_MG.format(n)} AS {n}_mg" for n in aggregate.FRACTIONS]
 
 
-@query(f"WITH {_GRADED} SELECT slug, {', '.join(_FIELDS)}, concat_ws(',', 'completeness=' || completeness, 'reason=' || completeness_reason, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded")
+def _fields(rounded) -> list[str]:
+    grams = [f"{n}_serving AS {n}" for n in NUTRIENTS if n not in aggregate.FRACTIONS]
+    return grams + [f"CASE WHEN completeness <> 'withheld' THEN {mg(f'{n}_serving', rounded)} END AS {n}_mg" for n in aggregate.FRACTIONS]
+
+
+@query(f"WITH {_GRADED} SELECT slug, {', '.join(_fields(nutrition.sql_round))}, concat_ws(',', 'completeness=' || completeness, 'reason=' || completeness_reason, 'evidence=' || evidence, CASE WHEN {_SHARE} > 0 THEN 'share=' || CAST(CAST(floor({_SHARE} * 10000 + 0.5) AS BIGINT) AS VARCHAR) END) AS extras FROM graded")
 def patch_output(spark, sf_dir):
     """What is written back: fields of a withheld result are null; extras hold only what there is (share in 1/10000)."""
     rows = graded(spark, sf_dir).withColumn("share", F.expr(_SHARE))
     said = [F.concat(F.lit(f"{n}="), c) for n, c in (("completeness", "completeness"), ("reason", "completeness_reason"), ("evidence", "evidence"))]
     share = F.when(F.col("share") > 0, F.concat(F.lit("share="), F.floor(F.col("share") * 10000 + 0.5).cast("string")))
-    return rows.select("slug", *[F.expr(f) for f in _FIELDS], F.concat_ws(",", *said, share).alias("extras"))
+    return rows.select("slug", *[F.expr(f) for f in _fields(nutrition.spark_round)], F.concat_ws(",", *said, share).alias("extras"))
 
 
 @query(f"WITH {RECIPES_SQL}, dim AS (SELECT lower(n_name) AS name, min(n_nationkey) AS id FROM nation GROUP BY 1), w AS (SELECT slug, unnest([strategy_tag, 'nation_' || CAST(household % 30 AS VARCHAR)]) AS tag FROM recipes) SELECT DISTINCT slug, CAST(CASE WHEN id IS NOT NULL THEN id ELSE -CAST('0x' || substr(md5(lower(tag)), 1, 15) AS BIGINT) - 1 END AS BIGINT) AS tag_id FROM w LEFT JOIN dim ON dim.name = lower(tag) WHERE id IS NOT NULL OR slug % 17 <> 0")

@@ -209,7 +209,7 @@ def test_upsert_sink(spark, tmp_path):
     assert sorted((r.slug, r.v) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "b"), (2, "c")]
 
 
-@pytest.mark.parametrize("name", ["recipe_totals"])
+@pytest.mark.parametrize("name", ["recipe_totals", "evidence_shares"])
 def test_graded_of_many_rows(spark, name):
     """On a table of several splits, against the SQL on one thread: it adds in the order of the table, on more it differs from itself."""
     big = "/root/testdata/sf0.1"
@@ -250,3 +250,9 @@ def test_sums_in_order(spark, known, kcal):
             whole = math.floor(want[r.slug][0] + 0.5)
             assert (r.kcal_serving, r.calorie_tag, r.digest_tag) == (whole, "Calories:Light" if whole < 350 else "Calories:Moderate" if whole <= 600 else "Calories:Hearty", "Digest:Easy" if whole <= 600 else "Digest:Moderate")
     assert len({v[0] for v in want.values()} | {v[1] for v in want.values()}) > 2
+
+
+def test_rounding_alike(spark):
+    near = [k / 1000 + 0.0005 for k in range(0, 3000, 7)] + [0.285, 1.005, 2.675, 0.95625, -1.005, 0.23125, 1e15 + 0.125]
+    got = spark.createDataFrame([(x,) for x in near], "x double").select(*[F.expr(nutrition.spark_round("x", d)) for d in (2, 3, 4)]).collect()
+    assert [tuple(r) for r in got] == [duckdb.execute("select round(?::double, 2), round(?::double, 3), round(?::double, 4)", [x] * 3).fetchone() for x in near]
