@@ -209,7 +209,7 @@ def test_upsert_sink(spark, tmp_path):
     assert sorted((r.slug, r.v) for r in spark.read.parquet(str(tmp_path)).collect()) == [(1, "b"), (2, "c")]
 
 
-@pytest.mark.parametrize("name", ["recipe_totals", "completeness_status", "serving_nutrients", "evidence_shares", "calorie_tags", "patch_output"])
+@pytest.mark.parametrize("name", ["recipe_totals", "completeness_status", "serving_nutrients", "evidence_shares", "calorie_tags", "digest_tags", "patch_output"])
 def test_graded_of_many_rows(spark, name):
     """On a table of several splits, against the SQL on one thread: it adds in the order of the table, on more it differs from itself."""
     big = "/root/testdata/sf0.1"
