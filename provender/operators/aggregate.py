@@ -62,21 +62,26 @@ def match_quality(recipes: DataFrame, ingredients: DataFrame, low=0.6, high_mean
     """slug, n, match_quality, reason and the doubtful ingredients, of every recipe.
 
     Confidence is weighted by energy (by rows, where there is none). The first doubtful ingredient with a large share can't
-    be outvoted, and names itself. Without an energy-bearing row the grade is low. One exchange, by recipe.
+    be outvoted, and names itself. Without an energy-bearing row the grade is low. One exchange, by recipe. With the column row (a place in the table),
+    doubles are added in its order, and it parts doubtful ingredients of the same place and food.
     """
     part = F.when(F.col("matched"), F.abs(F.col("kcal") * F.col("grams") / 100))
-    rows = ingredients.select("slug", "idx", "food_id", "name", part.cast("double").alias("part"), F.coalesce("confidence", F.lit(0)).cast("double").alias("sure"), risk(low).alias("risk"))
-    rows = rows.withColumn("every", F.sum("part").over(Window.partitionBy("slug")))
+    place = ["row"] if "row" in ingredients.columns else []
+    rows = ingredients.select("slug", "idx", "food_id", "name", *place, part.cast("double").alias("part"), F.coalesce("confidence", F.lit(0)).cast("double").alias("sure"), risk(low).alias("risk"))
+    of = Window.partitionBy("slug").orderBy(*place or ["idx", "food_id"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = {"every": F.sum("part"), "wc": F.sum(F.col("sure") * F.col("part")), "mean": F.avg(F.when(F.col("part").isNotNull(), F.col("sure")))}
+    rows = rows.withColumns({n: f.over(of) for n, f in whole.items()})
     heavy = (F.col("every") > 0) & (F.col("part") > dominant * F.col("every")) & F.col("risk").isNotNull()
     doubtful = F.collect_list(F.when(F.col("risk").isNotNull(), F.struct("idx", "food_id", "name")))
     sums = rows.groupBy("slug").agg(
-        F.count("part").alias("n"), F.max("every").alias("every"), F.sum(F.col("sure") * F.col("part")).alias("wc"), F.avg(F.when(F.col("part").isNotNull(), F.col("sure"))).alias("mean"),
-        F.min(F.when(heavy, F.struct("idx", "food_id", "name", "risk", (F.col("part") / F.col("every")).alias("share")))).alias("doubt"), F.array_sort(doubtful).alias("doubtful"),
+        F.count("part").alias("n"), *[F.max(n).alias(n) for n in whole],
+        F.min(F.when(heavy, F.struct("idx", "food_id", *place, "name", "risk", (F.col("part") / F.col("every")).alias("share")))).alias("doubt"), F.array_sort(doubtful).alias("doubtful"),
     )
-    out = recipes.select("slug").join(sums, "slug", "left").withColumn("weighted", F.round(F.expr("CASE WHEN every > 0 THEN wc / every ELSE mean END"), 9))
+    weighted = F.expr(nutrition.spark_round("CASE WHEN every > 0 THEN wc / every ELSE mean END", 9))
+    out = recipes.select("slug").join(sums, "slug", "left").withColumn("weighted", weighted)
     none = F.coalesce(F.col("n"), F.lit(0)) == 0
     grade = F.when(none, "low").when(F.col("doubt").isNotNull(), F.when(F.col("weighted") < low_mean, "low").otherwise("mixed")).when(F.col("weighted") >= high_mean, "high").when(F.col("weighted") < low_mean, "low").otherwise("mixed")
-    share = F.floor(F.round(F.col("doubt.share") * 100, 6) + 0.5).cast("string")
+    share = F.expr(f"CAST(floor({nutrition.spark_round('doubt.share * 100', 6)} + 0.5) AS STRING)")
     why = F.when(none, "no energy").when(F.col("doubt").isNotNull(), F.concat(F.col("doubt.name"), F.lit(": "), F.col("doubt.risk"), F.lit(", "), share, F.lit("%"))).when(F.col("weighted") < high_mean, "mean confidence")
     names = F.array_join(F.transform(F.coalesce("doubtful", F.array().cast("array<struct<idx:int,food_id:bigint,name:string>>")), lambda x: x["name"]), "|")
     return out.select("slug", F.coalesce("n", F.lit(0)).alias("n"), grade.alias("match_quality"), why.alias("reason"), names.alias("doubtful"))

@@ -142,3 +142,22 @@ def test_search_of_frequent_words(spark):
         first = sorted((-n, code) for code, n in shared.items() if n)[:4]
         want.update([(q, code, i, "ok" if available else "failed") for i, (_, code) in enumerate(first, 1)] or [(q, None, None, "absent" if available else "failed")])
     assert got == want and most_joined(df) < 3000  # 60 * 300 pairs share a word
+
+
+def test_match_quality_in_order(spark):
+    """Of doubtful ingredients at one place with one food the first row counts; shares are of a sum in the order of the rows."""
+    from itertools import permutations
+
+    schema = "row int, slug int, idx int, food_id long, name string, matched boolean, kcal double, grams double, confidence double, unmet string, grams_estimated boolean"
+    rows = [(1, 0, 1, 1, "a", True, 70.0, 100.0, 0.9, "lean", False), (2, 0, 1, 1, "a", True, 30.0, 100.0, 0.9, "lean", False)]
+    want = {0: (2, "mixed", "a: unmet, 70%", "a|a")}
+    for slug, order in enumerate(permutations([0.035, 0.03, 0.03, 0.08]), 1):  # 0.035 is a fifth of all, or hardly more
+        every = 0.0
+        for row, part in enumerate(order):
+            every += part * 100.0 / 100
+            rows.append((row, slug, 1 if part == 0.035 else 2, 1, "d" if part == 0.035 else "s", True, part, 100.0, 0.9, "lean" if part == 0.035 else None, False))
+        want[slug] = (4, "mixed", "d: unmet, 20%", "d") if 0.035 * 100.0 / 100 > 0.2 * every else (4, "high", None, "d")
+    random.Random(2).shuffle(rows)
+    recipes = spark.createDataFrame([(i,) for i in want], "slug int")
+    got = {r.slug: (r.n, r.match_quality, r.reason, r.doubtful) for r in aggregate.match_quality(recipes, spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    assert got == want and len(set(want.values())) == 3
