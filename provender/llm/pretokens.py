@@ -5,8 +5,8 @@ the functions that arise by composing them form a finite monoid, whose elements
 with the monoid's multiplication table, over blocks side by side, gives the state before each character
 with two table look-ups a character and no regular expression. A token starts where the automaton says so.
 
-Tokens are then numbered by content: a 64-bit hash of their codepoints groups them, and each is compared with
-the first of its hash, so that Python sees each distinct token of a chunk once and no two are taken for one.
+Tokens are then looked up by content: a 64-bit hash of their codepoints finds an entry of a cache, and each is compared
+with that entry's, so that Python sees tokens that aren't kept alone and no two are taken for one.
 """
 
 from __future__ import annotations
@@ -164,8 +164,9 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(sums[ends] - sums[starts] + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def equal_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """For each i, whether values[a[i]:a[i] + length[i]] and values[b[i]:b[i] + length[i]] are the same."""
+def equal_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    """For each i, whether values[a[i]:a[i] + length[i]] and others[b[i]:b[i] + length[i]] are the same; others: values, if not given."""
+    others = values if others is None else others
     out = np.ones(len(a), bool)
     some = np.flatnonzero(length > 0)
     if not len(some):
@@ -173,7 +174,7 @@ def equal_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.nda
     n = length[some]
     first = np.cumsum(n) - n
     step = np.arange(n.sum()) - np.repeat(first, n)
-    differ = values[np.repeat(a[some], n) + step] != values[np.repeat(b[some], n) + step]
+    differ = values[np.repeat(a[some], n) + step] != others[np.repeat(b[some], n) + step]
     out[some] = ~np.logical_or.reduceat(differ, first)
     return out
 
@@ -211,24 +212,10 @@ class Pretokens:
         self.code = code
         self.hashes = span_hashes(code, self.start, self.end)
 
-    def distinct(self) -> tuple[list[str], np.ndarray]:
-        """The distinct tokens, and each token's number among them."""
-        _, at, number = np.unique(self.hashes, return_index=True, return_inverse=True)
+    def texts(self, number: np.ndarray) -> list[str]:
+        """The tokens of these numbers."""
         joined = self.joined
-        tokens = [joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
-        length = self.end - self.start
-        # Each against the first of its hash; the few that differ from it, if any, are numbered by themselves.
-        rest = np.flatnonzero(at[number] != np.arange(len(number)))
-        same = length[rest] == length[at][number[rest]]
-        same[same] = equal_spans(self.code, self.start[rest][same], self.start[at][number[rest][same]], length[rest][same])
-        more: dict[str, int] = {}
-        for i in rest[~same].tolist():
-            token = joined[self.start[i] : self.end[i]]
-            if token not in more:
-                more[token] = len(tokens)
-                tokens.append(token)
-            number[i] = more[token]
-        return tokens, number
+        return [joined[a:b] for a, b in zip(self.start[number].tolist(), self.end[number].tolist(), strict=True)]
 
 
 def ragged(pool: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,36 +227,114 @@ def ragged(pool: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, number: n
     return pool[index], at
 
 
-#: Pieces in each of the two generations of a cache: bounds a worker's memory.
-GENERATION = 180_000
-#: Longer pieces are encoded but not kept.
+#: Tokens in a cache: bounds a worker's memory.
+KEPT = 500_000
+#: Longer tokens are encoded but not kept.
 LONG_PIECE = 48
+_SLOT_BITS = 20
+
+
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size` values at least."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, len(array) * 3 // 2), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 class Kept:
-    """The ids of tokens, in two generations: what was not asked for during a whole generation goes."""
-
-    def __init__(self, limit: int = GENERATION):
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def get(self, tokens: list[str], make) -> list:
-        """The values of the tokens; make(list) gives those of unknown ones."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        unknown = [t for t in tokens if t not in new]
-        if unknown:
-            for t in unknown:
-                if t in old:
-                    new[t] = old[t]
-            unknown = [t for t in unknown if t not in new]
-            new.update(zip(unknown, make(unknown), strict=True))
-        out = [new[t] for t in tokens]
-        for t in unknown:
-            if len(t) > LONG_PIECE:
-                del new[t]
+    """The ids of tokens, in arrays: an open hash table, and for each entry its codepoints, its ids and when it was last asked for.
+
+    A look-up finds the entry of a hash and compares the codepoints. When it is full, the half that was asked for last stays.
+    """
+
+    def __init__(self, dtype: np.dtype, limit: int = KEPT):
+        self.limit, self.tick = limit, 0
+        self.code, self.ids = np.zeros(limit, np.uint32), np.zeros(limit, dtype)
+        # Of each entry: hash, codepoints' place and number, ids' place and number, time.
+        self.hash = np.zeros(limit, np.uint64)
+        self.code_at, self.code_n, self.id_at, self.id_n = (np.zeros(limit, np.int64) for _ in range(4))
+        self.last = np.zeros(limit, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.n = self.code_end = self.id_end = 0
+        self.bits = max(_SLOT_BITS, (2 * self.limit - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 for none."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot, left, mask = self._slot(hashes), np.arange(len(hashes)), (1 << self.bits) - 1
+        while len(left):
+            entry = self.slots[slot]
+            there = entry >= 0
+            if not there.all():
+                left, slot, entry = left[there], slot[there], entry[there]
+            hit = self.hash[entry] == hashes[left]
+            out[left[hit]] = entry[hit]
+            left, slot = left[~hit], slot[~hit] + 1 & mask
         return out
 
+    def _add(self, hashes: np.ndarray, code: np.ndarray, code_n: np.ndarray, ids: np.ndarray, id_n: np.ndarray) -> None:
+        """New entries of distinct new hashes, with their codepoints and ids one after the other."""
+        new = np.arange(self.n, self.n + len(hashes))
+        self.hash[new], self.code_n[new], self.id_n[new] = hashes, code_n, id_n
+        self.code_at[new], self.id_at[new] = self.code_end + np.cumsum(code_n) - code_n, self.id_end + np.cumsum(id_n) - id_n
+        self.code, self.ids = _grown(self.code, self.code_end + len(code)), _grown(self.ids, self.id_end + len(ids))
+        self.code[self.code_end : self.code_end + len(code)], self.ids[self.id_end : self.id_end + len(ids)] = code, ids
+        self.n, self.code_end, self.id_end = self.n + len(hashes), self.code_end + len(code), self.id_end + len(ids)
+        slot, mask = self._slot(hashes), (1 << self.bits) - 1
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            out = self.slots[slot] != new
+            new, slot = new[out], slot[out] + 1 & mask
+
+    def _halve(self) -> None:
+        keep = np.argsort(-self.last[: self.n], kind="stable")[: self.limit // 2]
+        code, ids = (ragged(pool, at, n, keep)[0] for pool, at, n in ((self.code, self.code_at, self.code_n), (self.ids, self.id_at, self.id_n)))
+        hashes, code_n, id_n, last = self.hash[keep], self.code_n[keep], self.id_n[keep], self.last[keep]
+        self._clear()
+        self._add(hashes, code, code_n, ids, id_n)
+        self.last[: self.n] = last
+
+    def get(self, cut: Pretokens, make) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, offsets, lengths, number: those of token t are ids[offsets[k]:offsets[k] + lengths[k]], k = number[t]; make(list) encodes tokens."""
+        length, width, self.tick = cut.end - cut.start, self.ids.dtype.itemsize, self.tick + 1
+        number = self.find(cut.hashes)
+        unknown = np.flatnonzero((number < 0) & (length <= LONG_PIECE))
+        first = unknown[np.unique(cut.hashes[unknown], return_index=True)[1]]
+        if self.n + len(first) > self.limit:
+            self.last[number[number >= 0]] = self.tick
+            self._halve()
+            number = self.find(cut.hashes)
+            unknown = np.flatnonzero((number < 0) & (length <= LONG_PIECE))
+            first = unknown[np.unique(cut.hashes[unknown], return_index=True)[1]][: self.limit - self.n]
+        if len(first):
+            values = make(cut.texts(first))
+            code = ragged(cut.code, cut.start, length, first)[0]
+            self._add(cut.hashes[first], code, length[first], np.frombuffer(b"".join(values), self.ids.dtype), np.array([len(v) // width for v in values]))
+            number[unknown] = self.find(cut.hashes[unknown])
+        self.last[number[number >= 0]] = self.tick
+        # A token that isn't its entry's, is long or found no room is encoded by itself.
+        same = (number >= 0) & (self.code_n[number] == length)
+        some = np.flatnonzero(same)
+        same[some] = equal_spans(cut.code, cut.start[some], self.code_at[number[some]], length[some], self.code)
+        ids, offsets, lengths = self.ids[: self.id_end], self.id_at[: self.n], self.id_n[: self.n]
+        if len(alone := np.flatnonzero(~same)):
+            more: dict[str, int] = {}
+            number[alone] = [self.n + more.setdefault(t, len(more)) for t in cut.texts(alone)]
+            values = make(list(more))
+            n = np.array([len(v) // width for v in values])
+            ids = np.concatenate([ids, np.frombuffer(b"".join(values), ids.dtype)])
+            offsets, lengths = np.append(offsets, self.id_end + np.cumsum(n) - n), np.append(lengths, n)
+        return ids, offsets, lengths, number
+
 
 class Encoder:
     """Encodes whole texts; a subclass gives the ids of single pre-tokens (make) and of odd texts (whole)."""
@@ -278,8 +343,8 @@ class Encoder:
     next_line = ODD
     dtype = np.dtype("<u4")
 
-    def __init__(self):
-        self.kept = Kept()
+    #: The cache; made with the first texts, when dtype is known.
+    kept: Kept | None = None
 
     def make(self, tokens: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -294,12 +359,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = Pretokens([self.prepare(t) for t in texts], self.grammar, self.next_line)
-        tokens, number = cut.distinct()
-        values = self.kept.get(tokens, self.make)
-        width = self.dtype.itemsize
-        lengths = np.array([len(v) // width for v in values], np.int64)
-        offsets = np.cumsum(lengths) - lengths
-        ids, at = ragged(np.frombuffer(b"".join(values), self.dtype), offsets, lengths, number)
+        self.kept = self.kept or Kept(self.dtype)
+        ids, at = ragged(*self.kept.get(cut, self.make))
         cuts = at[cut.first].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for k in np.flatnonzero(cut.odd).tolist():
@@ -312,7 +373,6 @@ class LibraryEncoder(Encoder):
     """Ids as the tokenizers library gives them for whole texts, without special tokens."""
 
     def __init__(self, path: str, largest_id: int = 0):
-        super().__init__()
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -369,7 +429,6 @@ class RankEncoder(Encoder):
     next_line = WHITE
 
     def __init__(self, path: str):
-        super().__init__()
         import base64
 
         with open(path, "rb") as f:

@@ -84,6 +84,38 @@ def test_cached_equals_library(path):
         assert ids.tolist() == want.ids, text
 
 
+class Spelling(pretokens.Encoder):
+    """A token's ids are its codepoints; it counts what it is asked to make."""
+
+    dtype, asked = np.dtype("<u4"), 0
+
+    def make(self, tokens):
+        self.asked += len(tokens)
+        return [t.encode("utf-32-le") for t in tokens]
+
+
+def test_cache_holds_the_tokens_of_many_texts():
+    own = Spelling()
+    every = [" ".join(format(i, "x").translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(k, k + 100_000)) for k in range(0, 400_000, 100_000)]
+    for text in every * 2:
+        assert "".join(map(chr, own.encode([text])[0].tolist())) == text
+    assert own.asked < 400_010
+
+
+@pytest.mark.parametrize("limit", [2, 30, 400])
+def test_full_cache(limit):
+    """Tokens that go, come back, find no room or are long."""
+    rng = random.Random(limit)
+    own, library = Spelling(), LibraryEncoder(BYTES)
+    for encoder in (own, library):
+        encoder.kept = pretokens.Kept(encoder.dtype, limit)
+    for _ in range(60):
+        every = ["".join(rng.choice([" ", "a", "bc", "é", "1", "\n", "d" * 50]) for _ in range(rng.randint(0, 90))) for _ in range(4)]
+        assert ["".join(map(chr, ids.tolist())) for ids in own.encode(every)] == every
+        assert [ids.tolist() for ids in library.encode(every)] == [e.ids for e in library.tokenizer.encode_batch(every, add_special_tokens=False)]
+        assert own.kept.n <= limit and library.kept.n <= limit
+
+
 def test_digests(odd_docs, no_docs):
     library = reference()
     rows = byte_bpe.digests(odd_docs, RANKS).collect()
