@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once (one longer text is a chunk of its own).
 CHUNK_CHARS = 1_000_000
+#: Characters after which a worker gives back the memory that its arrays left.
+RELEASE_CHARS = 2_000_000
+#: Bytes of rows that Spark sends to a worker at once: the JVM and the worker both hold some such batches for each task.
+BATCH_BYTES = 4 << 20
 #: Rows of keys and facts that are sent to all executors; beyond, both sides are exchanged.
 BROADCAST_ROWS = 1_000_000
 #: Rows of a key from which it is hot.
@@ -104,19 +109,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, by batches of BATCH_BYTES where the session sets no size of its own (Spark's is 64 MB or 10,000 rows)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives freed memory back: a worker lives on after its task, and would keep the most that any task had, beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), each of about `limit` characters, however the batches were cut."""
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        size = 0
-        start = 0
-        texts: list[str] = []
-        for i, value in enumerate(batch.column(at)):
-            text = value.as_py() or ""
-            if texts and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts
-                start, size, texts = i, 0, []
-            texts.append(text)
-            size += len(text)
-        if texts:
-            yield batch.slice(start, len(texts)), texts
+    done = 0
+    try:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            size = 0
+            start = 0
+            texts: list[str] = []
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py() or ""
+                if texts and size + len(text) > limit:
+                    yield batch.slice(start, i - start), texts
+                    done += size
+                    start, size, texts = i, 0, []
+                    if done > RELEASE_CHARS:
+                        release()
+                        done = 0
+                texts.append(text)
+                size += len(text)
+            if texts:
+                yield batch.slice(start, len(texts)), texts
+                done += size
+    finally:
+        release()

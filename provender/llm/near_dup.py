@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.llm.common import HOT, Stored, chunks, few, made, remove_made_since, stored
+from provender.llm.common import HOT, Stored, chunks, few, made, mapped, release, remove_made_since, stored
 from provender.llm.pretokens import equal_spans, mix, span_hashes
 
 #: Functions of a sketch; trees (the first functions); functions that a node chooses; levels below the roots.
@@ -117,7 +117,8 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             sketches = pa.array([sketch(s) if len(s) else np.zeros(0, np.int32) for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digest, pa.binary()), sketches], ["id", "n", "digest", "sketch"])
 
-    return df.selectExpr(f"CAST(`{key}` AS BIGINT) AS id", f"`{text}` AS text").mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<int>")
+    rows = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS id", f"`{text}` AS text")
+    return mapped(rows, run, "id bigint, n bigint, digest binary, sketch array<int>")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -156,10 +157,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 both = len(s & t)
                 good.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("btext")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("atext")), "a")
-    return with_a.select("a", "b", "atext", "btext").mapInArrow(run, "a bigint, b bigint")
+    return mapped(with_a.select("a", "b", "atext", "btext"), run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hashes = [h.view(np.int64) for h in shingle_hashes(texts)[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    return docs.join(F.broadcast(ids) if few(ids) else ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes array<bigint>")
+    return mapped(docs.join(F.broadcast(ids) if few(ids) else ids, "id", "left_semi"), run, "id bigint, hashes array<bigint>")
 
 
 def linked_in_block(ids: np.ndarray, comp: np.ndarray, trees: np.ndarray, whole: np.ndarray, sets: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -280,6 +282,7 @@ def _blocks(rows: DataFrame, reps: DataFrame, docs: DataFrame, branched: DataFra
         if p != q:
             found += linked_in_block(ids, comp, trees, whole, (values, at), right, left)
         a, b = zip(*set(found), strict=True) if found else ((), ())
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("node", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct()

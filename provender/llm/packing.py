@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.llm.common import chunks, stored
+from provender.llm.common import chunks, mapped, stored
 from provender.llm.token_tables import encoder
 
+#: Characters of text that a worker encodes at once.
+CHARS = 400_000
 #: Groups over which the pieces of one length are dealt when they get their ranks.
 SALT = 256
 #: The first budgets of the search, and how often they are raised.
@@ -41,7 +43,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer, end_id)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, limit=CHARS):
             keys, at, number, start, length, crc, cut = batch.column(0), [], [], [], [], [], []
             for row, ids in enumerate(library.encode(texts)):
                 ids = np.append(ids, library.dtype.type(end_id)).astype("<u4")
@@ -60,7 +62,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(df.selectExpr(f"`{key}` AS key", f"`{text}` AS text"), run, schema).withColumnRenamed("key", key)
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -273,7 +275,7 @@ def pack(cut: DataFrame, capacity: int = 4096, key: str = "doc_id") -> DataFrame
     rows = ranked(cut, key).select(F.col(key).alias("key"), "piece", "start", "length", "ids_crc32", "rank")
     kind = cut.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(rows, run, schema).withColumnRenamed("key", key)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:

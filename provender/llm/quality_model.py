@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.common import chunks
+from provender.llm.common import chunks, mapped
 from provender.llm.near_dup import _WHITE
 from provender.llm.pretokens import LETTER, NUMBER, classes, span_hashes
 
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "text", "y")
     kind = rows.schema["k"].dataType.simpleString()
     # Repeated identifiers make more rows of one label; these, too, are TRAIN_ROWS at most.
-    found = rows.mapInArrow(run, f"k {kind}, y int, x array<double>").orderBy(F.xxhash64("k"), "k", "y", "x").limit(TRAIN_ROWS).collect()
+    found = mapped(rows, run, f"k {kind}, y int, x array<double>").orderBy(F.xxhash64("k"), "k", "y", "x").limit(TRAIN_ROWS).collect()
     found.sort(key=lambda r: (r.k, r.y, r.x))
     return train(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.y for r in found], float))
 
@@ -184,7 +184,7 @@ def scored(df: DataFrame, model: Trees, key: str = "doc_id", text: str = "text")
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out(key).alias("held_out"))
-    return rows.mapInArrow(run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {kind}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
 def accepted(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
@@ -194,7 +194,7 @@ def accepted(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
         for batch, texts in chunks(batches, text, CHARS):
             yield batch.filter(pa.array(model.score(statistics(texts)) >= THRESHOLD))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

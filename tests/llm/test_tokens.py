@@ -3,15 +3,19 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provender.llm import byte_bpe, packing, pretokens, token_tables
 from provender.llm.catalogue import tokenizer_path
-from provender.llm.common import new_path
+from provender.llm.common import BATCH_BYTES, chunks, new_path
 from provender.llm.pretokens import LibraryEncoder, RankEncoder, monoid, states
 
 public = pytest.importorskip("public_tokenizers")
@@ -230,3 +234,31 @@ def test_packing(odd_docs, no_docs):
             at += r.length
         assert at <= 64
     assert packing.pack_documents(no_docs, WORDS, 1).count() == 0
+
+
+def test_packing_takes_bounded_batches(spark, monkeypatch):
+    """Rows of 30 MB in one partition come by batches of BATCH_BYTES, but for the row that passes it."""
+
+    def watched(batches, **options):
+        for batch in batches:
+            assert batch.nbytes <= BATCH_BYTES + 20_000, batch.nbytes
+            yield from chunks([batch], **options)
+
+    monkeypatch.setattr(packing, "chunks", watched)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 909) AS text")
+    found = packing.pieces(docs, WORDS, 1).selectExpr("count(DISTINCT doc_id) AS n", "sum(length) AS tokens").first()
+    assert (found.n, found.tokens) == (3000, 3000 * (2 * 909 + 1))
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read from /proc")
+def test_chunks_give_memory_back():
+    """What a task's arrays took is no longer the worker's, though a few that stay lie between them."""
+
+    def mb() -> float:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    for _ in chunks([pa.RecordBatch.from_pydict({"text": ["x"]})]):
+        arrays = [np.ones(8192) for _ in range(2000)]
+        stay, most = arrays[::50], mb()
+        del arrays
+    assert len(stay) == 40 and most - mb() > 100
